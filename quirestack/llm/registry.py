@@ -6,7 +6,10 @@ from importlib import import_module
 
 #: Query name -> the module of this package that defines it; a module may define <name>_SQL for DuckDB.
 MODULES = {
+    "op4_token_counts": "token_counts",
+    "op5_media_sequences": "media",
     "op7_byte_bpe": "byte_bpe",
+    "op9_extendible_sharding": "sharding",
 }
 
 
