@@ -13,10 +13,12 @@ import sys
 import unicodedata
 from array import array
 from functools import lru_cache
-from itertools import chain, product
+from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -242,36 +244,48 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _slices(values: list, limit: int = 1 << 19):
-    i = 0
-    while i < len(values):
-        j, size = i, 0
-        while j < len(values) and (j == i or size + len(values[j]) <= limit):
-            size += len(values[j])
-            j += 1
-        yield values[i:j]
-        i = j
+def _bounded(batches, limit: int = 1 << 19):
+    """(keys, texts) of Arrow batches in slices of about limit characters, so that output batches stay small."""
+    for batch in batches:
+        keys, texts = batch.column(0), batch.column(1)
+        size = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(texts):
+            upto = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), limit, "right")))
+            yield keys.slice(at, upto - at), [t or "" for t in texts.slice(at, upto - at).to_pylist()]
+            at = upto
 
 
-def encode(text: Column, path: str) -> Column:
-    """struct<ids: array<int>, offsets: array<int>> of a text column; a null text counts as empty and has no ids.
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0] + [len(a) for a in arrays], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32)))
+
+
+def token_table(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, ids, offsets, decoded) for every row, repeated rows and null keys included.
 
     offsets holds the byte at which each token starts in the UTF-8 text, so a decoded span can be
-    traced to its place.  path: a rank file that is at this place on every executor.
+    traced to its place; decoded is what the ids stand for.  Null and empty texts have no ids and
+    decode to no bytes.  Other columns of docs, whatever their names, are left aside.  path: a rank
+    file that is at this place on every executor.
     """
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
 
-    @F.pandas_udf("ids array<int>, offsets array<int>")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(batches):
         encoder = _encoder(path)
-        values = [t if isinstance(t, str) else "" for t in texts]
-        pairs = list(chain.from_iterable(encoder.encode(part) for part in _slices(values)))
-        return pd.DataFrame({"ids": [p[0] for p in pairs], "offsets": [p[1] for p in pairs]})
+        for keys, texts in _bounded(batches):
+            pairs = encoder.encode(texts)
+            ids = [p[0] for p in pairs]
+            decoded = pa.array([encoder.decode(i.tolist()) for i in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, _lists(ids), _lists([p[1] for p in pairs]), decoded], ["k", "ids", "offsets", "decoded"])
 
-    return run(text)
+    kind = rows.schema["k"].dataType.simpleString()
+    out = rows.mapInArrow(run, f"k {kind}, ids array<int>, offsets array<int>, decoded binary")
+    return out.withColumnRenamed("k", key)
 
 
 def decode(ids: Column, path: str) -> Column:
-    """The bytes that ids stand for; null ids give no bytes."""
+    """The bytes that a column of ids stands for; null ids give no bytes."""
 
     @F.pandas_udf("binary")
     def run(rows: pd.Series) -> pd.Series:
@@ -281,16 +295,6 @@ def decode(ids: Column, path: str) -> Column:
     return run(ids)
 
 
-def token_table(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ids, offsets, decoded) for every row, repeated rows and null keys included.
-
-    Null and empty texts have no ids and decode to no bytes.  Other columns of docs, whatever their
-    names, are left aside.
-    """
-    rows = docs.select(F.col(key), encode(F.col(text), path).alias("_e")).select(key, "_e.ids", "_e.offsets")
-    return rows.withColumn("decoded", decode(F.col("ids"), path))
-
-
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(documents(spark, sf_dir))
 
