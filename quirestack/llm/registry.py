@@ -6,9 +6,11 @@ from importlib import import_module
 
 #: Query name -> the module of this package that defines it; a module may define <name>_SQL for DuckDB.
 MODULES = {
+    "op2_quality_pu": "quality",
     "op4_token_counts": "token_counts",
     "op5_media_sequences": "media",
     "op7_byte_bpe": "byte_bpe",
+    "op10_toxicity": "toxicity",
     "op9_extendible_sharding": "sharding",
 }
 
