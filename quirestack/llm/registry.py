@@ -10,6 +10,7 @@ MODULES = {
     "op3_pii_feistel": "pii",
     "op4_token_counts": "token_counts",
     "op5_media_sequences": "media",
+    "op6_ngram_jaccard": "jaccard_join",
     "op7_byte_bpe": "byte_bpe",
     "op10_toxicity": "toxicity",
     "op9_extendible_sharding": "sharding",
