@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name -> the module of this package that defines it; a module may define <name>_SQL for DuckDB.
 MODULES = {
+    "op1_embedding_itq": "embedding_dedup",
     "op2_quality_pu": "quality",
     "op3_pii_feistel": "pii",
     "op4_token_counts": "token_counts",
