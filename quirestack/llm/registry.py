@@ -14,6 +14,7 @@ MODULES = {
     "op6_ngram_jaccard": "jaccard_join",
     "op7_byte_bpe": "byte_bpe",
     "op10_toxicity": "toxicity",
+    "op8_soft_mixing": "mixing",
     "op9_extendible_sharding": "sharding",
 }
 
