@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "corpus_report"
+from .plans import library
+
+FLAGSHIP = "library_summary"
+MODULES = [library]
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
