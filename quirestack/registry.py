@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import library
+from .plans import library, texts
 
 FLAGSHIP = "library_summary"
-MODULES = [library]
+MODULES = [library, texts]
 
 
 def queries() -> dict:
