@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import library, texts
+from .plans import corpus, library, texts
 
-FLAGSHIP = "library_summary"
-MODULES = [library, texts]
+FLAGSHIP = "corpus_report"
+MODULES = [library, texts, corpus]
 
 
 def queries() -> dict:
