@@ -295,7 +295,7 @@ def submit_dedup(spark, d):
 def streaming_event_counts(spark, d):
     """The batch twin of the streamed counts; tests hold both against each other."""
     rows = jobs.counts(load(spark, d, "events"), "event_type", "ts")
-    return rows.select(F.col("w.start").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+    return rows.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @query(r"""

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 TERMINAL = ("ready", "failed", "cancelled", "interrupted")
 
 
-def read_log(spark: SparkSession, path: str, schema: str, fmt: str = "json") -> DataFrame:
+def read_log(spark: SparkSession, path: str, schema, fmt: str = "json") -> DataFrame:
     return spark.readStream.schema(schema).format(fmt).load(path)
 
 
 def counts(events: DataFrame, key: str, at: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Events by key and window, within a watermark; runs on streams and batches."""
-    return events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    timed = events.withColumn(at, F.col(at).cast("timestamp"))
+    return timed.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
