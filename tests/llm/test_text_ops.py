@@ -1,0 +1,209 @@
+"""Operators on single texts against their libraries or brute force, edge cases included."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from quirestack.llm import byte_bpe, media, pii, sharding, token_counts
+
+LONG = "Word wörd's 12 " * 20_000
+EDGE = [(1, None), (2, ""), (3, " "), (4, "a"), (5, "it's  5 o'clock\n\n'sing 'sX ''re \t'll"), (6, LONG), (7, "a"), (7, "a"), (None, "x y"), (8, "😀é́ ½٣你好　z\x00")]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    """Edge rows with columns whose names clash with those that operators make."""
+    rows = [(i, t, "en", "s", 1, "x", 2, None) for i, t in EDGE]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, id int, h string, n int, score double")
+
+
+@pytest.fixture(scope="module")
+def empty(edge):
+    return edge.limit(0)
+
+
+def tiktoken_encoding():
+    import tiktoken
+
+    ranks, _ = byte_bpe.vocabulary(public_tokenizers.path(byte_bpe.VOCABULARY))
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_library_and_round_trips(spark, edge, empty, sf_dir):
+    encoding = tiktoken_encoding()
+    path = public_tokenizers.path(byte_bpe.VOCABULARY)
+    docs = edge.unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"), allowMissingColumns=True)
+    got = byte_bpe.token_table(docs.select("doc_id", "text", "lang").withColumn("ids", F.lit(0)), path).collect()
+    want = sorted((str(r["doc_id"]), encoding.encode_ordinary(r["text"] or ""), (r["text"] or "").encode()) for r in docs.collect())
+    assert sorted((str(r["doc_id"]), list(r["ids"]), bytes(r["decoded"])) for r in got) == want
+    tokens = byte_bpe.vocabulary(path)[1]
+    for r in got:
+        at = 0
+        for i, o in zip(r["ids"], r["offsets"]):
+            assert o == at
+            at += len(tokens[i])
+    assert byte_bpe.digests(empty).count() == 0
+    one = byte_bpe.digests(edge.where("doc_id = 1")).first()
+    assert (one["n_tokens"], one["ids_sha256"]) == (0, hashlib.sha256(b"").hexdigest())
+    back = edge.sparkSession.createDataFrame([([1, 2],), (None,)], "ids array<int>").select(byte_bpe.decode(F.col("ids"), path).alias("b")).collect()
+    assert [bytes(r["b"]) for r in back] == [tokens[1] + tokens[2], b""]
+
+
+def test_bpe_random_texts():
+    encoding = tiktoken_encoding()
+    encoder = byte_bpe.Encoder(public_tokenizers.path(byte_bpe.VOCABULARY), keep=50)
+    rng = random.Random(3)
+    parts = ["'", "s", "t", "re", "ve", "ll", "d", "é", "1", "½", " ", "  ", "\n", "\t", " ", ",", "!", "你", "😀", "'s", "A"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(3000)]
+    assert [ids.tolist() for ids, _ in encoder.encode(texts)] == [encoding.encode_ordinary(t) for t in texts]
+
+
+def test_token_counts_equal_unigram_library(edge, empty, spark, sf_dir):
+    from tokenizers import Tokenizer, models
+
+    pieces = token_counts.pieces(public_tokenizers.path(token_counts.VOCABULARY))
+    bytes_ = [(f"<0x{i:02X}>", -1e9) for i in range(256)]
+    model = Tokenizer(models.Unigram([("<unk>", -1e9), *bytes_, *pieces], unk_id=0, byte_fallback=True))
+    counter = token_counts.Counter(pieces, keep=100)
+    rng = random.Random(2)
+    texts = ["".join(rng.choices([*"abc théñ你😀\n\t▁ 12.,", "  ", "the", "▁▁"], k=rng.randint(1, 25))) for _ in range(3000)]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    assert [counter.count(t) for t in texts] == [len(model.encode("▁" + t.replace(" ", "▁")).ids) for t in texts]
+    path = public_tokenizers.path(token_counts.VOCABULARY)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(edge, path).collect()}
+    assert got[1] == got[2] == 0 and got[6] == counter.count(LONG) and len(got) == 9
+    assert token_counts.count_tokens(empty, path).count() == 0
+
+
+def test_viterbi_ties_and_fractional_scores():
+    def brute(pieces, text):
+        scores, unknown = dict(pieces), min(s for _, s in pieces) - 10
+        best = {0: (0.0, 0)}
+        for start in range(len(text)):
+            s, c = best[start]
+            for end in range(start + 1, len(text) + 1):
+                piece = text[start:end]
+                if piece in scores and (end not in best or s + scores[piece] > best[end][0]):
+                    best[end] = (s + scores[piece], c + 1)
+            if text[start] not in scores and (start + 1 not in best or s + unknown > best[start + 1][0]):
+                best[start + 1] = (s + unknown, c + len(text[start].encode()))
+        return best[len(text)][1]
+
+    rng = random.Random(4)
+    for scale in (1, 0.1):
+        pieces = [(p, -rng.randint(1, 4) * scale) for p in ("a", "b", "ab", "ba", "aba", "bb", "▁", "▁a", "▁ab")]
+        counter = token_counts.Counter(pieces)
+        for _ in range(500):
+            text = "".join(rng.choices("ab cé", k=rng.randint(1, 12)))
+            assert counter.count(text) == brute(pieces, "▁" + text.replace(" ", "▁"))
+
+
+def test_media_sequences(edge, empty):
+    rows = {(r["doc_id"], r["n_bytes"], r["payload_sha256"], r["tail_crc32"], r["payload_bytes"]) for r in media.document_media(edge).collect()}
+    want = set()
+    for i, t in EDGE:
+        raw = (t or "").encode()
+        pad = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        want.add((i, len(raw), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]), len(pad)))
+    assert rows == want and media.document_media(edge).count() == len(EDGE) and media.document_media(empty).count() == 0
+
+
+def test_png_round_trip_and_parts():
+    for n in (64, 640):
+        payload = random.Random(n).randbytes(n)
+        assert media.from_png(media.to_png(payload)) == payload
+    stored = bytearray(media.to_png(b"x" * 64))
+    stored[45] ^= 1
+    with pytest.raises(ValueError):
+        media.from_png(bytes(stored))
+    got = media.parts_of('<h1>T</h1><figure><img src="sha256:1" alt="a"><figcaption>Cap <b>x</b></figcaption></figure><p>one <i>two</i><img src="u">three<script>no</script>')
+    assert [p[1:] for p in got] == [("text", "T", None, None), ("media", None, "sha256:1", "Cap x"), ("text", "one two", None, None), ("media", None, "u", None), ("text", "three", None, None)]
+
+
+def test_resolve_keeps_unknown_references(spark):
+    good = "0" * 64
+    docs = spark.createDataFrame([(1, f'<p>a<img src="sha256:{good}"><img src="sha256:{"1" * 64}">b'), (2, None)], "k int, html string")
+    seq = docs.select("k", media.sequence(F.col("html")).alias("parts"))
+    store = spark.createDataFrame([(good, b"x")], "digest string, payload binary")
+    got = [(r["k"], r["pos"], r["kind"], r["payload"] is not None) for r in media.resolve(seq, store, "k").orderBy("k", "pos").collect()]
+    assert got == [(1, 0, "text", False), (1, 1, "media", True), (1, 2, "media", False), (1, 3, "text", False), (2, None, None, False)]
+
+
+def test_sharding(edge, empty, spark, sf_dir):
+    for limit in (1 << 12, 1 << 16):
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        got = sharding.shard(docs, limit).collect()
+        size = {r["doc_id"]: len(r["text"].encode()) for r in docs.collect()}
+        held = {}
+        for r in got:
+            held.setdefault(r["shard"], []).append(size[r["doc_id"]])
+        assert len(got) == len(size)
+        for r in got:
+            assert r["shard_bytes"] == sum(held[r["shard"]]) and r["fits"] == (r["shard_bytes"] <= limit) and len(r["shard"]) == r["depth"]
+            assert r["fits"] or len(held[r["shard"]]) == 1
+        names = sorted(held)
+        assert all(not b.startswith(a) for a, b in zip(names, names[1:]))
+        for name in names:  # only oversized buckets split
+            if name:
+                assert sum(sum(v) for k, v in held.items() if k.startswith(name[:-1])) > limit
+    rows = sharding.shard(edge, 100).collect()
+    assert len(rows) == len(EDGE) and {r["fits"] for r in rows if r["doc_id"] == 6} == {False}
+    assert sharding.shard(empty, 100).count() == 0
+
+
+def luhn(s):
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(s))) % 10 == 0
+
+
+def test_pii_formats_and_links(spark, edge, empty):
+    texts = {
+        1: "mail a.b@mail3.example.com, A.B@mail3.example.com", 2: "+1 (743) 555-3824; +1 743 555 3824", 3: "card 4146 5101 5232 8576 and 4146510152328576", 4: "bad 4146510152328577",
+        5: "ip 233.233.171.252. 300.1.1.1", 6: "2024-02-29, 29/02/2024 or 2023-02-29", 7: "ssn 123-45-6789, 000-45-6789", 8: "token=" + "0a" * 25, 9: "clean text, 12 and 3.5",
+    }
+    key = "k"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymised(docs, key).collect()}
+    t = {i: r["text"] for i, r in got.items()}
+    a, b = re.findall(r"\S+@mail3\.example\.com", t[1])
+    assert a == b and "a.b@" not in t[1]
+    phones = [re.sub(r"\D", "", x) for x in t[2].split(";")]
+    assert phones[0] == phones[1] and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}; \+1 \d{3} \d{3} \d{4}", t[2]) and t[2] != texts[2]
+    cards = [re.sub(r"\D", "", x) for x in t[3].split("and")]
+    assert cards[0] == cards[1] != "4146510152328576" and luhn(cards[0]) and re.fullmatch(r"card \d{4} \d{4} \d{4} \d{4} and \d{16}", t[3])
+    assert t[4] == texts[4] and t[9] == texts[9] and got[9]["n_found"] == 0
+    assert re.fullmatch(r"ip \d+\.\d+\.\d+\.\d+\. 300\.1\.1\.1", t[5]) and "233.233" not in t[5]
+    iso, dmy, bad = re.fullmatch(r"(\S+), (\S+) or (\S+)", t[6]).groups()
+    assert iso == "-".join(reversed(dmy.split("/"))) and iso != "2024-02-29" and bad == "2023-02-29"
+    assert "123-45-6789" not in t[7] and "000-45-6789" in t[7] and len(t[8]) == len(texts[8]) and "0a0a" not in t[8]
+    kept = {(r["doc_id"], r["text"]) for r in pii.pseudonymised(edge, key).collect()}
+    assert kept == set(EDGE) and pii.pseudonymised(empty, key).count() == 0
+
+
+def test_feistel_is_a_permutation(spark):
+    for left, right in ((20, 50), (7, 11), (1, 5)):
+        values = [r["v"] for r in spark.range(left * right).select(pii.permute(F.col("id"), left, right, "t", "k").alias("v")).collect()]
+        assert sorted(values) == list(range(left * right))
+    big = spark.range(1000).select((F.col("id") + 10**18 - 1000).alias("x")).select("x", pii.permute(F.col("x"), 10**9, 10**9, "t", "k").alias("v")).collect()
+    assert len({r["v"] for r in big}) == 1000 and all(0 <= r["v"] < 10**18 for r in big)
+
+
+def brute_permute(value, left, right, tweak, key):
+    a, b = divmod(value, right)
+    for i in range(pii.ROUNDS):
+        secret = hashlib.sha256(f"{key}/{tweak}/{i}".encode()).hexdigest()
+        half = lambda x: int(hashlib.sha256(f"{secret}/{x}".encode()).hexdigest()[:12], 16)  # noqa: B023, E731
+        if i % 2 == 0:
+            a = (a + half(b)) % left
+        else:
+            b = (b + half(a)) % right
+    return a * right + b
+
+
+def test_feistel_equals_brute_force(spark):
+    rows = spark.range(50).select("id", pii.permute(F.col("id") * 97, 1000, 999, "t", "k").alias("v")).collect()
+    assert all(r["v"] == brute_permute(r["id"] * 97, 1000, 999, "t", "k") for r in rows)
