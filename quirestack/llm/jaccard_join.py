@@ -2,9 +2,10 @@
 
 Every distinct shingle flips one bit of a sketch, so two sketches differ in no more bits than their
 sets differ in shingles.  Within a band of set sizes the threshold bounds that difference by D, the
-sketch is cut into more blocks than D, and by the pigeonhole principle linked sets agree in whole
-blocks.  Equal blocks join documents; a finer sketch of each candidate pair, and then the shingles
-themselves, decide.  No link is lost: see block_keys for why blank blocks may be left out.
+sketch is cut into a ring of more blocks than D, and by the pigeonhole principle linked sets agree in
+whole blocks.  Equal blocks join documents; the blocks after an equal one, a finer sketch, and at last
+the shingles themselves decide.  No link is lost: see block_keys.  Work inside large buckets and
+large candidate classes is dealt in tiles that return trees, never all pairs.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from math import exp, floor, log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Prefix, blocks, components, documents, mix, stored, words_of
@@ -24,6 +25,12 @@ from .features import WHITE
 BAND = 0.3
 #: Bits of the deciding sketch for each shingle.
 FINE = 2
+#: Blocks after an equal one that a pair is held against.
+RING = 8
+#: Buckets of more sets than this are searched in tiles of about so many; smaller ones are joined to pairs.
+SMALL, TILE = 8, 1024
+#: Shingles in a tile of a candidate class, about.
+TILE_SHINGLES = 1 << 18
 
 
 # ---- shingles --------------------------------------------------------------------------------
@@ -90,39 +97,39 @@ class Plan:
         return d, d + 1 + (2 + d // 12 if d else 0)
 
 
-def block_keys(hashes: np.ndarray, plan: Plan) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(band, block numbers, block values) of one set.
+def block_keys(hashes: np.ndarray, plan: Plan) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(band, block numbers, block values, what follows each block) of one set.
 
-    A block's value is a fingerprint of the bits set in that block of the sketch.  Linked sets agree
-    in at least blocks - D blocks.  A set with fewer blank blocks than that leaves them out: some
-    block on which it agrees with a partner isn't blank.  Other sets emit their blank blocks too,
-    under numbers of their own, and meet each other there.
+    A block's value is a fingerprint of the bits set in that block of the sketch; what follows are the
+    next RING blocks, folded to a byte each.  Differences of linked sets add up to D over the ring of
+    m blocks, so by the cycle lemma at least m - D blocks are equal and start runs in which any k
+    blocks differ in fewer than k bits.  A set with fewer blank blocks than that leaves them out: one
+    of those starts isn't blank.  Other sets emit their blank blocks too, under numbers of their own,
+    and meet each other there.
     """
     out = []
     for band in plan.bands(len(hashes)):
         d, m = plan.blocks(band)
         mixed = mix(hashes + np.uint64(band + 1))
         block = ((mixed >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-        bit = mix(mixed & np.uint64(0xFFFFFFFF)) | np.uint64(1)  # one of 2**31 bits of the block
-        value = np.zeros(m, np.uint64)
-        np.bitwise_xor.at(value, block, bit) if len(block) < 64 else _xor_into(value, block, bit)
+        low = mixed & np.uint64(0xFFFFFFFF)
+        order = np.argsort(block, kind="stable")
+        at = np.flatnonzero(np.r_[True, np.diff(block[order]) > 0])
+        value, folded = np.zeros(m, np.uint64), np.zeros(m, np.uint8)
+        value[block[order[at]]] = np.bitwise_xor.reduceat((mix(low) | np.uint64(1))[order], at)  # one of 2**32 bits of the block
+        folded[block[order[at]]] = np.bitwise_xor.reduceat(np.left_shift(1, (low & np.uint64(7)).astype(np.uint8)).astype(np.uint8)[order], at)
+        ring = np.zeros((m, RING), np.uint8)
+        for k in range(min(RING, m - 1)):
+            ring[:, k] = np.roll(folded, -k - 1)
+        ring = ring.view("<i8")[:, 0]
         full = np.flatnonzero(value)
         if m - len(full) >= m - d:
-            numbers = np.arange(m)
-            number = np.where(value == 0, numbers + m, numbers)
-            out.append((band, number, value))
+            out.append((band, np.where(value == 0, np.arange(m) + m, np.arange(m)), value, ring))
         else:
-            out.append((band, full, value[full]))
+            out.append((band, full, value[full], ring[full]))
     return out
 
 
-def _xor_into(value: np.ndarray, block: np.ndarray, bit: np.ndarray) -> None:
-    order = np.argsort(block, kind="stable")
-    b = block[order]
-    at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-    value[b[at]] = np.bitwise_xor.reduceat(bit[order], at)
-
-
 def fine_sketch(hashes: np.ndarray, plan: Plan) -> list[tuple[int, np.ndarray]]:
     """(band, parity sketch as 64-bit words) of one set for each band it meets partners in."""
     out = []
@@ -162,24 +169,25 @@ def sketched(docs: DataFrame, plan: Plan, width: int, text: str, key: str) -> Da
 
 
 def keyed(docs: DataFrame, plan: Plan, width: int, text: str, key: str) -> DataFrame:
-    """(key, band, node) for every block of every set, each set once in a slice of rows."""
+    """(key, band, node, ring) for every block of every set, each set once in a slice of rows."""
 
     def run(batches):
         for batch in batches:
             for _, _, part in blocks(batch.column(0).to_pylist()):
-                nodes, bands, keys, seen = [], [], [], set()
+                nodes, bands, keys, rings, seen = [], [], [], [], set()
                 for h in shingle_sets(part, width):
                     if not len(h) or (node := _digest(h)) in seen:
                         continue
                     seen.add(node)
-                    for band, number, value in block_keys(h, plan):
+                    for band, number, value, ring in block_keys(h, plan):
+                        rings.append(ring)
                         nodes.append(np.full(len(value), node, np.int64))
                         bands.append(np.full(len(value), band, np.int32))
                         keys.append(mix(value + mix(number.astype(np.uint64) + np.uint64(band << 32))).view(np.int64))
                 if nodes:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, bands, nodes)], ["key", "band", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, bands, nodes, rings)], ["key", "band", "node", "ring"])
 
-    return docs.where(F.col(key).isNotNull()).select(F.col(text).alias("t")).mapInArrow(run, "key long, band int, node long")
+    return docs.where(F.col(key).isNotNull()).select(F.col(text).alias("t")).mapInArrow(run, "key long, band int, node long, ring long")
 
 
 def shingles_of(docs: DataFrame, width: int, text: str, key: str, bitmap: np.ndarray) -> DataFrame:
@@ -231,28 +239,136 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _near(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """Of the pairs of nodes (x, y, band) those whose fine sketches differ in no more bits than linked
-    sets may differ in shingles, as pairs (a, b) of their smallest document ids."""
+def _side(sets: DataFrame, x: str) -> DataFrame:
+    each = sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.explode("bands").alias("s"))
+    return each.select(x, f"n_{x}", F.col("s.band").alias("band"), F.col("s.sketch").alias(f"s_{x}"))
 
-    def side(x: str) -> DataFrame:
-        each = sets.select(F.col("node").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.explode("bands").alias("s"))
-        return each.select(x, f"rep_{x}", f"n_{x}", F.col("s.band").alias("band"), F.col("s.sketch").alias(f"s_{x}"))
 
-    joined = pairs.join(side("x"), ["x", "band"]).join(side("y"), ["y", "band"])
+def _near(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """Of the pairs of nodes (x, y, band) those whose fine sketches differ in no more bits than linked sets may differ in shingles."""
+    joined = pairs.join(_side(sets, "x"), ["x", "band"]).join(_side(sets, "y"), ["y", "band"])
     apart = F.aggregate(F.zip_with("s_x", "s_y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     most = F.floor((100 - plan.percent) * (F.col("n_x") + F.col("n_y")) / F.lit(100 + plan.percent) + F.lit(1e-9))
-    return joined.where(apart <= most).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
-
-
-def _linked(pairs: DataFrame, docs: DataFrame, plan: Plan, width: int, text: str, key: str) -> DataFrame:
-    """Of the pairs (a, b) those whose shingle sets are linked, by their intersection."""
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    found = shingles_of(docs, width, text, key, _bitmap(involved)).join(involved, "id", "left_semi")
-    side = lambda x: found.select(F.col("id").alias(x), F.col("s").alias(f"s_{x}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a")
-    same = F.size(F.array_intersect("s_a", "s_b"))
-    return joined.where(100 * same >= plan.percent * (F.size("s_a") + F.size("s_b") - same)).select("a", "b").distinct()
+    return joined.where(apart <= most).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
+def _tiled(rows: DataFrame, group: list[str], node: str, tiles: Column) -> DataFrame:
+    """rows of each group dealt to all pairs of its tiles, sorted so that a pair of tiles lies together."""
+    dealt = rows.withColumn("_t", tiles.cast("int")).withColumn("_tile", F.pmod(F.xxhash64(node, F.lit(9)), F.col("_t")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_t") - 1)).alias("_o")
+    dealt = dealt.select("*", other).withColumn("tile_a", F.least("_tile", "_o")).withColumn("tile_b", F.greatest("_tile", "_o")).drop("_t", "_tile", "_o")
+    return dealt.repartition(*group, "tile_a", "tile_b").sortWithinPartitions(*group, "tile_a", "tile_b")
+
+
+def _by_group(group: list[str], search):
+    """A mapInPandas function that hands search the frame of each group of sorted rows; groups may span batches."""
+    by = [*group, "tile_a", "tile_b"]
+
+    def run(frames):
+        held = None
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            new = np.flatnonzero((held[by].to_numpy()[1:] != held[by].to_numpy()[:-1]).any(1)) + 1
+            cuts = [0, *new.tolist()]
+            found = [search(held.iloc[a:b]) for a, b in zip(cuts, cuts[1:])]
+            if found:
+                yield pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+            held = held.iloc[cuts[-1] :].reset_index(drop=True)
+        if held is not None and len(held):
+            yield pd.DataFrame(search(held), columns=["a", "b"])
+
+    return run
+
+
+def _tree(count: int, near) -> list[tuple[int, int]]:
+    """Edges of a spanning forest, found breadth first; near(i, rest): which of rest are linked with i."""
+    rest, edges = np.arange(count), []
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            i = queue.pop()
+            hit = near(i, rest)
+            edges += [(i, j) for j in rest[hit].tolist()]
+            queue += rest[hit].tolist()
+            rest = rest[~hit]
+    return edges
+
+
+def _pairs_of(ids: np.ndarray, edges: list[tuple[int, int]]) -> np.ndarray:
+    e = np.array(edges, np.int64).reshape(-1, 2)
+    return ids[e]
+
+
+def _search_sketches(plan: Plan):
+    """A forest over the nodes of a bucket whose fine sketches are near enough."""
+
+    def search(frame: pd.DataFrame) -> np.ndarray:
+        sketch = np.stack(frame["s_x"].to_numpy()).view(np.uint64)
+        n = frame["n_x"].to_numpy()
+
+        def near(i: int, rest: np.ndarray) -> np.ndarray:
+            return np.bitwise_count(sketch[rest] ^ sketch[i]).sum(1) <= plan.difference(n[rest], n[i])
+
+        return _pairs_of(frame["x"].to_numpy(), _tree(len(frame), near))
+
+    return search
+
+
+def _search_sets(plan: Plan):
+    """A forest over the sets of a candidate class that are linked, by their whole intersections."""
+
+    def search(frame: pd.DataFrame) -> np.ndarray:
+        sets = frame["s"].to_list()
+        size = np.array([len(x) for x in sets])
+        _, token = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(token, kind="stable")
+        holders, first = owner[order], np.r_[0, np.cumsum(np.bincount(token))]
+        begin = np.r_[0, np.cumsum(size)]
+
+        def near(i: int, rest: np.ndarray) -> np.ndarray:
+            own = token[begin[i] : begin[i + 1]]
+            length = first[own + 1] - first[own]
+            spots = np.repeat(first[own] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
+            same = np.bincount(holders[spots], minlength=len(sets))[rest]
+            return 100 * same >= plan.percent * (size[rest] + size[i] - same)
+
+        return _pairs_of(frame["id"].to_numpy(), _tree(len(frame), near))
+
+    return search
+
+
+def _candidates(docs: DataFrame, sets: DataFrame, plan: Plan, width: int, text: str, key: str) -> DataFrame:
+    """Pairs of nodes (a, b) whose connected classes hold every link: near pairs, or trees of them."""
+    # One exchange: the buckets' counts and the rows that they select need the same columns.
+    rows = keyed(docs, plan, width, text, key).repartition("key").groupBy("key", "band", "node").agg(F.first("ring").alias("ring"))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("members"), F.bit_xor("ring").alias("r"), F.max("band").alias("_b")).where("k > 1")
+    shared = stored(rows.join(buckets.select("key", "k", "members"), "key"), "buckets")
+    small = shared.where(F.col("k") <= SMALL)
+    apart = F.col("ring_x").bitwiseXOR(F.col("ring_y"))
+    follows = [F.bit_count(apart.bitwiseAND(F.lit((1 << 8 * k) - 1 if k < 8 else -1))) <= k for k in range(1, RING + 1)]
+    left = small.select("key", "band", F.col("node").alias("x"), F.col("ring").alias("ring_x"))
+    right = small.select("key", F.col("node").alias("y"), F.col("ring").alias("ring_y"))
+    pairs = left.join(right, "key").where(F.col("x") < F.col("y"))
+    for f in follows:
+        pairs = pairs.where(f)
+    near = _near(pairs.select("x", "y", "band").distinct(), sets, plan)
+    # Of large buckets with the same members one is searched.
+    large = shared.where(F.col("k") > SMALL)
+    once = large.groupBy("band", "k", "members").agg(F.min("key").alias("key"))
+    rows = large.join(once.select("key"), "key").select("key", "band", "k", F.col("node").alias("x")).join(_side(sets, "x"), ["x", "band"])
+    dealt = _tiled(rows.select("key", "k", "x", "n_x", "s_x"), ["key"], "x", F.ceil(F.col("k") / TILE))
+    return near.union(dealt.drop("k").mapInPandas(_by_group(["key"], _search_sketches(plan)), "a long, b long"))
+
+
+def _verified(classes: DataFrame, sets: DataFrame, docs: DataFrame, plan: Plan, width: int, text: str, key: str) -> DataFrame:
+    """Links (a, b) between documents that stand for nodes, enough to connect what is linked; classes: (id, component) of nodes."""
+    members = stored(classes.join(sets.select(F.col("node").alias("id"), "rep", "n"), "id").select("component", F.col("rep").alias("id"), "n"), "members")
+    size = members.groupBy("component").agg(F.ceil(F.sum("n") / TILE_SHINGLES).alias("tiles"))
+    placed = members.select("component", "id").join(size, "component")
+    found = shingles_of(docs, width, text, key, _bitmap(members.select("id"))).where(F.size("s") > 0)
+    dealt = _tiled(placed.join(found, "id"), ["component"], "id", F.col("tiles"))
+    return dealt.drop("tiles").mapInPandas(_by_group(["component"], _search_sets(plan)), "a long, b long")
 
 
 def join(docs: DataFrame, percent: int, width: int, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -264,40 +380,21 @@ def join(docs: DataFrame, percent: int, width: int, text: str = "text", key: str
     with nothing; rows that share a key are one document with several texts.  Keys are integers.
 
     1. Documents with equal sets are one node, told by the smallest key; only nodes go on.
-    2. In each block bucket every node is paired with three of the bucket's members (stars, not all
-       pairs); pairs that pass both sketches are verified, and links form first components.
-    3. In buckets that still hold several components every pair across components is checked the
-       same way.  Pairs within a component need no check: they can't change the result.
+    2. Nodes that share a bucket and pass the sketches are candidates; their connected classes hold
+       every link.
+    3. Inside a class sets are compared by their intersections until all that is linked is connected.
     """
     plan = Plan(percent)
     rows = stored(sketched(docs, plan, width, text, key), "sketched")
     sets = rows.where("id is not null and n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     sets = stored(sets, "sets")
-    # Shuffled once; the buckets' counts and stars and the rows they select share that exchange.
-    spread = keyed(docs, plan, width, text, key).repartition("key")
-    buckets = spread.groupBy("key").agg(F.min("node").alias("c1"), F.max("node").alias("c2"), F.min_by("node", F.xxhash64("node")).alias("c3")).where("c1 <> c2")
-    shared = stored(spread.join(buckets, "key").groupBy("key", "band", "node", "c1", "c2", "c3").agg(F.lit(1).alias("one")).drop("one"), "buckets")
-    star = shared.select("node", "band", F.explode(F.array_distinct(F.array("c1", "c2", "c3"))).alias("c")).where("node <> c")
-    pairs = star.select(F.least("node", "c").alias("x"), F.greatest("node", "c").alias("y"), "band").distinct()
-    near = stored(_near(pairs, sets, plan), "near")
-    links = stored(_linked(near, docs, plan, width, text, key), "linked")
+    classes = components(_candidates(docs, sets, plan, width, text, key))
+    links = stored(_verified(classes, sets, docs, plan, width, text, key), "linked")
     first = stored(components(links), "components")
-
-    placed = sets.select("node", "rep").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
-    member = shared.select("key", "band", "node").join(placed, "node")
-    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = stored(member.join(mixed, "key", "left_semi"), "rest")
-    left = rest.select("key", "band", F.col("node").alias("x"), F.col("component").alias("cx"))
-    right = rest.select("key", F.col("node").alias("y"), F.col("component").alias("cy"))
-    across = left.join(right, "key").where("x < y and cx <> cy").select("x", "y", "band").distinct()
-    more = stored(_near(across, sets, plan).join(near, ["a", "b"], "left_anti"), "near")
-    if not more.isEmpty():
-        links = links.union(_linked(more, docs, plan, width, text, key))
-        first = stored(components(links), "components")
-    # Classes of equal sets, and rows of one key, are links too.
+    # Rows of one key are linked, too.
     equal = rows.where("id is not null").select("id", "n", "node").join(sets.select("node", "rep"), "node", "left")
     placed = equal.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep", "id").alias("component_id"))
-    several = placed.groupBy("id").agg(F.countDistinct("component_id").alias("k"), F.count(F.lit(1)).alias("r")).where("k > 1")
+    several = placed.groupBy("id").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi")
     if not several.isEmpty():
         bridges = placed.join(several.select("id"), "id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
         merged = components(bridges).select(F.col("id").alias("component_id"), F.col("component").alias("m"))
