@@ -25,36 +25,38 @@ TILE = 2048
 THRESHOLD = 0.9
 
 
-def learn(sample: np.ndarray, codes: int = CODES, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(mean, projections) of iterative quantisation: principal axes, turned to lower the error of their signs.
+def learn(sample: np.ndarray, codes: int = CODES, rounds: int = 30, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(origin, projection) of each code by iterative quantisation: principal axes, turned to lower the error of their signs.
 
-    Each projection starts from a random rotation, so their codes err apart.
+    Codes start from random rotations, so they err apart.  Every other code is taken about the mean,
+    which balances its bits; the others keep the origin, so that copies agree even where one group of
+    them is most of the sample and the mean lies in its middle.
     """
-    mean = sample.mean(0)
-    x = sample - mean
-    _, axes = np.linalg.eigh(x.T @ x / max(len(x), 1))
-    v = x @ axes
     rng = np.random.default_rng(seed)
     out = []
-    for _ in range(codes):
+    for code in range(codes):
+        origin = sample.mean(0) * (code % 2)
+        x = sample - origin
+        axes = np.linalg.eigh(x.T @ x / max(len(x), 1))[1]
+        v = x @ axes
         turn = np.linalg.qr(rng.normal(size=(x.shape[1], x.shape[1])))[0]
         for _ in range(rounds):
             left, _, right = np.linalg.svd(np.where(v @ turn >= 0, 1.0, -1.0).T @ v)
             turn = (left @ right).T
-        out.append(axes @ turn)
-    return mean, out
+        out.append((origin, axes @ turn))
+    return out
 
 
-def encode(vectors: np.ndarray, mean: np.ndarray, projections: list[np.ndarray], bits: int = BITS) -> np.ndarray:
+def encode(vectors: np.ndarray, projections: list[tuple[np.ndarray, np.ndarray]], bits: int = BITS) -> np.ndarray:
     """The table keys of each unit vector: one column for each whole substring of each code; the rest of a code is left over."""
     columns = []
     weight = 1 << np.arange(bits, dtype=np.int64)
-    for p in projections:
-        sign = (vectors - mean) @ p >= 0
+    for origin, p in projections:
+        sign = (vectors - origin) @ p >= 0
         for a in range(0, max(bits, sign.shape[1] // bits * bits), bits):
             part = sign[:, a : a + bits]
             columns.append(part @ weight[: part.shape[1]])
-    return np.stack(columns, axis=1) if columns else np.zeros((len(vectors), 0), np.int64)
+    return np.stack(columns, axis=1)
 
 
 def _usable(embedding: str) -> Column:
@@ -178,13 +180,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, embedding:
     distinct = stored(members.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "vectors")
     sample = about(distinct.select("id", "v"), "id", SAMPLE, salt=5).select("v").toPandas()["v"]
     x = np.stack(sample.to_numpy()).astype(np.float64)
-    mean, projections = learn(x / np.sqrt((x * x).sum(1))[:, None])
+    projections = learn(x / np.sqrt((x * x).sum(1))[:, None])
 
     def codes(frames):
         for frame in frames:
             v = np.stack(frame["v"].to_numpy()).astype(np.float64) if len(frame) else np.zeros((0, length))
             v /= np.sqrt((v * v).sum(1))[:, None]
-            keys = encode(v, mean, projections)
+            keys = encode(v, projections)
             yield frame.assign(keys=list(keys), codes=[k.tobytes() for k in keys.astype(np.uint16)])
 
     coded = stored(distinct.mapInPandas(codes, "v array<float>, id long, weight long, keys array<long>, codes binary"), "codes")

@@ -81,6 +81,16 @@ def contexts(sample: DataFrame) -> DataFrame:
     return pairs.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("contexts"))
 
 
+def _correlations(x: np.ndarray, classes: list[tuple[np.ndarray, np.ndarray]], strong: float = 0.5) -> np.ndarray:
+    """Correlations of voters within classes (row weights, firing rates), where they are at least strong; a voter has none with itself."""
+    cov = sum(((x * w[:, None].astype(np.float32)).T @ x).astype(np.float64) - max(w.sum(), 1e-9) * np.outer(p, p) for w, p in classes)
+    scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+    corr = np.clip(cov / np.outer(scale, scale), 0, 1)
+    np.fill_diagonal(corr, 0)
+    corr[corr < strong] = 0
+    return corr
+
+
 def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> np.ndarray:
     """Posterior of the toxic class for each row of a boolean matrix (texts by voters), by expectation-maximisation.
 
@@ -92,22 +102,16 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> np.ndarray
     n, m = x.shape
     if not n or not m:
         return np.full(n, prior)
-    post = np.where(x.any(1), 0.9, 0.02)
-    share = np.ones(m)
+    # To begin with, voters that fire on nearly the same texts count as one, and a second vote decides.
+    together = _correlations(x, [(np.ones(n), x.mean(0))], strong=0.8)
+    post = 1 / (1 + np.exp(-4 * (x @ (1 / (1 + together.sum(1))) - 1.5)))
+    share = 1 / np.sqrt(1 + together.sum(1))
     for step in range(rounds):
         weight = post.sum()
         p1 = np.clip((post @ x + 0.5) / (weight + 1), 1e-4, 1 - 1e-4)
         p0 = np.clip(((1 - post) @ x + 0.5) / (n - weight + 1), 1e-4, 1 - 1e-4)
         if step in (3, 10):
-            cov = np.zeros((m, m), np.float64)
-            for w, p in ((post, p1), (1 - post, p0)):
-                total = max(w.sum(), 1e-9)
-                cov += (x * w[:, None].astype(np.float32)).T @ x - total * np.outer(p, p)
-            scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            corr = np.clip(cov / np.outer(scale, scale), 0, 1)
-            np.fill_diagonal(corr, 0)
-            corr[corr < 0.5] = 0
-            share = 1 / np.sqrt(1 + corr.sum(1))
+            share = 1 / np.sqrt(1 + _correlations(x, [(post, p1), (1 - post, p0)]).sum(1))
         on, off = np.log(p1 / p0) * share, np.log((1 - p1) / (1 - p0)) * share
         z = np.log(prior / (1 - prior)) + off.sum() + x @ (on - off)
         post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
