@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import corpus, library, texts
+from .plans import corpus, extras, library, texts
 
 FLAGSHIP = "corpus_report"
-MODULES = [library, texts, corpus]
+MODULES = [library, texts, corpus, extras]
 
 
 def queries() -> dict:

@@ -150,3 +150,42 @@ def test_files(spark, tmp_path):
     assert (feed["id"], feed["title"], feed["authors"]) == ("1v2", "A b", ["N"])
     tex = spark.createDataFrame([("d", "a/b.tex", "\\documentclass{x}"), ("d", "main.tex", "\\documentclass{x}\\input{b}"), ("d", "c.tex", "no")], "doc string, path string, text string")
     assert files.root_documents(tex).first()[:3] == ("d", "main.tex", False)
+
+
+def test_diff_and_blame(spark):
+    from quirestack.operators import diff
+
+    old = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["x"]), (3, ["same"])], "k int, items array<string>")
+    new = spark.createDataFrame([(1, ["a", "B", "c", "d"]), (3, ["same"]), (4, ["y", "z"])], "k int, items array<string>")
+    got = sorted((r["k"], r["pos"], r["old"], r["new"]) for r in diff.snapshot_diff(old, new, ["k"], "items").collect())
+    assert got == [(1, 1, "b", "B"), (1, 3, None, "d"), (2, 0, "x", None), (4, 0, None, "y\nz")]
+    versions = spark.createDataFrame([(1, 1, ["a", "b"]), (1, 2, ["b"]), (1, 3, ["a", "b"])], "k int, v int, lines array<string>")
+    assert {(r["line"], r["since"]) for r in diff.blame(versions, ["k"], "v", "lines").collect()} == {("a", 3), ("b", 1)}
+    assert diff.presence(versions, ["k"], "v", F.array_contains("lines", "a")).first()[1:] == (2, 2)
+
+
+def test_archives(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    from quirestack.sources import archives
+
+    def tar(name):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w:gz") as t:
+            info = tarfile.TarInfo(name)
+            info.size = 2
+            t.addfile(info, io.BytesIO(b"hi"))
+        return out.getvalue()
+
+    opf = '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="cover" href="c.xhtml"/><item id="n" href="nav.xhtml" properties="nav"/><item id="b" href="b.xhtml"/><item id="a" href="a.xhtml"/></manifest><spine><itemref idref="cover"/><itemref idref="n"/><itemref idref="b"/><itemref idref="a"/></spine></package>'
+    (tmp_path / "good.tgz").write_bytes(tar("x/a.tex"))
+    (tmp_path / "bad.tgz").write_bytes(tar("../a.tex"))
+    (tmp_path / "plain.tex").write_bytes(b"text")
+    with zipfile.ZipFile(tmp_path / "book.epub", "w") as z:
+        z.writestr("OEBPS/book.opf", opf)
+    rows = archives.read_archives(spark, str(tmp_path))
+    got = {r["path"].rsplit("/", 1)[-1]: (r["member"], r["error"] is None) for r in rows.collect()}
+    assert got == {"good.tgz": ("x/a.tex", True), "bad.tgz": (None, False), "plain.tex": ("", True), "book.epub": ("OEBPS/book.opf", True)}
+    assert [r["member"] for r in archives.epub_spine(rows).orderBy("pos").collect()] == ["OEBPS/b.xhtml", "OEBPS/a.xhtml"]
