@@ -74,8 +74,8 @@ def terms_before_owner(spark, d):
 
 
 @query("""
-SELECT o_orderkey, date_diff('day', o_orderdate, TIMESTAMP '2000-01-01') AS days, strftime(o_orderdate, CASE WHEN year(o_orderdate) = 1997 THEN '%d %b' ELSE '%d %b %Y' END) AS label,
-  least(8000, o_totalprice::BIGINT // 4) AS reserve FROM orders""")
+SELECT o_orderkey, date_diff('day', o_orderdate, TIMESTAMP '2000-01-01') AS days, CASE WHEN year(o_orderdate) = 1997 THEN strftime(o_orderdate, '%d %b') ELSE strftime(o_orderdate, '%d %b %Y') END AS label,
+  least(8000, floor(round_even(o_totalprice, 0) / 4)::BIGINT) AS reserve FROM orders""")
 def dates_and_reserves(spark, d):
     day = F.col("o_orderdate")
     label = F.when(F.year(day) == 1997, F.date_format(day, "dd MMM")).otherwise(F.date_format(day, "dd MMM yyyy"))
