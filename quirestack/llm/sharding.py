@@ -63,13 +63,14 @@ def shard(docs: DataFrame, limit: int, text: str = "text", key: str = "doc_id")
     bits, above, out = min(BITS, max(0, ceil(log2(max(1, total / limit))) + 5)), 0, None
     while True:
         cells = stored(directory(rows, limit, bits, above), "directory")
+        # The directory grows with the data and compresses so well that file sizes understate it: never broadcast.
         settled = cells if bits == BITS else cells.where("fits")
-        done = rows.withColumn("cell", F.shiftright("h", BITS - bits)).join(settled, "cell").drop("cell", "h", "bytes")
+        done = rows.withColumn("cell", F.shiftright("h", BITS - bits)).join(settled.hint("merge"), "cell").drop("cell", "h", "bytes")
         out = done if out is None else out.unionByName(done)
         over = cells.where("not fits")
         if bits == BITS or over.isEmpty():
             break
-        rows = stored(rows.withColumn("cell", F.shiftright("h", BITS - bits)).join(over.select("cell"), "cell", "left_semi").drop("cell"), "rows")
+        rows = stored(rows.withColumn("cell", F.shiftright("h", BITS - bits)).join(over.select("cell").hint("merge"), "cell", "left_semi").drop("cell"), "rows")
         above, bits = bits + 1, min(BITS, bits + 9)
     # A bucket that never fits is as deep as the hash goes, whether it holds one row or many.
     name = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
