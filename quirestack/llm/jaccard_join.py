@@ -70,20 +70,18 @@ class Plan:
     def __init__(self, percent: int):
         self.percent = percent
         self.least = percent / 100
-        self.reach = -log(self.least)  # of a partner's size, as a difference of logarithms
 
     def difference(self, a, b):
         """The largest symmetric difference of linked sets of sizes a and b."""
         return np.floor((100 - self.percent) * (np.asarray(a, np.int64) + b) / (100 + self.percent) + 1e-9).astype(np.int64)
 
     def top(self, band: int) -> int:
-        """The largest size in a band or within reach below one."""
+        """The largest size in a band."""
         return floor(exp((band + 1) * BAND) + 1e-9)
 
     def bands(self, n: int) -> list[int]:
-        """The bands in which a set of n shingles meets its partners: its own, and the next if a larger partner may lie there."""
-        own = self.band(n)
-        return [own] if self.band(floor(n / self.least + 1e-9)) == own else [own, own + 1]
+        """The bands in which a set of n shingles meets its partners: its own, and those above in which a larger partner may lie."""
+        return list(range(self.band(n), self.band(floor(n / self.least + 1e-9)) + 1))
 
     def band(self, n: int) -> int:
         k = max(0, int(log(n) / BAND) - 1)
