@@ -15,7 +15,7 @@ from math import exp, floor, log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Prefix, blocks, components, documents, mix, stored, words_of
@@ -26,7 +26,7 @@ BAND = 0.3
 #: Bits of the deciding sketch for each shingle.
 FINE = 2
 #: Blocks after an equal one that a pair is held against.
-RING = 8
+RING = 4
 #: Buckets of more sets than this are searched in tiles of about so many; smaller ones are joined to pairs.
 SMALL, TILE = 8, 1024
 #: Shingles in a tile of a candidate class, about.
@@ -116,7 +116,7 @@ def block_keys(hashes: np.ndarray, plan: Plan) -> list[tuple[int, np.ndarray, np
         value, folded = np.zeros(m, np.uint64), np.zeros(m, np.uint8)
         value[block[order[at]]] = np.bitwise_xor.reduceat((mix(low) | np.uint64(1))[order], at)  # one of 2**32 bits of the block
         folded[block[order[at]]] = np.bitwise_xor.reduceat(np.left_shift(1, (low & np.uint64(7)).astype(np.uint8)).astype(np.uint8)[order], at)
-        ring = np.zeros((m, RING), np.uint8)
+        ring = np.zeros((m, 8), np.uint8)
         for k in range(min(RING, m - 1)):
             ring[:, k] = np.roll(folded, -k - 1)
         ring = ring.view("<i8")[:, 0]
@@ -338,13 +338,15 @@ def _search_sets(plan: Plan):
 
 def _candidates(docs: DataFrame, sets: DataFrame, plan: Plan, width: int, text: str, key: str) -> DataFrame:
     """Pairs of nodes (a, b) whose connected classes hold every link: near pairs, or trees of them."""
-    # One exchange: the buckets' counts and the rows that they select need the same columns.
-    rows = keyed(docs, plan, width, text, key).repartition("key").groupBy("key", "band", "node").agg(F.first("ring").alias("ring"))
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("members"), F.bit_xor("ring").alias("r"), F.max("band").alias("_b")).where("k > 1")
-    shared = stored(rows.join(buckets.select("key", "k", "members"), "key"), "buckets")
+    # The blocks are shuffled once; most have no partner and end at this filter.
+    bucket = Window.partitionBy("key")
+    rows = keyed(docs, plan, width, text, key).withColumn("lo", F.min("node").over(bucket)).withColumn("hi", F.max("node").over(bucket)).where("lo <> hi")
+    rows = stored(rows.groupBy("key", "band", "node").agg(F.first("ring").alias("ring")), "blocks")
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("members"))
+    shared = stored(rows.join(buckets, "key"), "buckets")
     small = shared.where(F.col("k") <= SMALL)
     apart = F.col("ring_x").bitwiseXOR(F.col("ring_y"))
-    follows = [F.bit_count(apart.bitwiseAND(F.lit((1 << 8 * k) - 1 if k < 8 else -1))) <= k for k in range(1, RING + 1)]
+    follows = [F.bit_count(apart.bitwiseAND(F.lit((1 << 8 * k) - 1))) <= k for k in range(1, RING + 1)]
     left = small.select("key", "band", F.col("node").alias("x"), F.col("ring").alias("ring_x"))
     right = small.select("key", F.col("node").alias("y"), F.col("ring").alias("ring_y"))
     pairs = left.join(right, "key").where(F.col("x") < F.col("y"))
