@@ -60,7 +60,7 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _PART = r"(?<![0-9A-Za-z])"
 SHAPES = {
     "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": _PART + r"[0-9a-f]{32,}+(?![0-9A-Za-z])",
+    "secret": _PART + r"[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
     "ip": r"(?<![0-9A-Za-z.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![0-9A-Za-z]|\.[0-9])",
     "iso_date": _PART + r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z])",
     "day_date": _PART + r"[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}(?![0-9A-Za-z])",
@@ -183,8 +183,12 @@ def _hash(m: Column, tweak: str, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    """A secret's hexadecimal digits are replaced by as many of a keyed hash; it has no number to permute."""
-    return F.substring(F.repeat(_hash(m, "secret", key), F.ceil(F.length(m) / 64).cast("int")), F.lit(1), F.length(m))
+    """A secret's hexadecimal digits are replaced by as many of a keyed hash; it has no number to permute.
+
+    Upper and lower case give the same hash; it is in upper case where all letters of the secret are.
+    """
+    fresh = F.substring(F.repeat(_hash(F.lower(m), "secret", key), F.ceil(F.length(m) / 64).cast("int")), F.lit(1), F.length(m))
+    return F.when(m.rlike("[a-f]") | ~m.rlike("[A-F]"), fresh).otherwise(F.upper(fresh))
 
 
 def _mail(m: Column, key: str) -> Column:

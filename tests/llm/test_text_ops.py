@@ -184,6 +184,15 @@ def test_pii_formats_and_links(spark, edge, empty):
     assert kept == set(EDGE) and pii.pseudonymised(empty, key).count() == 0
 
 
+def test_pii_secrets_in_either_case(spark):
+    secret = "9233a8ec" * 5
+    texts = [f'TOKEN = "{secret}"', f'TOKEN = "{secret.upper()}"', f'TOKEN = "{secret[:-2] + "EC"}"']
+    rows = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    lower, upper, mixed = (re.fullmatch('TOKEN = "([0-9A-Fa-f]{40})"', r["text"])[1] for r in rows)
+    assert [r["n_secret"] for r in rows] == [1, 1, 1] and lower != secret
+    assert lower == lower.lower() == mixed and upper == lower.upper() != lower
+
+
 def test_feistel_is_a_permutation(spark):
     for left, right in ((20, 50), (7, 11), (1, 5)):
         values = [r["v"] for r in spark.range(left * right).select(pii.permute(F.col("id"), left, right, "t", "k").alias("v")).collect()]
