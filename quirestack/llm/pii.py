@@ -54,7 +54,7 @@ def permute(value: Column, left: int, right: int, tweak: str, key: str) -> Colum
 
 
 # ---- formats ---------------------------------------------------------------------------------
-# The shapes that are looked for, in order of precedence at one place.  Possessive
+# The shapes that are looked for, in order of precedence at one place; cards follow below.  Possessive
 # repetition and the tests before each shape keep the search linear in the text.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _PART = r"(?<![0-9A-Za-z])"
@@ -67,9 +67,12 @@ SHAPES = {
     "phone": r"\+[0-9](?:[ ().-]{0,2}[0-9]){7,14}(?![0-9])",
     "ssn": _PART + r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z])",
     "local_phone": r"(?:\([0-9]{3}\) ?|" + _PART + r"[0-9]{3}-)[0-9]{3}-[0-9]{4}(?![0-9A-Za-z])",
-    "card": _PART + r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
 ANY = "|".join(f"(?:{p})" for p in SHAPES.values())
+#: Groups of digits, parted by single spaces or dashes, in which cards are looked for outside the other shapes.
+CHAIN = _PART + r"(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ -][0-9]++(?![A-Za-z]))*+"
+#: Digits of a card, and the sizes of groups in which cards are written; a single group may have any of these sizes.
+CARD_LEAST, CARD_MOST, CARD_GROUPS = 13, 19, ("4-4-4-4", "4-6-5", "4-6-4")
 #: Dates that are permuted: DAYS days from the first.
 FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "1850-01-01", 250, 400
 
@@ -110,11 +113,97 @@ def _permuted_digits(digits: Column, least: int, most: int, tweak: str, key: str
 def _card(m: Column, key: str) -> Column:
     digits = _digits(m)
     body = digits.substr(F.lit(1), F.length(digits) - 1)
-    fresh = _permuted_digits(body, 12, 18, "card", key)
+    fresh = _permuted_digits(body, CARD_LEAST - 1, CARD_MOST - 1, "card", key)
     whole = F.concat(fresh, F.pmod(-_luhn(F.concat(fresh, F.lit("0"))), F.lit(10)).cast("string"))
     return F.when(F.pmod(_luhn(digits), F.lit(10)) == 0, _fill(m, whole))
 
 
+def _bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
+def _piece(raw: Column, kind: Column, value: Column) -> Column:
+    return F.struct(raw.alias("raw"), kind.cast("string").alias("kind"), value.cast("string").alias("value"))
+
+
+def _plain(raw: Column) -> Column:
+    return _piece(raw, F.lit(None), F.lit(None))
+
+
+def _from_to(first: Column, last: Column) -> Column:
+    """The integers from first to last, none if last is smaller."""
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def _card_spans(groups: Column) -> Column:
+    """array<struct<i,j>>: the runs of whole groups, from i to j, that are cards, in order and apart from each other.
+
+    A card has a valid check digit.  From left to right, a run of groups as cards are written, with an
+    issuer's first digit, is taken first; any other run is taken if none such begins inside it, the
+    longest first.
+    """
+
+    def run(i: Column, j: Column) -> Column:
+        part = F.slice(groups, i, j - i + 1)
+        sizes = F.array_join(F.transform(part, lambda x: F.length(x).cast("string")), "-")
+        usual = ((i == j) | sizes.isin(*CARD_GROUPS)) & F.element_at(part, 1).rlike("^[2-6]")
+        return F.struct(j.alias("j"), F.array_join(part, "").alias("d"), usual.alias("usual"))
+
+    def valid(x: Column) -> Column:
+        return F.length(x["d"]).between(CARD_LEAST, CARD_MOST) & (F.pmod(_luhn(x["d"]), F.lit(10)) == 0)
+
+    def starting(i: Column) -> Column:
+        ends = _from_to(i, F.least(i + CARD_MOST - 1, F.size(groups)))
+        return F.transform(F.filter(F.transform(ends, lambda j: run(i, j)), valid), lambda x: F.struct(x["j"], x["usual"]))
+
+    def last(runs: Column, usual: Column, i: Column) -> Column:
+        free = F.filter(runs[i - 1], lambda x: ~x["usual"] & ~F.exists(F.slice(usual, i + 1, x["j"] - i), lambda u: u > 0))
+        return F.when(usual[i - 1] > 0, usual[i - 1]).otherwise(F.coalesce(F.array_max(F.transform(free, lambda x: x["j"])), F.lit(0)))
+
+    def chosen(runs: Column, usual: Column) -> Column:
+        ends = F.transform(_from_to(F.lit(1), F.size(groups)), lambda i: F.struct(i.alias("i"), last(runs, usual, i).alias("j")))
+        none = F.struct(F.array().cast("array<struct<i:int,j:int>>").alias("s"), F.lit(0).alias("j"))
+        taken = lambda a, x: F.struct(F.concat(a["s"], F.array(F.struct(x["i"], x["j"]))).alias("s"), x["j"].alias("j"))
+        return F.aggregate(F.filter(ends, lambda x: x["j"] > 0), none, lambda a, x: F.when(x["i"] > a["j"], taken(a, x)).otherwise(a), lambda a: a["s"])
+
+    def first_usual(runs: Column) -> Column:
+        return F.transform(runs, lambda r: F.coalesce(F.array_max(F.transform(F.filter(r, lambda x: x["usual"]), lambda x: x["j"])), F.lit(0)))
+
+    every = F.transform(_from_to(F.lit(1), F.size(groups)), starting)
+    return _bound(every, lambda runs: _bound(first_usual(runs), lambda usual: chosen(runs, usual)))
+
+
+def _chain_pieces(chain: Column, key: str) -> Column:
+    """array<struct<raw,kind,value>> of a chain of groups: its cards and what stands between them."""
+
+    def made(parts: Column, spans: Column) -> Column:
+        text = lambda i, j: F.array_join(F.slice(parts, i, F.greatest(j - i + 1, F.lit(0))), "")
+
+        def card(s: Column, n: Column) -> Column:
+            before = F.when(n > 0, spans[n - 1]["j"]).otherwise(0)
+            whole = text(s["i"], s["j"])
+            own = F.regexp_extract(whole, "^(.*[0-9])([ -]?)$", 1)
+            return F.array(
+                _plain(text(before + 1, s["i"] - 1)),
+                _bound(own, lambda m: _piece(m, F.lit("card"), _card(m, key))),
+                _plain(F.regexp_extract(whole, "^(.*[0-9])([ -]?)$", 2)),
+            )
+
+        end = F.coalesce(F.array_max(F.transform(spans, lambda s: s["j"])), F.lit(0))
+        return F.concat(F.flatten(F.transform(spans, card)), F.array(_plain(text(end + 1, F.size(parts)))))
+
+    parts = F.split(chain, "(?<=[ -])")  # each group with the mark behind it
+    return _bound(parts, lambda p: _bound(F.transform(p, _digits), lambda g: _bound(_card_spans(g), lambda s: made(p, s))))
+
+
+def _card_pieces(gap: Column, key: str) -> Column:
+    """array<struct<raw,kind,value>> of a text: its cards and what stands between them."""
+    chains = F.regexp_extract_all(gap, F.lit(CHAIN), F.lit(0))
+    both = F.zip_with(F.split(gap, CHAIN, -1), chains, lambda g, c: F.when(c.isNull(), F.array(_plain(g))).otherwise(F.concat(F.array(_plain(g)), _chain_pieces(c, key))))
+    return F.when(gap.rlike(CHAIN), F.flatten(both)).otherwise(F.array(_plain(gap)))
+
+
 def _phone(m: Column, key: str) -> Column:
     digits = _digits(m)
     rest = digits.substr(F.lit(2), F.length(digits))  # the first digit, of the country code, stays
@@ -205,8 +294,8 @@ MAKERS: dict[str, Callable[[Column, str], Column]] = {
     "phone": _phone,
     "ssn": _ssn,
     "local_phone": _local_phone,
-    "card": _card,
 }
+KINDS = (*MAKERS, "card")
 
 
 def hidden(docs: DataFrame, key: str, text: str = "text", into: str = "text", found: str = "found") -> DataFrame:
@@ -228,19 +317,20 @@ def hidden(docs: DataFrame, key: str, text: str = "text", into: str = "text", fo
             value = F.lit(None).cast("string")
             for name, maker in MAKERS.items():
                 value = F.when(k == name, maker(m, key)).otherwise(value)
-            return F.struct(m.alias("raw"), k.alias("kind"), value.alias("value"))
+            return _piece(m, k, value)
 
         return F.element_at(F.transform(F.array(kinds), made), 1)
 
-    rows = rows.withColumn("_made", F.transform("_spots", replaced))
+    # Cards are looked for between the other shapes.
     pieces = F.zip_with(
-        F.split(t, ANY, -1),
-        F.transform("_made", lambda x: F.coalesce(x["value"], x["raw"])),
-        lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))),
+        F.transform(F.split(t, ANY, -1), lambda gap: _card_pieces(gap, key)),
+        F.transform("_spots", replaced),
+        lambda gap, spot: F.concat(gap, F.when(spot.isNull(), F.array().cast("array<struct<raw:string,kind:string,value:string>>")).otherwise(F.array(spot))),
     )
-    fresh = F.when(F.size("_spots") > 0, F.array_join(pieces, "")).otherwise(t)
+    rows = rows.withColumn("_made", F.when(t.rlike("[0-9@]"), F.flatten(pieces)))
+    fresh = F.when(F.col("_made").isNotNull(), F.array_join(F.transform("_made", lambda x: F.coalesce(x["value"], x["raw"])), "")).otherwise(t)
     kept = F.transform(F.filter("_made", lambda x: x["value"].isNotNull()), lambda x: F.struct(x["kind"], x["value"]))
-    return rows.withColumns({into: fresh, found: kept}).drop("_spots", "_made")
+    return rows.withColumns({into: fresh, found: F.coalesce(kept, F.array().cast("array<struct<kind:string,value:string>>"))}).drop("_spots", "_made")
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
@@ -248,7 +338,7 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     rows = hidden(docs.select("doc_id", "text"), key)
     kinds = F.transform("found", lambda x: x["kind"])
     rows = rows.withColumn("kinds", kinds)
-    counts = [(F.size("kinds") - F.size(F.array_remove("kinds", k))).alias(f"n_{k}") for k in MAKERS]
+    counts = [(F.size("kinds") - F.size(F.array_remove("kinds", k))).alias(f"n_{k}") for k in KINDS]
     return rows.select("doc_id", "text", F.size("found").alias("n_found"), *counts)
 
 

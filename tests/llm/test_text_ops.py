@@ -193,6 +193,23 @@ def test_pii_secrets_in_either_case(spark):
     assert lower == lower.lower() == mixed and upper == lower.upper() != lower
 
 
+def test_pii_cards_beside_other_numbers(spark):
+    card, other = "4111 1111 1111 1111", "5500-0000-0000-0004"
+    beside = ["{}", "{} 12/27", "{} 123", "no. 7 {}", "1234567 {}", "5 {} 12 27", "{} 2024-01-02", "9999 {} 9999", "{} 12th", "1 22 333 4444 55555 {} 1 22 333 4444 55555"]
+    texts = [b.format(c) for b in beside for c in (card, card.replace(" ", ""), other)] + [f"{card} {other} 123", "7 123-45-6789 4111 1111 1111 1111", "4111 1111 1111 1112 12/27", "9" * 31, "12 " * 2_000 + "x"]
+    rows = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    fresh, fresh_other = rows[0]["text"], rows[2]["text"]
+    assert fresh != card and fresh_other != other and luhn(re.sub(r"\D", "", fresh)) and rows[1]["text"] == fresh.replace(" ", "")
+    names = {card: fresh, card.replace(" ", ""): fresh.replace(" ", ""), other: fresh_other}
+    for k, (text, r) in enumerate(zip(texts[: 3 * len(beside)], rows)):
+        c = list(names)[k % 3]
+        assert names[c] in r["text"] and c not in r["text"] and r["n_card"] >= 1, (text, r["text"])
+    two, both, bad, run, long = rows[3 * len(beside) :]
+    assert two["text"] == f"{fresh} {fresh_other} 123" and two["n_card"] == 2
+    assert both["text"].endswith(fresh) and (both["n_ssn"], both["n_card"]) == (1, 1)
+    assert bad["n_card"] == 0 and bad["text"] == texts[-3] and run["text"] == texts[-2] and len(long["text"]) == len(texts[-1])
+
+
 def test_feistel_is_a_permutation(spark):
     for left, right in ((20, 50), (7, 11), (1, 5)):
         values = [r["v"] for r in spark.range(left * right).select(pii.permute(F.col("id"), left, right, "t", "k").alias("v")).collect()]
