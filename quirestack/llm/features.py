@@ -28,6 +28,9 @@ _GROUP[0x80:] = len(_MARKS) + 6
 _GROUPS = len(_MARKS) + 7
 #: Number of values stats() gives for a text.
 STATS = _GROUPS + 7
+#: Places of some of them: the shares of '!', '*' and capitals, repeated words, repeated lines.
+EXCLAMATIONS, ASTERISKS, CAPITALS = (int(_GROUP[ord(c)]) for c in "!*A")
+REPEATED_WORDS, REPEATED_LINES = _GROUPS + 2, _GROUPS + 4
 
 
 def _distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

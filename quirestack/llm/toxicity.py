@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, documents
-from .features import levels, stats, terms
+from .features import ASTERISKS, CAPITALS, EXCLAMATIONS, REPEATED_LINES, REPEATED_WORDS, levels, stats, terms
 from .labelled import held_out, labelled_texts, read_labels
 
 #: Labelled rows that voters and classifier are learned from, at most about.
@@ -26,7 +26,7 @@ TERMS, VOTERS = 4096, 768
 LEAST_CONTEXTS, CONTEXTS_A_TEXT, COUNTS_FROM, VOTES_FROM = 6, 0.05, 0.5, 0.75
 THRESHOLD = 0.3
 #: Values of features.stats that patterns look at: the shares of '!', '*' and capitals, repeated words, repeated lines.
-PATTERNS = ((0, 0.5), (9, 0.5), (32, 1.5), (41, 1.0), (43, 1.0))
+PATTERNS = ((EXCLAMATIONS, 0.5), (ASTERISKS, 0.5), (CAPITALS, 1.5), (REPEATED_WORDS, 1.0), (REPEATED_LINES, 1.0))
 
 
 def _fires(texts: list[bytes], bases: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -153,6 +153,13 @@ def test_label_model_discounts_repeated_voters():
     assert ((post > 0.5) == truth).mean() > 0.97
 
 
+def test_each_toxicity_pattern_fires_on_its_text():
+    plain = "one quiet line of text (with ordinary marks ~ and words)"
+    texts = [plain + " no!!!", plain + " f**k", plain + " GO AWAY NOW", "go away " * 5, "go away\n" * 5, plain]
+    fired = toxicity._patterns([t.encode() for t in texts])
+    assert [np.flatnonzero(f).tolist() for f in fired] == [[0], [1], [2], [3], [3, 4], []]
+
+
 def test_risk_stays_non_negative_and_separates():
     rng = np.random.default_rng(0)
     positive = rng.normal(1, 1, (500, quality.STATS))
