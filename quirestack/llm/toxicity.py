@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, documents
@@ -21,8 +21,8 @@ from .labelled import held_out, labelled_texts, read_labels
 LABELLED = 20_000
 #: Levels of terms with weights of their own, and those of them that vote, at most.
 TERMS, VOTERS = 4096, 768
-#: Different words that a term must follow in toxic texts, in all and for each such text, and the share of
-#: its texts that is labelled toxic, to count and to vote.
+#: Different words that a term must follow in toxic texts, in all and for each toxic text that holds the
+#: term, and the share of its texts that is labelled toxic, to count and to vote.
 LEAST_CONTEXTS, CONTEXTS_A_TEXT, COUNTS_FROM, VOTES_FROM = 6, 0.05, 0.5, 0.75
 THRESHOLD = 0.3
 #: Values of features.stats that patterns look at: the shares of '!', '*' and capitals, repeated words, repeated lines.
@@ -150,14 +150,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     Without labels, or without toxic ones, no term counts and every score is small.
     """
     sample = labelled_texts(docs, labels, LABELLED, salt=3).persist()
-    sums = sample.agg(F.avg("y").alias("p"), F.sum("y").alias("n")).first()
-    prior = min(0.9, max(0.005, sums["p"] or 0.0))
-    least = max(LEAST_CONTEXTS, CONTEXTS_A_TEXT * (sums["n"] or 0))
+    prior = min(0.9, max(0.005, sample.agg(F.avg("y").alias("p")).first()["p"] or 0.0))
+    # Every level of a term is judged by the texts of its first, which holds all of them.
+    least = F.greatest(F.lit(float(LEAST_CONTEXTS)), CONTEXTS_A_TEXT * F.max("toxic").over(Window.partitionBy("term")))
     share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     chosen = (
         term_counts(sample)
+        .withColumn("least", least)
         .where(share >= COUNTS_FROM)
-        .join(contexts(sample).where(F.col("contexts") >= least), "term")
+        .join(contexts(sample).where(F.col("contexts") >= LEAST_CONTEXTS), "term")
+        .where("contexts >= least")
         .orderBy(F.desc(F.col("toxic") * share * share), "feature")
         .limit(TERMS)
         .select("feature", "term", share.alias("share"))

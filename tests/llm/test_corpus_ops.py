@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -153,6 +154,23 @@ def test_label_model_discounts_repeated_voters():
     assert ((post > 0.5) == truth).mean() > 0.97
 
 
+def test_toxicity_learns_rare_terms_but_not_copies(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(3000)]
+    rare = ["".join(rng.choices("qrstuvwxyz", k=7)) for _ in range(20)]
+    text = lambda extra: " ".join([*rng.choices(words, k=12), *extra, *rng.choices(words, k=12)])
+    copy = text(["copiedword"])
+    rows = [(text([w]), 1) for w in rare for _ in range(15)] + [(copy, 1)] * 100 + [(text([]), 0) for _ in range(2000)]
+    ids = [i for i in range(4 * len(rows)) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(i, t, y) for i, (t, y) in zip(ids, rows)], "doc_id long, text string, y int")
+    model = toxicity.train(docs.drop("y"), docs.select("doc_id", "y"))
+    known = lambda ws: set(toxicity._fires([w.encode() for w in ws], model.bases, model.known)[0].tolist())
+    assert known(rare) == set(range(len(rare))) and not known(["copiedword"])
+    toxic = model.score([text([w]).encode() for w in rare])
+    clean = model.score([text(["copiedword"]).encode() for _ in range(20)])
+    assert (toxic >= toxicity.THRESHOLD).mean() > 0.5 and (clean < toxicity.THRESHOLD).mean() >= 0.9
+
+
 def test_each_toxicity_pattern_fires_on_its_text():
     plain = "one quiet line of text (with ordinary marks ~ and words)"
     texts = [plain + " no!!!", plain + " f**k", plain + " GO AWAY NOW", "go away " * 5, "go away\n" * 5, plain]
