@@ -24,10 +24,18 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id; rows without an id stay."""
-    groups = jaccard_join.join(docs, percent=80, width=5)
-    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near copies: that of the smallest id, and the smallest of several rows of this id.
+
+    Rows without an id are told apart by their texts, come after all ids, and stay if they hold no words.
+    """
+    by_text = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), by_text)))
+    groups = jaccard_join.join(keyed, percent=80, width=5, key="_key").where("_key IS NOT NULL")
+    several = groups.groupBy("_key").agg(F.max(F.col("_key") != F.col("component_id")).alias("_copy"), F.count(F.lit(1)).alias("_n")).where("_copy OR _n > 1")
+    several = stored(several, "copies")
+    alone = keyed.join(several.select("_key"), "_key", "left_anti").select(docs.columns)
+    first = keyed.join(several.where("NOT _copy").select("_key"), "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return alone.unionByName(first.select("_row.*"))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

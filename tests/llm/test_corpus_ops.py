@@ -223,6 +223,13 @@ def test_pipeline(spark):
     assert tokens.join(text, "doc_id").where("h <> decoded_sha256").count() == 0
 
 
+def test_near_duplicates_keep_one_row_of_a_group(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, a), (1, a), (2, a), (3, "alone in this table of rows"), (None, b), (None, b), (None, b.upper()), (None, a), (4, "x y"), (4, "z"), (None, ""), (None, None)]
+    got = corpus_pipeline.near_duplicates(spark, frame(spark, rows), SF).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"]).lower()) for r in got) == sorted([("1", a), ("3", rows[3][1]), ("None", b), ("4", "x y"), ("None", ""), ("None", "none")])
+
+
 def test_pipeline_on_edge_rows(spark):
     for rows in (EDGE, []):
         docs = frame(spark, rows)
