@@ -15,9 +15,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Where neither is set, a temporary folder is taken, but only if all runs on one machine (tests); a cluster raises.
+    """
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="quirestack-")
         spark.conf.set("spark.checkpoint.dir", place)
         spark.sparkContext.setCheckpointDir(place)
@@ -29,20 +34,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that stored() wrote and that nothing reads any more."""
+    for df in tables:
+        place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id in links: the smallest id reachable.
 
     Alternating large-star and small-star rounds over the distinct links; each round is two
-    aggregations, its result is written to the shared folder, and the number of rounds grows with
-    the logarithm of the longest path.  Nothing but one count a round reaches the driver.
+    aggregations, its result is written to the shared folder in place of the last one's, and the number
+    of rounds grows with the logarithm of the longest path.  Nothing but one count a round reaches the driver.
     """
     edges = stored(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links"
     )
-    while True:
+    settled = False
+    while not settled:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -54,12 +69,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .distinct(),
             "links",
         )
+        discard(edges)
+        edges = after
         # A fixed point is a forest of stars: no centre is itself a member.
         if after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
-            if after.groupBy("u").count().where("count > 1").isEmpty():
-                edges = after
-                break
-        edges = after
+            settled = after.groupBy("u").count().where("count > 1").isEmpty()
     roots = edges.select(F.col("v").alias("u"), "v").distinct()
     return edges.union(roots).select(F.col("u").alias("id"), F.col("v").alias("component"))
 

@@ -22,15 +22,25 @@ def read_labels(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
 
 
 def about(rows: DataFrame, key: str, bound: int, salt: int) -> DataFrame:
-    """rows if there are at most bound, else those whose key falls in a share of hash space that holds about as many; never over twice the bound."""
+    """rows if there are at most bound, else one row for each key in a share of hash space that holds about bound rows.
+
+    The sample stays distributed.  Of rows that share a key the smallest is taken, so one key never
+    fills it, and the sample doesn't depend on the layout of the input.
+    """
     n = rows.count()
     if n <= bound:
         return rows
     slot = F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(_SLOTS))
-    return rows.where(slot < int(_SLOTS * bound / n)).limit(2 * bound)
+    others = [c for c in rows.columns if c != key]
+    chosen = rows.where(slot < int(_SLOTS * bound / n))
+    return chosen.groupBy(key).agg(F.min(F.struct(*others)).alias("_r")).select(key, "_r.*") if others else chosen.distinct()
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, bound: int, salt: int = 1) -> DataFrame:
-    """(text, y) of at most about bound labelled rows; the ids that are sent to all tasks are bounded by it."""
+    """(text, y) of at most about bound labelled rows; the ids that are sent to all tasks are bounded by it.
+
+    Rows that share an id count once: labels speak of ids, and the smallest of the texts stands for it.
+    """
     chosen = about(labels, "doc_id", bound, salt)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y").limit(2 * bound)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("_r")).select("_r.*")

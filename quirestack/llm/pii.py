@@ -1,9 +1,11 @@
 """Format-preserving pseudonyms by a Feistel network, in DataFrame expressions only.
 
-Numbers that validate (cards by their check digit, IPv4 octets, phones), calendar dates, mail addresses
-and long hexadecimal secrets are found by patterns; each is permuted under a key inside its own format.
-A permutation maps equal values to equal pseudonyms in every document and different values to
-different ones, so records stay linked; a card's pseudonym has a valid check digit, a date's is a date.
+Numbers that validate (cards by their check digit, account numbers by their remainder, IPv4 octets,
+phones), calendar dates, names in mail addresses, access keys and long hexadecimal secrets are found by
+patterns; each is permuted under a key inside its own format.  A permutation maps equal values to equal
+pseudonyms in every document and different values to different ones, so records stay linked; a card's
+pseudonym has a valid check digit, a date's is a date of as many digits, a name's has letters and digits
+where the name had them.
 """
 
 from __future__ import annotations
@@ -24,33 +26,81 @@ QUERY_KEY = "public test key"
 # ---- the permutation -------------------------------------------------------------------------
 
 
-def _round(half: Column, tweak: str, i: int, key: str) -> Column:
-    """48 bits of SHA-256 over key, tweak, round and half."""
-    secret = hashlib.sha256(f"{key}/{tweak}/{i}".encode()).hexdigest()
-    digest = F.sha2(F.concat_ws("/", F.lit(secret), half.cast("string")).cast("binary"), 256)
+def _secrets(tweak: str, key: str) -> Column:
+    """What the hashes of each round start from."""
+    return F.array(*[F.lit(hashlib.sha256(f"{key}/{tweak}/{i}".encode()).hexdigest()) for i in range(ROUNDS)])
+
+
+def _hashed(secret: Column, half: Column) -> Column:
+    """48 bits of SHA-256 over a round's secret and a half."""
+    digest = F.sha2(F.concat_ws("/", secret, half).cast("binary"), 256)
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
 
-def permute(value: Column, left: int, right: int, tweak: str, key: str) -> Column:
-    """A keyed permutation of the integers from 0 below left * right, as long.
+def _bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
+def permute(value: Column, left: int | Column, right: int | Column, tweak: str, key: str, kind: Column | None = None) -> Column:
+    """A keyed permutation of the integers from 0 below left * right, as long; kind: a column that tweaks it further.
 
     The halves a = value div right and b = value mod right are moved in turn by a hash of the other,
     each within its own modulus, so every round can be undone.
     """
+    left, right = (x if isinstance(x, Column) else F.lit(x).cast("long") for x in (left, right))
+    v = value.cast("long")
 
-    def rounds(x: Column, i: int) -> Column:
-        if i == ROUNDS:
-            return x["a"] * F.lit(right).cast("long") + x["b"]
-        return F.element_at(F.transform(F.array(moved(x, i)), lambda y: rounds(y, i + 1)), 1)
+    def state(half: Column, m: Column, other: Column, n: Column) -> Column:
+        return F.struct(half.alias("half"), m.alias("m"), other.alias("other"), n.alias("n"))
 
-    def moved(x: Column, i: int) -> Column:
-        if i % 2 == 0:
-            return F.struct(F.pmod(x["a"] + F.pmod(_round(x["b"], tweak, i, key), F.lit(left).cast("long")), F.lit(left).cast("long")).alias("a"), x["b"].alias("b"))
-        return F.struct(x["a"].alias("a"), F.pmod(x["b"] + F.pmod(_round(x["a"], tweak, i, key), F.lit(right).cast("long")), F.lit(right).cast("long")).alias("b"))
+    def moved(x: Column, secret: Column) -> Column:
+        """The halves change places, so that the same move does for every round."""
+        seen = x["other"].cast("string") if kind is None else F.concat_ws("/", kind, x["other"].cast("string"))
+        return state(x["other"], x["n"], F.pmod(x["half"] + F.pmod(_hashed(secret, seen), x["m"]), x["m"]), x["m"])
 
-    v = value.cast("long")
-    start = F.struct(F.call_function("div", v, F.lit(right).cast("long")).alias("a"), F.pmod(v, F.lit(right).cast("long")).alias("b"))
-    return F.element_at(F.transform(F.array(start), lambda y: rounds(y, 0)), 1)
+    start = state(F.call_function("div", v, right), left, F.pmod(v, right), right)
+    return F.aggregate(_secrets(tweak, key), start, moved, lambda x: x["half"] * right + x["other"])
+
+
+def permute_characters(plain: Column, tweak: Column, name: str, key: str, alphabet: str | None = None) -> Column:
+    """A keyed permutation of the strings of lower-case letters and digits that have letters and digits at the same places.
+
+    With an alphabet, of all strings of the length over it.  Both halves of the string are moved in turn,
+    each character within its own class by a stream of hash bytes of the other half.
+    """
+    if alphabet is None:
+        place = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 97)
+        size = lambda c: F.when(c.between("0", "9"), 10).otherwise(26)
+        shown = lambda v, m: F.when(m == 10, F.chr(v + 48)).otherwise(F.chr(v + 97))
+    else:
+        place, size = lambda c: F.instr(F.lit(alphabet), c) - 1, lambda c: F.lit(len(alphabet))
+        shown = lambda v, m: F.substr(F.lit(alphabet), v + 1, F.lit(1))
+
+    def stream(secret: Column, other: Column, n: Column) -> Column:
+        about = F.concat_ws("/", secret, tweak, F.array_join(F.transform(other, lambda v: v.cast("string")), ","))
+        hexes = F.array_join(F.transform(F.sequence(F.lit(0), F.call_function("div", n, F.lit(32)).cast("int")), lambda j: F.sha2(F.concat_ws("/", about, j.cast("string")).cast("binary"), 256)), "")
+        return _bound(hexes, lambda h: F.transform(_from_to(F.lit(1), n), lambda p: F.conv(h.substr(2 * p - 1, F.lit(2)), 16, 10).cast("int")))
+
+    def state(half: Column, m: Column, other: Column, n: Column) -> Column:
+        return F.struct(half.alias("half"), m.alias("m"), other.alias("other"), n.alias("n"))
+
+    def moved(x: Column, secret: Column) -> Column:
+        add = lambda s: F.transform(x["half"], lambda v, p: F.pmod(v + s[p], x["m"][p]))
+        return state(x["other"], x["n"], _bound(stream(secret, x["other"], F.size(x["half"])), add), x["m"])
+
+    def whole(x: Column) -> Column:
+        return F.array_join(F.zip_with(F.concat(x["half"], x["other"]), F.concat(x["m"], x["n"]), shown), "")
+
+    def halves(chars: Column) -> Column:
+        k = F.call_function("div", F.size(chars), F.lit(2)).cast("int")
+        values, sizes = F.transform(chars, place), F.transform(chars, size)
+        first = lambda v: F.slice(v, 1, k)
+        last = lambda v: F.slice(v, k + 1, F.size(chars) - k)
+        return state(first(values), first(sizes), last(values), last(sizes))
+
+    chars = F.filter(F.split(plain, ""), lambda c: c != "")
+    return F.aggregate(_secrets(name, key), _bound(chars, halves), moved, whole)
 
 
 # ---- formats ---------------------------------------------------------------------------------
@@ -58,23 +108,34 @@ def permute(value: Column, left: int, right: int, tweak: str, key: str) -> Colum
 # repetition and the tests before each shape keep the search linear in the text.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _PART = r"(?<![0-9A-Za-z])"
-SHAPES = {
-    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": _PART + r"[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
-    "ip": r"(?<![0-9A-Za-z.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![0-9A-Za-z]|\.[0-9])",
-    "iso_date": _PART + r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z])",
-    "day_date": _PART + r"[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}(?![0-9A-Za-z])",
-    "phone": r"\+[0-9](?:[ ().-]{0,2}[0-9]){7,14}(?![0-9])",
-    "ssn": _PART + r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z])",
-    "local_phone": r"(?:\([0-9]{3}\) ?|" + _PART + r"[0-9]{3}-)[0-9]{3}-[0-9]{4}(?![0-9A-Za-z])",
+_COUNTRY = "(?:A[DELTZ]|B[AEGHRY]|C[HRYZ]|D[EKO]|E[EGS]|F[IOR]|G[BEILRT]|H[RU]|I[ELQST]|JO|K[WZ]|L[BCITUVY]|M[CDEKRTU]|N[LO]|P[KLST]|QA|R[OS]|S[ACEIKMTV]|T[LNR]|UA|V[AG]|XK)"
+_WHOLE = r"(?![0-9A-Za-z])"
+#: Shapes that begin where no letter or digit stands before.
+_WORDS = {
+    "secret": r"[0-9A-Fa-f]{32,}+" + _WHOLE,
+    "iban": _COUNTRY + r"[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _WHOLE,
+    "access_key": r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsru]_[0-9A-Za-z]{36,}+|xox[abprs]-[0-9A-Za-z-]{10,}+|sk-[0-9A-Za-z_-]{20,}+)" + _WHOLE,
+    "ip": r"(?<!\.)" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![0-9A-Za-z]|\.[0-9])",
+    "iso_date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}" + _WHOLE,
+    "day_date": r"[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}" + _WHOLE,
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _WHOLE,
+    "local_phone": r"[0-9]{3}-[0-9]{3}-[0-9]{4}" + _WHOLE,
 }
-ANY = "|".join(f"(?:{p})" for p in SHAPES.values())
+#: Other shapes: before the words, and after them.
+_MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+_PHONES = {"phone": r"\+[0-9](?:[ ().-]{0,2}[0-9]){7,14}(?![0-9])", "area_phone": r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}" + _WHOLE}
+SHAPES = {"mail": _MAIL} | {k: _PART + v for k, v in _WORDS.items()} | _PHONES
+ANY = f"(?:{_MAIL})|{_PART}(?:" + "|".join(f"(?:{p})" for p in _WORDS.values()) + ")|" + "|".join(f"(?:{p})" for p in _PHONES.values())
+#: Texts without a match of this hold none of the shapes.
+MAY_HOLD = "[0-9@]|AKIA|ASIA|gh[opsru]_|xox[abprs]-|sk-"
 #: Groups of digits, parted by single spaces or dashes, in which cards are looked for outside the other shapes.
 CHAIN = _PART + r"(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ -][0-9]++(?![A-Za-z]))*+"
 #: Digits of a card, and the sizes of groups in which cards are written; a single group may have any of these sizes.
 CARD_LEAST, CARD_MOST, CARD_GROUPS = 13, 19, ("4-4-4-4", "4-6-5", "4-6-4")
-#: Dates that are permuted: DAYS days from the first.
-FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "1850-01-01", 250, 400
+#: Years whose dates keep to themselves, so that a usual date gets a usual one; all other years from 1 to 9999 form a second range.
+NEAR_FROM, NEAR_YEARS = 1900, 200
+#: Times a date may be moved on until it exists; 3 % of places are days that a month lacks, so none is left after so many.
+WALK = 16
 
 
 def _digits(m: Column) -> Column:
@@ -101,28 +162,25 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x))
 
 
-def _permuted_digits(digits: Column, least: int, most: int, tweak: str, key: str) -> Column:
-    """A string of least to most digits permuted among those of its length."""
-    out = F.lit(None).cast("string")
-    for n in range(least, most + 1):
-        moved = permute(digits, 10 ** (n // 2), 10 ** (n - n // 2), f"{tweak}/{n}", key)
-        out = F.when(F.length(digits) == n, F.lpad(moved.cast("string"), n, "0")).otherwise(out)
-    return out
+def _permuted_digits(digits: Column, tweak: str, key: str) -> Column:
+    """A string of at most 18 digits permuted among those of its length."""
+
+    def made(n: Column) -> Column:
+        power = lambda k: F.element_at(F.lit([10**i for i in range(10)]), (k + 1).cast("int")).cast("long")
+        half = F.call_function("div", n, F.lit(2))
+        return F.lpad(permute(digits, power(half), power(n - half), tweak, key, n.cast("string")).cast("string"), n, "0")
+
+    return _bound(F.length(digits), made)
 
 
 def _card(m: Column, key: str) -> Column:
     digits = _digits(m)
     body = digits.substr(F.lit(1), F.length(digits) - 1)
-    fresh = _permuted_digits(body, CARD_LEAST - 1, CARD_MOST - 1, "card", key)
+    fresh = _permuted_digits(body, "card", key)
     whole = F.concat(fresh, F.pmod(-_luhn(F.concat(fresh, F.lit("0"))), F.lit(10)).cast("string"))
     return F.when(F.pmod(_luhn(digits), F.lit(10)) == 0, _fill(m, whole))
 
 
-def _bound(value: Column, make: Callable[[Column], Column]) -> Column:
-    """make(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), make), 1)
-
-
 def _piece(raw: Column, kind: Column, value: Column) -> Column:
     return F.struct(raw.alias("raw"), kind.cast("string").alias("kind"), value.cast("string").alias("value"))
 
@@ -207,11 +265,11 @@ def _card_pieces(gap: Column, key: str) -> Column:
 def _phone(m: Column, key: str) -> Column:
     digits = _digits(m)
     rest = digits.substr(F.lit(2), F.length(digits))  # the first digit, of the country code, stays
-    return _fill(m, F.concat(digits.substr(1, 1), _permuted_digits(rest, 7, 14, "phone", key)))
+    return _fill(m, F.concat(digits.substr(1, 1), _permuted_digits(rest, "phone", key)))
 
 
 def _local_phone(m: Column, key: str) -> Column:
-    return _fill(m, _permuted_digits(_digits(m), 10, 10, "phone", key))
+    return _fill(m, _permuted_digits(_digits(m), "phone", key))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -222,29 +280,80 @@ def _ip(m: Column, key: str) -> Column:
     return F.element_at(name, 1)
 
 
-def _day(date: Column, key: str) -> Column:
-    """The pseudonym of a date, null outside the range."""
-    at = F.datediff(date, F.lit(FIRST_DAY).cast("date"))
-    moved = F.date_add(F.lit(FIRST_DAY).cast("date"), permute(at, DAYS_LEFT, DAYS_RIGHT, "date", key).cast("int"))
-    return F.when(at.between(0, DAYS_LEFT * DAYS_RIGHT - 1), moved)
+def _month_days(y: Column, m: Column) -> Column:
+    leap = ((F.pmod(y, F.lit(4)) == 0) & (F.pmod(y, F.lit(100)) != 0)) | (F.pmod(y, F.lit(400)) == 0)
+    return F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+
+
+def _exists(x: Column) -> Column:
+    return x["y"].between(1, 9999) & x["m"].between(1, 12) & (x["d"] >= 1) & (x["d"] <= _month_days(x["y"], x["m"]))
+
+
+def _moved_date(date: Column, key: str) -> Column:
+    """The pseudonym struct<y,m,d> of an existing date: of the same range of years and as many digits of month and day.
+
+    Its place among years, months and days of its class is permuted, and again while that day doesn't
+    exist, which is a permutation of the dates that do.
+    """
+
+    def walked(x: Column) -> Column:
+        near = x["y"].between(NEAR_FROM, NEAR_FROM + NEAR_YEARS - 1)
+        long_month, long_day = x["m"] >= 10, x["d"] >= 10
+        kind = F.concat(*[c.cast("string") for c in (near, long_month, long_day)])
+        m0, d0 = F.when(long_month, 10).otherwise(1), F.when(long_day, 10).otherwise(1)
+        days = F.when(long_day, 22).otherwise(9)
+        of_year = (days * F.when(long_month, 3).otherwise(9)).cast("long")
+        years = F.when(near, NEAR_YEARS).otherwise(9999 - NEAR_YEARS).cast("long")
+        year = F.when(near, x["y"] - NEAR_FROM).when(x["y"] < NEAR_FROM, x["y"] - 1).otherwise(x["y"] - NEAR_YEARS - 1)
+        place = year * of_year + (x["m"] - m0) * days + x["d"] - d0
+
+        def at(v: Column) -> Column:
+            y, rest = F.call_function("div", v, of_year).cast("int"), F.pmod(v, of_year).cast("int")
+            y = F.when(near, y + NEAR_FROM).when(y + 1 < NEAR_FROM, y + 1).otherwise(y + NEAR_YEARS + 1)
+            return F.struct(y.alias("y"), (F.call_function("div", rest, days).cast("int") + m0).alias("m"), (F.pmod(rest, days) + d0).alias("d"), v.alias("v"))
+
+        def step(v: Column) -> Column:
+            return _bound(permute(v, years, of_year, "date", key, kind), at)
+
+        none = F.lit(None).cast("struct<y:int,m:int,d:int,v:bigint>")
+        start = F.struct(none.alias("found"), place.cast("long").alias("v"))
+        walk = F.aggregate(
+            F.sequence(F.lit(1), F.lit(WALK)), start,
+            lambda a, _: F.when(a["found"].isNotNull(), a).otherwise(_bound(step(a["v"]), lambda n: F.struct(F.when(_exists(n), n).alias("found"), n["v"].alias("v")))),
+        )
+        return walk["found"]
+
+    return _bound(date, lambda x: F.when(_exists(x), walked(x)))
+
+
+def _date(y: Column, m: Column, d: Column) -> Column:
+    return F.struct(*[c.cast("int").alias(n) for c, n in ((y, "y"), (m, "m"), (d, "d"))])
+
+
+def _padded(n: Column, like: Column) -> Column:
+    """n with as many digits as like has."""
+    return F.lpad(n.cast("string"), F.length(like), "0")
 
 
 def _iso_date(m: Column, key: str) -> Column:
-    return F.date_format(_day(F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date"), key), "yyyy-MM-dd")
+    parts = F.split(m, "-")
+    return _bound(_moved_date(_date(parts[0], parts[1], parts[2]), key), lambda x: F.when(x.isNotNull(), F.concat_ws("-", *[F.lpad(x[c].cast("string"), n, "0") for c, n in (("y", 4), ("m", 2), ("d", 2))])))
 
 
 def _day_date(m: Column, key: str) -> Column:
+    """Day before month if such a date exists, else month before day; each part keeps its number of digits."""
     mark = F.when(F.contains(m, F.lit("/")), "/").otherwise(".")
     parts = F.split(m, "[./]")
-    first, second = F.lpad(parts[0], 2, "0"), F.lpad(parts[1], 2, "0")
-    day_first = F.try_to_timestamp(F.concat_ws("-", parts[2], second, first), F.lit("yyyy-MM-dd")).cast("date")
-    month_first = F.try_to_timestamp(F.concat_ws("-", parts[2], first, second), F.lit("yyyy-MM-dd")).cast("date")
-    one, two = _day(day_first, key), _day(month_first, key)
+    day_first, month_first = _date(parts[2], parts[1], parts[0]), _date(parts[2], parts[0], parts[1])
+
+    def ordered(by_day: Column) -> Column:
+        def shown(x: Column) -> Column:
+            one, two = F.when(by_day, x["d"]).otherwise(x["m"]), F.when(by_day, x["m"]).otherwise(x["d"])
+            return F.when(x.isNotNull(), F.concat(_padded(one, parts[0]), mark, _padded(two, parts[1]), mark, F.lpad(x["y"].cast("string"), 4, "0")))
 
-    def join(d: Column, order: tuple[str, str]) -> Column:
-        return F.concat(F.date_format(d, order[0]), mark, F.date_format(d, order[1]), mark, F.date_format(d, "yyyy"))
+        return _bound(_moved_date(F.when(by_day, day_first).otherwise(month_first), key), shown)
 
-    return F.coalesce(join(one, ("dd", "MM")), join(two, ("MM", "dd")))
+    return _bound(_exists(day_first), ordered)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -267,33 +376,75 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(valid, F.element_at(F.transform(fresh, shown), 1))
 
 
-def _hash(m: Column, tweak: str, key: str) -> Column:
-    return F.sha2(F.concat(F.lit(hashlib.sha256(f"{key}/{tweak}".encode()).hexdigest() + "/"), m).cast("binary"), 256)
+def _refilled(shape: Column, fresh: Column) -> Column:
+    """shape with its letters and digits replaced in order by those of fresh, letters in the case they had."""
+    start = F.struct(F.lit("").alias("s"), F.lit(1).alias("i"))
+
+    def next_one(a: Column, c: Column) -> Column:
+        put = fresh.substr(a["i"], F.lit(1))
+        put = F.when(c.between("A", "Z"), F.upper(put)).otherwise(put)
+        return F.when(c.rlike("^[0-9A-Za-z]$"), F.struct(F.concat(a["s"], put).alias("s"), (a["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["i"].alias("i")))
+
+    return F.aggregate(F.split(shape, ""), start, next_one, lambda a: a["s"])
+
+
+def _renamed(m: Column, tweak: Column, name: str, key: str) -> Column:
+    """m with its letters and digits permuted, case, marks and classes kept; spellings that differ in case stay linked."""
+    plain = F.regexp_replace(F.lower(m), "[^a-z0-9]", "")
+    return _bound(permute_characters(plain, tweak, name, key), lambda fresh: _refilled(m, fresh))
 
 
 def _secret(m: Column, key: str) -> Column:
-    """A secret's hexadecimal digits are replaced by as many of a keyed hash; it has no number to permute.
+    """A secret becomes another string of as many hexadecimal digits.
 
-    Upper and lower case give the same hash; it is in upper case where all letters of the secret are.
+    Upper and lower case give the same one; it is in upper case where all letters of the secret are.
     """
-    fresh = F.substring(F.repeat(_hash(F.lower(m), "secret", key), F.ceil(F.length(m) / 64).cast("int")), F.lit(1), F.length(m))
-    return F.when(m.rlike("[a-f]") | ~m.rlike("[A-F]"), fresh).otherwise(F.upper(fresh))
+    fresh = permute_characters(F.lower(m), F.lit(""), "secret", key, "0123456789abcdef")
+    return _bound(fresh, lambda x: F.when(m.rlike("[a-f]") | ~m.rlike("[A-F]"), x).otherwise(F.upper(x)))
+
+
+def _access_key(m: Column, key: str) -> Column:
+    """The prefix that tells the issuer stays."""
+    head = F.regexp_extract(m, "^(AKIA|ASIA|gh[a-z]_|xox[a-z]-|sk-)", 1)
+    return F.concat(head, _renamed(m.substr(F.length(head) + 1, F.length(m)), F.lit(""), "access key", key))
 
 
 def _mail(m: Column, key: str) -> Column:
-    """The name before the @ becomes a keyed hash; the host stays."""
-    return F.concat(F.lit("u"), F.substring(_hash(F.lower(m), "mail", key), 1, 12), F.lit("@"), F.substring_index(m, "@", -1))
+    """The name before the @ is permuted under a tweak of the host, which stays."""
+    host = F.substring_index(m, "@", -1)
+    return F.concat(_renamed(F.substring_index(m, "@", 1), F.lower(host), "mail", key), F.lit("@"), host)
+
+
+def _remainder(account: Column) -> Column:
+    """The remainder modulo 97 of an account number whose first four characters are read last, letters as 10 to 35."""
+    turned = F.concat(account.substr(F.lit(5), F.length(account)), account.substr(F.lit(1), F.lit(4)))
+    digit = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), lambda a, c: F.pmod(F.when(c.between("0", "9"), a * 10).otherwise(a * 100) + digit(c), F.lit(97)))
+
+
+def _iban(m: Column, key: str) -> Column:
+    """An account number that validates keeps its country and grouping; its pseudonym validates, too."""
+    plain = F.regexp_replace(m, " ", "")
+    land = plain.substr(F.lit(1), F.lit(2))
+
+    def whole(body: Column) -> Column:
+        return F.concat(land, F.lpad((98 - _remainder(F.concat(land, F.lit("00"), body))).cast("string"), 2, "0"), body)
+
+    fresh = F.upper(permute_characters(F.lower(plain.substr(F.lit(5), F.length(plain))), land, "iban", key))
+    return F.when(_remainder(plain) == 1, _bound(_bound(fresh, whole), lambda x: _refilled(m, x)))
 
 
 MAKERS: dict[str, Callable[[Column, str], Column]] = {
     "mail": _mail,
     "secret": _secret,
+    "iban": _iban,
+    "access_key": _access_key,
     "ip": _ip,
     "iso_date": _iso_date,
     "day_date": _day_date,
-    "phone": _phone,
     "ssn": _ssn,
     "local_phone": _local_phone,
+    "phone": _phone,
 }
 KINDS = (*MAKERS, "card")
 
@@ -305,13 +456,14 @@ def hidden(docs: DataFrame, key: str, text: str = "text", into: str = "text", fo
     it is.  All other columns and all rows, repeated ones too, are kept.
     """
     t = F.col(text)
-    spots = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
+    some = t.rlike(MAY_HOLD)
+    spots = F.when(some, F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
     rows = docs.withColumn("_spots", F.coalesce(spots, F.array().cast("array<string>")))
 
     def replaced(m: Column) -> Column:
         kinds = F.lit(None).cast("string")
         for name in reversed(SHAPES):
-            kinds = F.when(m.rlike(f"^(?:{SHAPES[name]})$"), name).otherwise(kinds)
+            kinds = F.when(m.rlike(f"^(?:{SHAPES[name]})$"), "local_phone" if name == "area_phone" else name).otherwise(kinds)
 
         def made(k: Column) -> Column:
             value = F.lit(None).cast("string")
@@ -327,7 +479,7 @@ def hidden(docs: DataFrame, key: str, text: str = "text", into: str = "text", fo
         F.transform("_spots", replaced),
         lambda gap, spot: F.concat(gap, F.when(spot.isNull(), F.array().cast("array<struct<raw:string,kind:string,value:string>>")).otherwise(F.array(spot))),
     )
-    rows = rows.withColumn("_made", F.when(t.rlike("[0-9@]"), F.flatten(pieces)))
+    rows = rows.withColumn("_made", F.when(some, F.flatten(pieces)))
     fresh = F.when(F.col("_made").isNotNull(), F.array_join(F.transform("_made", lambda x: F.coalesce(x["value"], x["raw"])), "")).otherwise(t)
     kept = F.transform(F.filter("_made", lambda x: x["value"].isNotNull()), lambda x: F.struct(x["kind"], x["value"]))
     return rows.withColumns({into: fresh, found: F.coalesce(kept, F.array().cast("array<struct<kind:string,value:string>>"))}).drop("_spots", "_made")
