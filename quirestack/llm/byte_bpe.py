@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces whose ids a worker keeps.  Beyond it the cache starts afresh; results don't depend on it.
-CACHE_PIECES = 200_000
+#: Bytes of pieces and ids that a worker keeps, about.  Beyond it the cache starts afresh; results don't depend on it.
+CACHE_BYTES = 64 << 20
 
 # ---- pre-tokenisation ------------------------------------------------------------------------
 # Unicode's White_Space property, and the endings that an apostrophe joins.
@@ -186,17 +186,18 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], list[bytes]]:
 class Encoder:
     """Encodes batches of texts; keeps the ids of pieces it has met."""
 
-    def __init__(self, path: str, keep: int = CACHE_PIECES):
+    def __init__(self, path: str, keep: int = CACHE_BYTES):
         self.ranks, self.tokens = vocabulary(path)
         self.lengths = np.array([len(t) for t in self.tokens], np.int32)
         # The library joins the pairs of one piece; it never sees a whole text, nor its pattern.
         self.merge = tiktoken.Encoding("pieces", pat_str=".", mergeable_ranks=self.ranks, special_tokens={})._encode_single_piece
-        self.keep, self.cache = keep, {}
+        self.keep, self.cache, self.held = keep, {}, 0
 
     def _packed(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece, as the bytes of 32-bit integers."""
-        if len(self.cache) > self.keep:
+        if self.held > self.keep:
             self.cache.clear()
+            self.held = 0
         cache, merge = self.cache, self.merge
         packed = list(map(cache.get, pieces))
         if None in packed:
@@ -204,7 +205,10 @@ class Encoder:
                 if p is None:
                     piece = pieces[i]
                     if (p := cache.get(piece)) is None:
-                        p = cache[piece] = array("i", merge(piece)).tobytes()
+                        p = array("i", merge(piece)).tobytes()
+                        self.held += len(piece) + len(p) + 150
+                        if self.held <= self.keep:
+                            cache[piece] = p
                     packed[i] = p
         return packed
 

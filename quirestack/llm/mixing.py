@@ -1,14 +1,16 @@
 """Mixing to target weights by soft membership.
 
 A classifier learned on labelled rows gives every document a posterior over domains.  Document rates,
-none negative, start at one and follow projected gradients of the squared relative errors of the
-domains' expected token totals.  A step needs only the totals, so each costs one distributed sum; a
-document's rate is recomputed from the few gradient vectors there have been, and nothing is kept for it.
+none negative, start at one and follow projected gradients of the squared errors of the domains'
+expected token totals, each over the domain's own total, scaled by how the totals answer to a step.  A step needs only sums over
+documents, so each costs one distributed pass; a document's rate is recomputed from the few gradient
+vectors there have been, and nothing is kept for it.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import warnings
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,10 +21,12 @@ from .common import blocks, documents, stored
 from .features import WHITE
 from .labelled import labelled_texts, read_labels
 
-#: Labelled rows that the classifier is learned from, at most about, and domains that it may tell apart.
-LABELLED, DOMAINS = 20_000, 64
-#: Steps at most, and the relative error of all totals at which they end.
+#: Labelled rows that the classifier is learned from, at most about.
+LABELLED = 20_000
+#: Passes at most, and the relative error of all totals at which they end.
 STEPS, CLOSE = 60, 1e-4
+#: Up to so many domains a step is scaled by their joint answers, a square of sums; beyond, by each domain's own total.
+JOINT = 64
 #: The registered query's targets: domain shares to this power, at the corpus' number of tokens.
 TEMPERATURE = 0.7
 
@@ -81,8 +85,6 @@ def train(docs: DataFrame, labels: DataFrame, domain: str = "lang") -> Classifie
     domains = sorted(rows["domain"].unique())
     if not domains:
         return None
-    if len(domains) > DOMAINS:
-        raise ValueError(f"more than {DOMAINS} domains")
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, 256).astype(np.float64)
     return fit(x, np.searchsorted(domains, rows["domain"].to_numpy()), domains)
 
@@ -103,38 +105,93 @@ def memberships(docs: DataFrame, model: Classifier, key: str = "doc_id") -> Data
 
 
 def _rates(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Each document's rate after the steps: gradient vectors over domains, one a row."""
-    return reduce(lambda r, g: np.maximum(0, r - p @ g), steps, np.ones(len(p)))
+    """Each document's rate after the steps: one a row, a gradient vector over domains and the momentum it starts with."""
+    rate = last = np.ones(len(p))
+    for *gradient, momentum in steps:
+        rate, last = np.maximum(0, rate + momentum * (rate - last) - p @ gradient), rate
+    return rate
 
 
-def totals(members: DataFrame, steps: np.ndarray, k: int) -> np.ndarray:
-    """Expected tokens of each domain at the rates after the steps."""
+def answers(members: DataFrame, steps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Expected tokens of each domain at the rates after the steps, and, up to JOINT domains, those of each pair that move with a step."""
+    joint = k <= JOINT
 
     def run(frames):
+        have, both = np.zeros(k), np.zeros((k, k) if joint else (0, k))
         for frame in frames:
             if len(frame):
-                p = np.stack(frame["p"].to_numpy())
-                yield pd.DataFrame([(_rates(p, steps) * frame["n_tokens"].to_numpy()) @ p], columns=[f"d{i}" for i in range(k)])
+                p, n = np.stack(frame["p"].to_numpy()), frame["n_tokens"].to_numpy()
+                rate = _rates(p, steps)
+                have += (rate * n) @ p
+                if joint:
+                    both += (p * (n * (rate > 0))[:, None]).T @ p
+        d, e = np.nonzero(np.vstack([have[None], both]))
+        yield pd.DataFrame({"d": d.astype(np.int64) - 1, "e": e.astype(np.int64), "x": np.vstack([have[None], both])[d, e]})
+
+    sums = members.select("n_tokens", "p").mapInPandas(run, "d long, e long, x double").groupBy("d", "e").agg(F.sum("x").alias("x")).toPandas()
+    out = np.zeros((k + 1, k))
+    out[sums["d"] + 1, sums["e"]] = sums["x"]
+    return out[0], out[1:] if joint else None
 
-    sums = members.select("n_tokens", "p").mapInPandas(run, ", ".join(f"d{i} double" for i in range(k)))
-    return np.array([x or 0.0 for x in sums.agg(*[F.sum(f"d{i}").alias(f"d{i}") for i in range(k)]).first()])
+
+def totals(members: DataFrame, steps: np.ndarray, k: int) -> np.ndarray:
+    """Expected tokens of each domain at the rates after the steps."""
+    return answers(members, steps, k)[0]
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], domains: list[str]) -> np.ndarray:
-    """Gradient steps whose rates bring the domains' expected tokens to targets; a domain without tokens is left out."""
+@dataclass(frozen=True)
+class Fit:
+    """Gradient steps and their momenta, one a row; the domains' totals they lead to; their largest relative error; domains with a target that no document has a share in."""
+
+    steps: np.ndarray
+    totals: np.ndarray
+    error: float
+    unreached: tuple[str, ...]
+
+
+def fit_rates(members: DataFrame, targets: dict[str, float], domains: list[str]) -> Fit:
+    """Gradient steps whose rates, none negative, bring the domains' expected tokens as near to targets as they can.
+
+    A step is scaled by the inverse of the totals' joint answer and shortened where it doesn't lower the
+    squared error.  Where no such step lowers it, as some targets can't be met, plain steps with momentum
+    lead towards the least squares.  Totals that stay off their targets, because no rates meet them or the
+    passes ran out, are reported in error and by a warning; a domain without tokens can't be moved and is
+    named in unreached.
+    """
+    k = len(domains)
     target = np.array([targets.get(d, 0.0) for d in domains], float)
-    none = np.zeros((0, len(domains)))
-    scale = totals(members, none, len(domains))
-    some = scale > 1e-9
-    steps = none
-    have = scale
-    for _ in range(STEPS):
-        error = np.where(some, (have - target) / np.where(some, scale, 1), 0.0)
-        if np.abs(error).max(initial=0) <= CLOSE:
+    steps = np.zeros((0, k + 1))
+    scale, both = answers(members, steps, k)
+    have, last, some = scale, scale, scale > 1e-9
+    unreached = tuple(d for d, s, t in zip(domains, some, target) if not s and t > 0)
+
+    def off(x: np.ndarray) -> np.ndarray:
+        return np.where(some, (x - target) / np.where(some, scale, 1), 0.0)
+
+    length, plain, run, passes = 1.0, both is None, 0, 1
+    while np.abs(off(have)).max(initial=0) > CLOSE and passes < STEPS:
+        momentum = run / (run + 3) if plain else 0.0
+        # Totals are linear in rates, so those at the point a momentum leads to need no pass.
+        error = off(have + momentum * (have - last))
+        step = error if plain else length * np.linalg.lstsq(both / np.where(some, scale, 1)[:, None], error, rcond=1e-9)[0]
+        trial = np.vstack([steps, np.r_[step, momentum]])
+        new, new_both = answers(members, trial, k)
+        passes += 1
+        gain = (scale * (off(have) ** 2 - off(new) ** 2)).sum()
+        if gain > 1e-9 * (scale * off(have) ** 2).sum():
+            steps, have, last, both, length, run = trial, new, have, new_both, min(1.0, 2 * length), run + plain
+        elif plain and run:
+            run = 0
+        elif plain:
             break
-        steps = np.vstack([steps, error])
-        have = totals(members, steps, len(domains))
-    return steps
+        elif length > 1e-2:
+            length /= 4
+        else:
+            plain = True
+    worst = float(np.abs(off(have)).max(initial=0))
+    if worst > CLOSE or unreached:
+        warnings.warn(f"mixing: totals are off their targets by up to {worst:.3g} after {passes} passes; unreached: {unreached}", stacklevel=2)
+    return Fit(steps, have, worst, unreached)
 
 
 def tempered(have: np.ndarray, domains: list[str], temperature: float, keep_all: bool) -> dict[str, float]:
@@ -161,18 +218,19 @@ def rated(members: DataFrame, steps: np.ndarray, domains: list[str]) -> DataFram
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, keep_all: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, domain, posterior, rate) for every row, repeated rows and null ids included.
+    """(doc_id, n_tokens, domain, posterior, rate, error) for every row, repeated rows and null ids included.
 
-    Without a labelled row that has a domain there are no targets: domain and posterior are null and
+    error: the largest relative error of a domain's expected tokens, the same in every row.  Without a labelled row that has a domain there are no targets: domain and posterior are null and
     every rate is one.
     """
     model = train(docs, labels)
     if model is None:
         empty = docs.select("doc_id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t-\r]+"), lambda w: w != "")).cast("long").alias("n_tokens"))
-        return empty.select("doc_id", "n_tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("posterior"), F.lit(1.0).alias("rate"))
+        return empty.select("doc_id", "n_tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(0.0).alias("error"))
     members = stored(memberships(docs, model), "members")
-    targets = tempered(totals(members, np.zeros((0, len(model.domains))), len(model.domains)), model.domains, temperature, keep_all)
-    return rated(members, fit_rates(members, targets, model.domains), model.domains)
+    targets = tempered(totals(members, np.zeros((0, len(model.domains) + 1)), len(model.domains)), model.domains, temperature, keep_all)
+    found = fit_rates(members, targets, model.domains)
+    return rated(members, found.steps, model.domains).withColumn("error", F.lit(found.error))
 
 
 def copies(rate: Column, key: Column) -> Column:

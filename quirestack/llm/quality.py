@@ -2,7 +2,8 @@
 
 A linear model on statistics of the whole text minimises the non-negative unbiased risk: trusted
 positives count with the class prior, and unlabelled web text stands for the mixture of both classes.
-When the estimated risk of negatives falls below zero, the step undoes it instead of following it.
+When the estimated risk of negatives falls below zero, the step undoes it instead of following it.  The
+prior is estimated from the same two samples; labels of negatives are never read.
 """
 
 from __future__ import annotations
@@ -39,8 +40,39 @@ def _logistic(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """Adam on the non-negative risk with the logistic loss.  Without positives or unlabelled texts the score is the prior."""
+def risks(model: Model, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """The logistic risk of positives, and of negatives as the unlabelled texts less their positive part, which may fall below zero."""
+    zp, zu = model.inputs(positive) @ model.weights, model.inputs(unlabelled) @ model.weights
+    return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """The share of positives among unlabelled texts, from positives and unlabelled texts alone.
+
+    A classifier of one against the other is learned on every other row of both and ranks the rest.  Above
+    any score the positives' part of the unlabelled texts is the prior times the positives' part; where
+    hardly a negative is left the ratio of the two parts is the prior.  The score is chosen at which that
+    ratio's upper confidence bound is least.  Without either sample: one half.
+    """
+    if len(positive) < 2 or len(unlabelled) < 2:
+        return 0.5
+    out = []
+    for half in (0, 1):
+        model = fit(positive[half::2], unlabelled[half::2], 0.5, steps=400, balanced=True)
+        p, u = np.sort(model.score(positive[1 - half :: 2])), np.sort(model.score(unlabelled[1 - half :: 2]))
+        share_p = 1 - np.searchsorted(p, p) / len(p)
+        share_u = 1 - np.searchsorted(u, p) / len(u)
+        slack = np.sqrt(np.log(4 / delta) / 2 / len(p)) + np.sqrt(np.log(4 / delta) / 2 / len(u))
+        best = np.argmin((share_u + (1 + gamma) * slack) / share_p)
+        out.append(share_u[best] / share_p[best])
+    return float(min(0.98, max(0.02, np.mean(out))))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-4, balanced: bool = False) -> Model:
+    """Adam on the non-negative risk with the logistic loss.  Without positives or unlabelled texts the score is the prior.
+
+    balanced: unlabelled texts count as negatives, each sample as one half.
+    """
     every = np.concatenate([positive, unlabelled])
     if not len(positive) or not len(unlabelled):
         weights = np.zeros(2 * STATS + 1)
@@ -52,10 +84,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     first, second = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         zp, zu = p @ w, u @ w
+        if balanced:
+            step = (_logistic(zu) @ u) / len(u) - (_logistic(-zp) @ p) / len(p) + decay * w
         of_positives = -prior * (_logistic(-zp) @ p) / len(p)
         negative_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         of_negatives = (_logistic(zu) @ u) / len(u) - prior * (_logistic(zp) @ p) / len(p)
-        step = (of_positives + of_negatives if negative_risk >= 0 else -of_negatives) + decay * w
+        if not balanced:
+            step = (of_positives + of_negatives if negative_risk >= 0 else -of_negatives) + decay * w
         first = 0.9 * first + 0.1 * step
         second = 0.999 * second + 0.001 * step * step
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
@@ -84,15 +119,11 @@ def _collected(texts: DataFrame) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on trusted positives (y = 1 in labels) and texts of docs whatever their labels.
 
-    The class prior is estimated as the share of positives among the labelled rows that may be
-    learned from, held away from 0 and 1.  Only about POSITIVES + UNLABELLED rows of statistics
-    reach the driver.
+    Only about POSITIVES + UNLABELLED rows of statistics reach the driver.
     """
-    share = labels.agg(F.avg("y").alias("p")).first()["p"]
-    prior = min(0.98, max(0.02, share if share is not None else 0.5))
     positive = _collected(labelled_texts(docs, labels.where("y = 1"), POSITIVES))
     unlabelled = _collected(about(docs.select("doc_id", "text"), "doc_id", UNLABELLED, salt=2))
-    return fit(positive, unlabelled, prior)
+    return fit(positive, unlabelled, estimated_prior(positive, unlabelled))
 
 
 def score(text: Column, model: Model) -> Column:

@@ -21,14 +21,15 @@ from .common import documents
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
-#: Segments whose counts a worker keeps.  Beyond it the cache starts afresh; results don't depend on it.
-CACHE_SEGMENTS = 200_000
+#: Bytes of segments whose counts a worker keeps, about, and characters of one.  Beyond them the cache starts
+#: afresh and longer segments are counted each time; results don't depend on it.
+CACHE_BYTES, LONG = 32 << 20, 1 << 10
 
 
 class Counter:
     """Token counts under pieces (piece, score): exactly those of a unigram tokenizer with byte fallback."""
 
-    def __init__(self, pieces: list[tuple[str, float]], keep: int = CACHE_SEGMENTS):
+    def __init__(self, pieces: list[tuple[str, float]], keep: int = CACHE_BYTES):
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), float(score)))
@@ -41,15 +42,17 @@ class Counter:
         exact = all(s == int(s) for s in scores)
         self.by_line = exact and "\n" not in inner
         self.by_space = exact and not any(SPACE in p.lstrip(SPACE) for p, _ in pieces)
-        self.keep, self.cache = keep, {}
+        self.longest = max(len(piece) for piece, _ in pieces)
+        self.keep, self.cache, self.held = keep, {}, 0
 
     def segment(self, text: str) -> int:
-        """Pieces on the best path of one segment."""
+        """Pieces on the best path of one segment; only as many positions are held as the longest piece reaches back."""
         n = len(text)
         if not n:
             return 0
-        best = [0.0] * (n + 1)
-        count = [0] * (n + 1)
+        ring = self.longest + 1
+        best = [0.0] * ring
+        count = [0] * ring
         reached = 0  # positions up to here are final
         length_1, found, unknown = False, False, self.unknown
         top = top_count = 0.0
@@ -58,24 +61,30 @@ class Counter:
         while reached < n:
             found = length_1 = False
             while end == reached:  # matches that end at this character, longest first
-                start = end + 1 - length
+                start = (end + 1 - length) % ring
                 s = best[start] + score
                 if not found or s > top:
                     top, top_count, found = s, count[start] + 1, True
                 length_1 |= length == 1
                 end, (length, score) = next(matches, (n, (0, 0.0)))
             if not length_1:
-                s = best[reached] + unknown
+                s = best[reached % ring] + unknown
                 if not found or s > top:
-                    top, top_count = s, count[reached] + len(text[reached].encode("utf-8", "replace"))
+                    top, top_count = s, count[reached % ring] + len(text[reached].encode("utf-8", "replace"))
             reached += 1
-            best[reached], count[reached] = top, top_count
-        return count[n]
+            best[reached % ring], count[reached % ring] = top, top_count
+        return count[n % ring]
 
     def _cached(self, segment: str) -> int:
         n = self.cache.get(segment)
         if n is None:
-            n = self.cache[segment] = self.segment(segment)
+            n = self.segment(segment)
+            self.held += len(segment) + 100
+            if self.held > self.keep:
+                self.cache.clear()
+                self.held = len(segment) + 100
+            if len(segment) <= LONG:
+                self.cache[segment] = n
         return n
 
     def count(self, text: str) -> int:
@@ -83,8 +92,6 @@ class Counter:
         if not text:
             return 0
         text = SPACE + text.replace(" ", SPACE)
-        if len(self.cache) > self.keep:
-            self.cache.clear()
         lines = text.split("\n") if self.by_line else [text]
         total = (len(lines) - 1) * self._cached("\n")
         get = self.cache.get

@@ -56,7 +56,7 @@ def test_bpe_equals_library_and_round_trips(spark, edge, empty, sf_dir):
 
 def test_bpe_random_texts():
     encoding = tiktoken_encoding()
-    encoder = byte_bpe.Encoder(public_tokenizers.path(byte_bpe.VOCABULARY), keep=50)
+    encoder = byte_bpe.Encoder(public_tokenizers.path(byte_bpe.VOCABULARY), keep=20_000)
     rng = random.Random(3)
     parts = ["'", "s", "t", "re", "ve", "ll", "d", "é", "1", "½", " ", "  ", "\n", "\t", " ", ",", "!", "你", "😀", "'s", "A"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(3000)]
@@ -69,7 +69,7 @@ def test_token_counts_equal_unigram_library(edge, empty, spark, sf_dir):
     pieces = token_counts.pieces(public_tokenizers.path(token_counts.VOCABULARY))
     bytes_ = [(f"<0x{i:02X}>", -1e9) for i in range(256)]
     model = Tokenizer(models.Unigram([("<unk>", -1e9), *bytes_, *pieces], unk_id=0, byte_fallback=True))
-    counter = token_counts.Counter(pieces, keep=100)
+    counter = token_counts.Counter(pieces, keep=20_000)
     rng = random.Random(2)
     texts = ["".join(rng.choices([*"abc théñ你😀\n\t▁ 12.,", "  ", "the", "▁▁"], k=rng.randint(1, 25))) for _ in range(3000)]
     texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
@@ -103,13 +103,32 @@ def test_viterbi_ties_and_fractional_scores():
             assert counter.count(text) == brute(pieces, "▁" + text.replace(" ", "▁"))
 
 
+def brute_png(pad):
+    chunk = lambda k, b: len(b).to_bytes(4) + k + b + zlib.crc32(k + b).to_bytes(4)
+    rows = b"".join(b"\0" + pad[i : i + 64] for i in range(0, len(pad), 64))
+    head = (64).to_bytes(4) + (len(pad) // 64).to_bytes(4) + bytes([8, 0, 0, 0, 0])
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows, 1)) + chunk(b"IEND", b"")
+
+
+def brute_feature(pad):
+    import math
+    from collections import Counter
+
+    counts = Counter(pad)
+    entropy = -sum(c / len(pad) * math.log2(c / len(pad)) for c in counts.values())
+    columns = [sum(pad[i::64]) for i in range(64)]
+    bits = "".join("1" if c * 64 > sum(pad) else "0" for c in columns)
+    return f"rows={len(pad) // 64};sum={sum(pad)};distinct={len(counts)};entropy={entropy + 0.0:.6f};hash={int(bits, 2):016x}"
+
+
 def test_media_sequences(edge, empty):
-    rows = {(r["doc_id"], r["n_bytes"], r["payload_sha256"], r["tail_crc32"], r["payload_bytes"]) for r in media.document_media(edge).collect()}
+    rows = {tuple(r[c] for c in ("doc_id", "n_bytes", "payload_sha256", "tail_crc32", "payload_bytes", "media_bytes", "media_sha256", "feature")) for r in media.document_media(edge).collect()}
     want = set()
     for i, t in EDGE:
         raw = (t or "").encode()
         pad = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
-        want.add((i, len(raw), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]), len(pad)))
+        png, feature = brute_png(pad), brute_feature(pad)
+        want.add((i, len(raw), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]), len(pad), len(png), hashlib.sha256(png).hexdigest(), feature))
     assert rows == want and media.document_media(edge).count() == len(EDGE) and media.document_media(empty).count() == 0
 
 
@@ -125,6 +144,62 @@ def test_png_round_trip_and_parts():
     assert [p[1:] for p in got] == [("text", "T", None, None), ("media", None, "sha256:1", "Cap x"), ("text", "one two", None, None), ("media", None, "u", None), ("text", "three", None, None)]
 
 
+T, M = "text", "media"
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<figure><figcaption>Before</figcaption><img src="a"></figure>x', [(M, "Before"), (T, "x")]),
+        ('<figure><img src="a"><figcaption>unclosed<p>rest</figure>x', [(M, "unclosed rest"), (T, "x")]),
+        ('<figure><img src="a"><figcaption>first<p>rest<p>of page', [(M, "first"), (T, "rest"), (T, "of page")]),
+        ('<figure><figcaption>alone</figcaption><pre>code</pre></figure>', [(T, "alone"), (T, "code")]),
+        ('<head><meta a><title>t</title><p>body<img src="a">', [(T, "body"), (M, None)]),
+        ('<head><title>t</title></head><body>b', [(T, "b")]),
+        ('<p>a<noscript><img src="b">c<p>d', [(T, "a"), (M, None), (T, "c"), (T, "d")]),
+        ('<p>a<noscript><img src="b">c</noscript>d', [(T, "ad")]),
+        ('<figure><noscript><img src="b"></noscript><img src="a"><figcaption>c</figcaption></figure>', [(M, "c")]),
+        ('<figure><figure><img src="a"></figure><figcaption>outer</figcaption></figure>', [(M, "outer")]),
+        ('<figure><figure><img src="a"><figcaption>in</figcaption></figure><img src="b"><figcaption>out</figcaption></figure>', [(M, "in"), (M, "out")]),
+        ('<p>a<script>no<p>no', [(T, "a")]), ("a<![foo[x]]>b", [(T, "ab")]), ("<![CDATA[x]]>y", [(T, "xy")]), ("</figure></figcaption></head>a", [(T, "a")]),
+        ('<figcaption>c</figcaption><img alt="t">', [(T, "c")]), ("a &amp; b<br>c", [(T, "a & b"), (T, "c")]), ("<table><tr><td>1<td>2</table>", [(T, "1"), (T, "2")]),
+    ],
+)
+def test_malformed_pages_keep_their_content(html, want):
+    assert [(p[1], p[2] if p[1] == T else p[4]) for p in media.parts_of(html)] == want
+
+
+def brute_parts(html):
+    """Parts of an illustrated page by plain cutting at tags: no parser, these pages nest no silent elements."""
+    import html as entities
+
+    body = re.sub(r"(?s)<(script|style|title|noscript|template|head)\b.*?</\1>", "", html)
+    out = []
+    for piece in re.split(r"(?s)(<figure>.*?</figure>)", body):
+        if piece.startswith("<figure>"):
+            out.append((M, None, re.search('src="([^"]*)"', piece)[1], re.search("<figcaption>(.*?)<", piece)[1]))
+            continue
+        for text in re.split(r"(?s)<(?!/?(?:%s)\b)[^>]*>" % "|".join(sorted(media.INLINE)), re.sub("(?s)<!--.*?-->", "", piece)):
+            text = " ".join(entities.unescape(re.sub("(?s)<[^>]*>", "", text)).split())
+            out += [(T, text, None, None)] if text else []
+    return out
+
+
+def test_media_page_parts_equal_brute_force(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    shown, payloads = media.illustrated(pages)
+    have = {r["digest"]: bytes(r["payload"]) for r in payloads.collect()}
+    want = set()
+    for r in shown.collect():
+        for pos, (kind, text, ref, caption) in enumerate(brute_parts(r["html"])):
+            p = have.get((ref or "")[7:])
+            want.add((r["page_id"], pos, kind, text, ref, caption, p and len(p), p and hashlib.sha256(p).hexdigest()))
+    got = [tuple(r) for r in media.media_page_parts(spark, sf_dir).collect()]
+    assert len(got) == len(want) and set(got) == want
+    kinds = {k: sum(1 for g in got if g[2] == k) for k in (T, M)}
+    assert kinds[M] == pages.count() and kinds[T] > kinds[M] and any(g[6] is None for g in got if g[2] == M)
+
+
 def test_resolve_keeps_unknown_references(spark):
     good = "0" * 64
     docs = spark.createDataFrame([(1, f'<p>a<img src="sha256:{good}"><img src="sha256:{"1" * 64}">b'), (2, None)], "k int, html string")
@@ -151,11 +226,25 @@ def test_sharding(edge, empty, spark, sf_dir):
         for name in names:  # only oversized buckets split
             if name:
                 assert sum(sum(v) for k, v in held.items() if k.startswith(name[:-1])) > limit
+    one = len(size) and sharding.shard(docs.limit(1), 1 << 30).first()
+    assert (one["shard"], one["depth"], one["fits"]) == ("", 0, True)
     rows = sharding.shard(edge, 100).collect()
     assert len(rows) == len(EDGE) and {r["fits"] for r in rows if r["doc_id"] == 6} == {False}
     assert sharding.shard(empty, 100).count() == 0
 
 
+def test_written_shards_hold_every_row(spark, edge, empty, tmp_path):
+    for name, docs, limit in (("many", edge, 100), ("one", edge, 1 << 30), ("none", empty, 100)):
+        sharding.write_shards(docs, limit, str(tmp_path / name), into="_shard")
+        if name == "none":
+            continue
+        back = spark.read.parquet(str(tmp_path / name))
+        rows = sorted((str(r["doc_id"]), str(r["text"]), r["h"]) for r in back.collect())
+        assert rows == sorted((str(r["doc_id"]), str(r["text"]), r["h"]) for r in docs.collect())
+        folders = {p.name for p in (tmp_path / name).iterdir() if p.is_dir()}
+        assert (folders == {"_shard=-"}) == (name == "one") and len(folders) == back.select("_shard").distinct().count()
+
+
 def luhn(s):
     return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(s))) % 10 == 0
 
