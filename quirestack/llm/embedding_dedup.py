@@ -2,14 +2,15 @@
 
 Rotations are learned that turn vectors into balanced binary codes; several of them give independent
 codes.  The codes, end to end, are cut into substrings that index Hamming tables: vectors that agree on
-a whole substring meet in its bucket, where the original vectors are compared by cosine.  There are as
-many tables as the recall at the threshold asks for, whatever the vectors' length.  Buckets of any size
-are dealt in tiles, and a pair that meets in several buckets counts in the first alone.
+a whole substring meet in its bucket, where the original vectors are compared by cosine.  Substrings grow
+with the logarithm of the number of vectors, so that strangers seldom meet, and there are as many tables
+as the recall at the threshold then asks for, whatever the vectors' length.  Buckets of any size are dealt
+in tiles, and a pair that meets in several buckets counts in the first alone.
 """
 
 from __future__ import annotations
 
-from math import acos, ceil, log, pi
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,13 @@ from .labelled import about
 
 #: Vectors that the rotations are learned from, at most about, and numbers in them.
 SAMPLE, SAMPLE_VALUES = 20_000, 1 << 23
-#: Bits of a substring, and of a code at most; a shorter vector's code has as many bits as it has components.
-BITS, CODE_BITS = 16, 64
-#: Codes whose rotations are learned; a short vector has more codes than its space has best rotations, so the rest stay random.
-LEARNED = 16
+#: Bits of a substring, from and to; more vectors than the longest tells apart make larger buckets.
+BITS_FROM, BITS_TO = 8, 32
+#: Bits of a code at most; a shorter vector's code has as many bits as it has components.
+CODE_BITS = 64
+#: Codes whose rotations are learned, at most, and for each bit of a code; a short vector has more codes than its
+#: space has best rotations, so the rest stay random.
+LEARNED, LEARNED_A_BIT = 64, 2
 #: Share of the pairs just at the threshold that should meet in a table, were all bits to agree independently.
 RECALL = 0.97
 #: Lengths of vectors that get rotations of their own learned, the most frequent first; vectors of other
@@ -37,7 +41,12 @@ TILE = 2048
 THRESHOLD = 0.9
 
 
-def tables(threshold: float, recall: float = RECALL, bits: int = BITS) -> int:
+def substring_bits(n: int) -> int:
+    """Bits at which about one of n vectors with random codes shares a given one's bucket."""
+    return min(BITS_TO, max(BITS_FROM, ceil(log2(max(1, n)))))
+
+
+def tables(threshold: float, bits: int, recall: float = RECALL) -> int:
     """Hamming tables needed: vectors at the threshold's angle agree in a bit with probability 1 - angle / pi."""
     agree = (1 - acos(min(1.0, max(-1.0, threshold))) / pi) ** bits
     return 1 if agree >= recall else ceil(log(1 - recall) / log(1 - agree))
@@ -46,7 +55,7 @@ def tables(threshold: float, recall: float = RECALL, bits: int = BITS) -> int:
 def learn(sample: np.ndarray, count: int, rounds: int = 30, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
     """(origin, projection) of each code by iterative quantisation: orthogonal directions, turned to lower the error of their signs.
 
-    Codes start from random rotations, so they err apart; without a sample, and beyond LEARNED, they stay there.  Every other
+    Codes start from random rotations, so they err apart; without a sample, and beyond those to be learned, they stay there.  Every other
     code is taken about the mean, which balances its bits; the others keep the origin, so that copies agree
     even where one group of them is most of the sample and the mean lies in its middle.
     count: bits in all, at least.
@@ -59,7 +68,7 @@ def learn(sample: np.ndarray, count: int, rounds: int = 30, seed: int = 7) -> li
         turn = np.linalg.qr(rng.normal(size=(n, width)))[0]
         origin = sample.mean(0) * (code % 2) if len(sample) else np.zeros(n)
         v = sample - origin
-        for _ in range(rounds if len(sample) and code < LEARNED else 0):
+        for _ in range(rounds if len(sample) and code < min(LEARNED, LEARNED_A_BIT * width) else 0):
             left, _, right = np.linalg.svd(np.where(v @ turn >= 0, 1.0, -1.0).T @ v, full_matrices=False)
             turn = (left @ right).T
         out.append((origin, turn))
@@ -83,7 +92,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def encode(vectors: np.ndarray, projections: list[tuple[np.ndarray, np.ndarray]], count: int, bits: int = BITS) -> np.ndarray:
+def encode(vectors: np.ndarray, projections: list[tuple[np.ndarray, np.ndarray]], count: int, bits: int) -> np.ndarray:
     """The table keys of each unit vector: one column for each of count substrings of its codes, laid end to end."""
     sign = np.concatenate([(vectors - origin) @ p >= 0 for origin, p in projections], axis=1)[:, : count * bits]
     weight = 1 << np.arange(bits, dtype=np.int64)
@@ -166,7 +175,7 @@ def _compare(threshold: float):
         bucket = (frame[_BUCKET].to_numpy()[1:] != frame[_BUCKET].to_numpy()[:-1]).any(1)
         bucket = np.r_[0, np.cumsum(bucket)]
         x = unit(np.stack(frame["v"].to_numpy()).astype(np.float64))
-        keys = np.stack([np.frombuffer(c, np.uint16) for c in frame["codes"]])
+        keys = np.stack([np.frombuffer(c, np.uint32) for c in frame["codes"]])
         ids, weight = frame["id"].to_numpy(), frame["weight"].to_numpy()
         crossing = (frame["tile_a"] != frame["tile_b"]).to_numpy()
         i, j = _links(frame["table"].to_numpy(), bucket, frame["tile"].to_numpy(), crossing, keys, x, threshold)
@@ -221,7 +230,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, embedding:
     never kept.  kept: the key is its component's smallest.  Keys are integers below 2**62.  Other columns
     are left aside.
     """
-    count = tables(threshold)
     of = vectors.schema[embedding].dataType.elementType.simpleString()
     of = of if of in ("float", "double") else "double"
     rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(embedding).cast(f"array<{of}>").alias("v"))
@@ -233,16 +241,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, embedding:
     distinct = members.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
     # A vector is told by its smallest key and its hash: a key may have several vectors.
     distinct = stored(distinct.withColumn("size", F.size("v")).withColumn("hash", F.xxhash64("v")), "vectors")
-    projections = _learned(distinct, count * BITS)
+    bits = substring_bits(distinct.count())
+    count = tables(threshold, bits)
+    projections = _learned(distinct, count * bits)
 
     def codes(frames):
         known = dict(projections)
         for frame in frames:
             for size, part in frame.groupby("size"):
                 if size not in known:
-                    known = {**projections, size: learn(np.zeros((0, min(size, FOLDED))), count * BITS)}
-                keys = encode(folded(unit(np.stack(part["v"].to_numpy()).astype(np.float64))), known[size], count)
-                yield part.assign(keys=list(keys), codes=[k.tobytes() for k in keys.astype(np.uint16)])
+                    known = {**projections, size: learn(np.zeros((0, min(size, FOLDED))), count * bits)}
+                keys = encode(folded(unit(np.stack(part["v"].to_numpy()).astype(np.float64))), known[size], count, bits)
+                yield part.assign(keys=list(keys), codes=[k.tobytes() for k in keys.astype(np.uint32)])
 
     coded = stored(distinct.mapInPandas(codes, f"v array<{of}>, id long, weight long, size int, hash long, keys array<long>, codes binary"), "codes")
     entries = coded.select("id", "hash", "size", F.posexplode("keys").alias("table", "code"))
