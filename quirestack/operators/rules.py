@@ -35,3 +35,24 @@ def symmetric_difference(a: Column, b: Column) -> Column:
 
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+
+
+#: What DuckDB calls the functions that rule tables use.
+_DUCK = {"regexp_like(": "regexp_matches(", "size(": "len(", "isnan(": "isnan(", "element_at(": "list_extract("}
+
+
+def table(rows: list[tuple[str, str, str]]) -> list[Rule]:
+    """Rules from (name, path, predicate in SQL); predicates stay portable, so a rule table reads the same everywhere."""
+    return [Rule(name, path, F.expr(predicate)) for name, path, predicate in rows]
+
+
+def table_sql(source: str, key: list[str], rows: list[tuple[str, str, str]]) -> str:
+    """The issues of a rule table over a DuckDB relation, as (key, rule, path)."""
+    def duck(x: str) -> str:
+        for spark, name in _DUCK.items():
+            x = x.replace(spark, name)
+        return x
+
+    keys = ", ".join(key)
+    parts = [f"SELECT {keys}, '{name}' AS rule, '{path}' AS path FROM r WHERE NOT coalesce({duck(predicate)}, false)" for name, path, predicate in rows]
+    return f"WITH r AS ({duck(source)}) " + " UNION ALL ".join(parts)
