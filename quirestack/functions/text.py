@@ -82,10 +82,10 @@ def redacted(x: Column) -> Column:
 
 
 def signature(x: Column) -> Column:
-    """A failure's signature: its first line with quoted names, paths and digits masked."""
+    """A failure's signature: its first line with labels, quoted names, source and run paths, and digits masked."""
     line = F.split_part(x, F.lit("\n"), F.lit(1))
-    line = F.regexp_replace(line, r"'[^']*'", "LABEL")
-    line = F.regexp_replace(line, r"[\w./-]+\.(tex|bib|png|pdf)", "FILE")
+    line = F.regexp_replace(line, r"[\w.-]+:[\w:.-]+", "LABEL")
+    line = F.regexp_replace(line, r'"[^"]*"|\S+\.(?:tex|sty|cls|bib)\b|\S*/runs/[0-9a-f]{12}/\S*', "FILE")
     return F.trim(F.regexp_replace(line, r"\d+", "N"))
 
 

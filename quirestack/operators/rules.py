@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +58,30 @@ def table_sql(source: str, key: list[str], rows: list[tuple[str, str, str]]) ->
     keys = ", ".join(key)
     parts = [f"SELECT {keys}, '{name}' AS rule, '{path}' AS path FROM r WHERE NOT coalesce({duck(predicate)}, false)" for name, path, predicate in rows]
     return f"WITH r AS ({duck(source)}) " + " UNION ALL ".join(parts)
+
+
+def _leaves(value, path: str):
+    if isinstance(value, dict):
+        for k, v in value.items():
+            yield from _leaves(v, f"{path}.{k}")
+    elif isinstance(value, list):
+        for i, v in enumerate(value):
+            yield from _leaves(v, f"{path}[{i}]")
+    elif isinstance(value, str):
+        yield {"path": path, "value": value}
+
+
+def _all_leaves(texts: pd.Series) -> pd.Series:
+    def one(text):
+        try:
+            return list(_leaves(json.loads(text), "$")) if isinstance(text, str) else []
+        except ValueError:
+            return []
+
+    return pd.Series([one(t) for t in texts], dtype=object)
+
+
+def flattened(df: DataFrame, key: list[str], column: str) -> DataFrame:
+    """(key, path, value) of every string in a JSON column; text that isn't JSON has none."""
+    leaves = F.pandas_udf(_all_leaves, "array<struct<path:string,value:string>>")(F.col(column))
+    return df.select(*key, F.explode(leaves).alias("l")).select(*key, "l.*")

@@ -57,6 +57,26 @@ def skip_fill(df: DataFrame, group: list[str], order: str, cost: str, room: floa
     return df.join(taken, [*group, order], "left_semi")
 
 
+#: Slices that the values of one group are dealt to before they are ranked.
+SLICES = 64
+
+
+def running_sum(df: DataFrame, group: str, order: str, value: str, into: str) -> DataFrame:
+    """Running sums of value by (group, order), which are unique numbers, without a sort of a whole group in one task.
+
+    Rows are dealt to slices of equal width between a group's least and largest order; a slice's rows are
+    summed by themselves, and what the slices before it hold, one aggregated row a group and slice, is added.
+    """
+    ends = df.groupBy(group).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    place = (F.col(order) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0)) * SLICES
+    slices = df.join(ends, group).withColumn("_slice", F.coalesce(F.floor(place), F.lit(0))).drop("_lo", "_hi")
+    before = slices.groupBy(group, "_slice").agg(F.sum(value).alias("_v"))
+    before = before.withColumn("_before", F.sum("_v").over(Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)))
+    inside = F.sum(value).over(Window.partitionBy(group, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    out = slices.withColumn("_inside", inside).join(before.drop("_v"), [group, "_slice"])
+    return out.withColumn(into, F.col("_inside") + F.coalesce("_before", F.lit(0))).drop("_slice", "_inside", "_before")
+
+
 def heading_parent(df: DataFrame, group: list[str], order: str, level: str, into: str, most: int = 9) -> DataFrame:
     """The order of the nearest earlier row of a lower level: one running maximum for each level, no self-join."""
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -74,9 +94,15 @@ def overlaps(df: DataFrame, group: list[str], start: str, stop: str, into: str)
 
 
 def page(df: DataFrame, order: list, offset: int, limit: int, group: list[str] | None = None) -> DataFrame:
-    """One page with its position, the total, whether it is partial, and the next offset (null at the end)."""
-    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order)
-    every = Window.partitionBy(*(group or [F.lit(0)]))
-    rows = df.withColumn("position", F.row_number().over(w)).withColumn("total", F.count(F.lit(1)).over(every))
+    """One page with its position, the total, whether it is partial, and the next offset (null at the end).
+
+    Each task keeps the first offset + limit rows of a group before the shuffle; totals are counted apart.
+    """
+    if group:
+        first = df.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("position") <= offset + limit)
+        rows = first.join(df.groupBy(*group).agg(F.count(F.lit(1)).alias("total")), group)
+    else:
+        first = df.orderBy(*order).limit(offset + limit)
+        rows = first.withColumn("position", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("total"))))
     more = F.col("total") > offset + limit
-    return rows.where(F.col("position").between(offset + 1, offset + limit)).withColumn("partial", more).withColumn("next_offset", F.when(more, F.lit(offset + limit)))
+    return rows.where(F.col("position") > offset).withColumn("partial", more).withColumn("next_offset", F.when(more, F.lit(offset + limit)))

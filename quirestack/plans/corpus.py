@@ -28,13 +28,13 @@ def query(sql: str = ""):
 _W = "list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
 _ANCHORS = f"""bw AS (SELECT item_id, {_W} AS w FROM benchmark),
 ba AS (SELECT item_id, spot, array_to_string(w[spot + 1: spot + 10], ' ') AS anchor, w[spot + 1: spot + 10] AS a FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 10, 0), 10)) AS spot FROM bw)),
-an AS (SELECT item_id, spot, anchor FROM ba WHERE len(list_filter(a, lambda x: regexp_matches(x, '^[a-z]{{4,}}$'))) >= 3),
+an AS (SELECT item_id, spot, anchor FROM ba WHERE len(list_filter(a, lambda x: regexp_matches(x, '^[a-z]{{3,}}$'))) >= 7),
 dw AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents)"""
 
 
 @query(f"WITH {_ANCHORS} SELECT an.item_id, an.spot, dw.doc_id FROM an JOIN dw ON contains(dw.t, ' ' || an.anchor || ' ')")
 def anchors_ngram10(spark, d):
-    found = matching.anchors(load(spark, d, "benchmark"), "item_id", "text", long_words=3)
+    found = matching.anchors(load(spark, d, "benchmark"), "item_id", "text")
     return matching.contained(found, load(spark, d, "documents"), "anchor", "doc_id", "text").select("item_id", F.col("spot").cast("long").alias("spot"), "doc_id")
 
 
@@ -42,7 +42,7 @@ def anchors_ngram10(spark, d):
 SELECT b.item_id, count(an.spot) AS n_anchors, count(an.spot) - count(hit.spot) AS missing, CASE WHEN count(an.spot) > 0 THEN round(1 - (count(an.spot) - count(hit.spot)) / count(an.spot), 4) END AS coverage
 FROM benchmark b LEFT JOIN an ON b.item_id = an.item_id LEFT JOIN hit ON hit.item_id = an.item_id AND hit.spot = an.spot GROUP BY b.item_id""")
 def anchor_coverage(spark, d):
-    found = matching.anchors(load(spark, d, "benchmark"), "item_id", "text", long_words=3)
+    found = matching.anchors(load(spark, d, "benchmark"), "item_id", "text")
     hits = matching.contained(found, load(spark, d, "documents"), "anchor", "doc_id", "text").select("item_id", "spot").distinct().withColumn("hit", F.lit(1))
     joined = load(spark, d, "benchmark").select("item_id").join(found.join(hits, ["item_id", "spot"], "left"), "item_id", "left")
     n, m = F.count("spot"), F.count("spot") - F.count("hit")
@@ -54,8 +54,8 @@ SELECT c.item_id, count(dw.doc_id) AS docs, min(dw.doc_id) AS first_doc FROM c L
 def caption_anchors_first10(spark, d):
     w = matching.plain_words(F.col("text"))
     first = load(spark, d, "benchmark").where(F.size(w) >= 10).select("item_id", F.array_join(F.slice(w, 1, 10), " ").alias("gram"))
-    found = matching.grams(load(spark, d, "documents"), "doc_id", "text")
-    return first.join(found, "gram", "left").groupBy("item_id").agg(F.count("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
+    found = matching.contained(first, load(spark, d, "documents"), "gram", "doc_id", "text")
+    return first.select("item_id").join(found, "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
 
 
 @query(f"""WITH {_ANCHORS}, hit AS (SELECT DISTINCT an.item_id, an.spot, dw.doc_id FROM an JOIN dw ON contains(dw.t, ' ' || an.anchor || ' ')),
@@ -64,7 +64,7 @@ per AS (SELECT d.source, count(DISTINCT d.doc_id) AS papers, count(h.spot) AS an
   FROM documents d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.source)
 SELECT source, papers, anchors, copied, good, bad, round(copied / papers, 4) AS copied_share FROM per""")
 def corpus_report(spark, d):
-    found = matching.anchors(load(spark, d, "benchmark"), "item_id", "text", long_words=3)
+    found = matching.anchors(load(spark, d, "benchmark"), "item_id", "text")
     docs = load(spark, d, "documents")
     hits = matching.contained(found, docs, "anchor", "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"))
     labels = load(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q1"), F.min("quality").alias("q0"))
@@ -77,45 +77,45 @@ def corpus_report(spark, d):
 
 
 _PASSAGES = """ls AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
-ps AS (SELECT doc_id * 1000 + row_number() OVER (PARTITION BY doc_id ORDER BY p) AS pid, line AS text FROM ls WHERE trim(line) <> '')"""
+ps AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS pos, line AS text FROM ls WHERE trim(line) <> '')"""
 
 
 def _passages(spark, d):
-    return passages(load(spark, d, "documents")).select((F.col("doc_id") * 1000 + F.col("pos") + 1).alias("pid"), F.col("line").alias("text"))
+    """(pid, text): the non-blank lines of each document; pid is the struct (doc_id, pos)."""
+    return passages(load(spark, d, "documents")).select(F.struct("doc_id", F.col("pos").cast("long").alias("pos")).alias("pid"), F.col("line").alias("text"))
 
 
-@query(f"""WITH {_PASSAGES}, v AS (SELECT DISTINCT pid, unnest({_W}) AS word FROM ps), q AS (SELECT DISTINCT item_id, unnest({_W}) AS word FROM benchmark),
+@query(f"""WITH {_PASSAGES}, v AS (SELECT DISTINCT doc_id, pos, unnest({_W}) AS word FROM ps), q AS (SELECT DISTINCT item_id, unnest({_W}) AS word FROM benchmark),
 df AS (SELECT word, count(*) AS df FROM v GROUP BY word), i AS (SELECT word, df, ln(1 + (SELECT count(*) FROM ps) / df) AS idf FROM df),
 qi AS (SELECT item_id, word, df, idf FROM q JOIN i USING (word)),
 rare AS (SELECT item_id, word FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY df, word) AS r FROM qi) WHERE r <= 3),
-pool AS (SELECT DISTINCT item_id, pid FROM rare JOIN v USING (word)),
-s AS (SELECT p.item_id, p.pid, round(sum(qi.idf), 6) AS score FROM pool p JOIN v ON v.pid = p.pid JOIN qi ON qi.item_id = p.item_id AND qi.word = v.word GROUP BY ALL)
-SELECT item_id, pid, score, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, pid) AS place FROM s) WHERE place <= 10""")
+pool AS (SELECT DISTINCT item_id, doc_id, pos FROM rare JOIN v USING (word)),
+s AS (SELECT p.item_id, p.doc_id, p.pos, round(sum(qi.idf), 6) AS score FROM pool p JOIN v ON v.doc_id = p.doc_id AND v.pos = p.pos JOIN qi ON qi.item_id = p.item_id AND qi.word = v.word GROUP BY ALL)
+SELECT item_id, doc_id, pos, score, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, pos) AS place FROM s) WHERE place <= 10""")
 def rare_word_blocking_top10(spark, d):
-    return matching.candidates(load(spark, d, "benchmark"), _passages(spark, d), "item_id", "pid")
+    found = matching.candidates(load(spark, d, "benchmark"), _passages(spark, d), "item_id", "pid")
+    return found.select("item_id", "pid.*", "score", "place")
 
 
 @query()
 def relocate_fuzzy(spark, d):
-    return matching.relocate(load(spark, d, "benchmark"), _passages(spark, d), "item_id", "pid")
+    """Every benchmark text, sought word for word, by its letters, and by resemblance."""
+    found = matching.relocate(load(spark, d, "benchmark"), _passages(spark, d), "item_id", "pid")
+    return found.select("item_id", "pid.doc_id", "pid.pos", "found", "ratio", "words")
 
 
-@query(f"""WITH {_PASSAGES}, q AS (SELECT item_id, substr(text, 12, 60) AS quote, substr(text, 1, 11) AS prefix FROM benchmark),
-h AS (SELECT q.item_id, ps.pid, CASE WHEN contains(ps.text, q.prefix || q.quote) THEN 1 ELSE 0 END AS agrees FROM q JOIN ps ON contains(ps.text, q.quote))
-SELECT item_id, pid, agrees FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY agrees DESC, pid) AS r FROM h) WHERE r = 1""")
+@query(f"""WITH {_PASSAGES}, q AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN substr(text, 12, 60) WHEN 1 THEN substr(text, 12, 9) WHEN 2 THEN substr(text, 12) ELSE substr(text, 12, 3) END AS quote, substr(text, 1, 11) AS prefix FROM benchmark),
+h AS (SELECT q.item_id, ps.doc_id, ps.pos, CASE WHEN contains(ps.text, q.prefix || q.quote) THEN 1 ELSE 0 END AS agrees FROM q JOIN ps ON contains(ps.text, q.quote))
+SELECT item_id, doc_id, pos, agrees FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY agrees DESC, doc_id, pos) AS r FROM h) WHERE r = 1""")
 def relocate_exact_context(spark, d):
-    """Exact substrings, found through the words inside the quote instead of a nested loop over passages."""
-    asked = load(spark, d, "benchmark").select("item_id", F.substring("text", 12, 60).alias("quote"), F.substring("text", 1, 11).alias("prefix"))
-    inner = lambda x: F.array_join(F.slice(F.filter(F.split(x, r"\s+"), lambda w: w != ""), 2, 3), " ")
-    keyed = asked.withColumn("key", inner(F.col("quote")))
-    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    texts = _passages(spark, d).withColumn("w", w).where(F.size("w") >= 3)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " ")))
-    spots = texts.select("pid", "text", F.explode(grams).alias("key"))
-    hits = spots.join(keyed, "key").where(F.contains("text", F.col("quote")))
-    agrees = F.contains("text", F.concat("prefix", "quote")).cast("int")
+    """Exact substrings of any length, down to three characters, by agreement of the context before them."""
+    k = F.col("item_id") % 4
+    quote = F.when(k == 0, F.substring("text", 12, 60)).when(k == 1, F.substring("text", 12, 9)).when(k == 2, F.substring("text", 12, 1 << 30)).otherwise(F.substring("text", 12, 3))
+    asked = load(spark, d, "benchmark").select("item_id", quote.alias("text"), F.substring("text", 1, 11).alias("prefix"))
+    hits = matching.exact_hits(asked, _passages(spark, d), "item_id", "pid").where("exact").join(asked.select("item_id", "prefix"), "item_id")
+    agrees = F.contains("text", F.concat("prefix", "quote_text")).cast("int")
     best = hits.groupBy("item_id").agg(F.min_by(F.struct("pid", agrees.alias("agrees")), F.struct(-agrees, F.col("pid"))).alias("b"))
-    return best.select("item_id", "b.pid", "b.agrees")
+    return best.select("item_id", "b.pid.*", "b.agrees")
 
 
 @query("""
@@ -162,11 +162,9 @@ def quota_shortfalls(spark, d):
 
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 2")
 def gate_first2_per_group(spark, d):
-    """The two smallest ids of each group, by two aggregations: a large group needs no sort."""
-    docs = load(spark, d, "documents").select("source", "doc_id")
-    first = docs.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
-    second = docs.join(first.withColumnRenamed("doc_id", "f"), "source").where("doc_id > f").groupBy("source").agg(F.min("doc_id").alias("doc_id"))
-    return first.unionByName(second)
+    """The two first rows of each group by id, a repeated id included; each task keeps two of a group before the shuffle."""
+    w = Window.partitionBy("source").orderBy("doc_id")
+    return load(spark, d, "documents").select("source", "doc_id").withColumn("r", F.row_number().over(w)).where("r <= 2").drop("r")
 
 
 @query("""
@@ -195,14 +193,14 @@ def descendants_recursive(spark, d):
       SELECT id, depth FROM down""")
 
 
-@query(f"""WITH {_PASSAGES}, chosen AS (SELECT pid FROM ps WHERE pid % 1000 = 1 AND pid < 50000 UNION SELECT pid FROM ps WHERE pid // 1000 IN (SELECT doc_id FROM documents WHERE source = 'src3'))
-SELECT pid, length(text) AS chars FROM ps WHERE pid IN (SELECT pid FROM chosen)""")
+@query(f"""WITH {_PASSAGES} SELECT doc_id, pos, length(text) AS chars FROM ps WHERE pos = 0 OR doc_id IN (SELECT doc_id FROM documents WHERE source = 'src3')""")
 def evidence_selection(spark, d):
+    """Passages chosen themselves (each document's first) or through their section (a source's documents)."""
     ps = _passages(spark, d)
-    sections = load(spark, d, "documents").where("source = 'src3'").select("doc_id")
-    direct = ps.where("pid % 1000 = 1 AND pid < 50000").select("pid")
-    whole = ps.select("pid", F.expr("pid div 1000").alias("doc_id")).join(sections, "doc_id", "left_semi").select("pid")
-    return ps.join(direct.union(whole).distinct(), "pid", "left_semi").select("pid", F.length("text").cast("long").alias("chars"))
+    sections = load(spark, d, "documents").where("source = 'src3'").select("doc_id").distinct()
+    direct = ps.where("pid.pos = 0").select("pid")
+    whole = ps.select("pid", "pid.doc_id").join(sections, "doc_id", "left_semi").select("pid")
+    return ps.join(direct.union(whole).distinct(), "pid", "left_semi").select("pid.*", F.length("text").cast("long").alias("chars"))
 
 
 @query(r"""
@@ -227,11 +225,11 @@ _STATE = "CASE event_type WHEN 'signup' THEN 'new' WHEN 'purchase' THEN 'read' E
 
 
 @query(f"""
-WITH old AS (SELECT c_custkey AS user_id, 'reading' AS state, NULL::TIMESTAMP AS read_at FROM customer WHERE c_custkey < 300),
+WITH old AS (SELECT c_custkey AS user_id, 'reading' AS state, NULL::TIMESTAMP AS read_at FROM customer),
 p AS (SELECT user_id, arg_max({_STATE}, event_id) AS s, arg_max(ts, event_id) AS t FROM events GROUP BY user_id)
 SELECT coalesce(o.user_id, p.user_id) AS user_id, coalesce(p.s, o.state) AS state, CASE WHEN p.s IS NULL THEN o.read_at WHEN p.s = 'read' THEN p.t END AS read_at FROM old o FULL JOIN p ON o.user_id = p.user_id WHERE p.s IS NULL OR p.s <> 'new'""")
 def merge_patch_reading(spark, d):
-    old = load(spark, d, "customer").where("c_custkey < 300").select(F.col("c_custkey").alias("user_id"), F.lit("reading").alias("state"), F.lit(None).cast("timestamp").alias("read_at"))
+    old = load(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("reading").alias("state"), F.lit(None).cast("timestamp").alias("read_at"))
     state = F.when(F.col("event_type") == "signup", "new").when(F.col("event_type") == "purchase", "read").otherwise("reading")
     patch = load(spark, d, "events").select("user_id", state.alias("state"), "ts")
     return dml.merge_patch(old, patch, "user_id", "state", "read_at", "ts")

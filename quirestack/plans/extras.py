@@ -24,9 +24,9 @@ def query(sql: str = ""):
 
 
 @query("""
-SELECT conv_id, string_agg('## ' || role || chr(10) || '> ' || left(text, 60), chr(10) || chr(10) ORDER BY turn) AS markdown, count(*) AS n FROM conversations WHERE role <> 'system' GROUP BY conv_id""")
+SELECT conv_id, string_agg('## ' || role || chr(10) || '> ' || text, chr(10) || chr(10) ORDER BY turn) AS markdown, count(*) AS n FROM conversations WHERE role <> 'system' GROUP BY conv_id""")
 def notes_markdown(spark, d):
-    block = F.concat(F.lit("## "), F.col("role"), F.lit("\n> "), F.left("text", F.lit(60)))
+    block = F.concat(F.lit("## "), F.col("role"), F.lit("\n> "), F.col("text"))
     rows = load(spark, d, "conversations").where("role <> 'system'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))).alias("r"))
     return rows.select("conv_id", F.array_join(F.transform("r", lambda x: x["b"]), "\n\n").alias("markdown"), F.size("r").cast("long").alias("n"))
 
@@ -62,12 +62,12 @@ def numbers_by_first_appearance(spark, d):
 
 
 @query("""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents WHERE lang = 'en'),
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
 t AS (SELECT doc_id, p, contains(lower(line), 'ation') AS has, length(line) > 200 AS owner FROM l), o AS (SELECT doc_id, min(p) AS owner FROM t WHERE owner GROUP BY doc_id)
 SELECT t.doc_id, count(*) AS early FROM t JOIN o ON t.doc_id = o.doc_id WHERE t.has AND t.p < o.owner GROUP BY t.doc_id""")
 def terms_before_owner(spark, d):
     lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.contains(F.lower(x), F.lit("ation")).alias("has"), (F.length(x) > 200).alias("owner")))
-    rows = load(spark, d, "documents").where("lang = 'en'").select("doc_id", lines.alias("x"))
+    rows = load(spark, d, "documents").select("doc_id", lines.alias("x"))
     owner = F.array_position(F.transform("x", lambda x: x["owner"]), F.lit(True))
     early = F.size(F.filter(F.slice("x", 1, F.greatest(owner - 1, F.lit(0)).cast("int")), lambda x: x["has"]))
     return rows.select("doc_id", owner.alias("o"), early.cast("long").alias("early")).where("o > 0 AND early > 0").select("doc_id", "early")
@@ -84,33 +84,35 @@ def dates_and_reserves(spark, d):
 
 
 @query("""
-SELECT doc_id, lang || ':' || source AS facet, sha256(lang || '/' || source || '/' || n_chars) AS digest, lower(hex(source)) AS bytes FROM documents""")
+SELECT doc_id, lang || ':' || source AS facet, sha256(lang || '/' || source || '/' || text) AS digest, lower(hex(source)) AS bytes FROM documents""")
 def content_digests(spark, d):
-    joined = F.concat_ws("/", "lang", "source", "n_chars")
+    joined = F.concat_ws("/", "lang", "source", "text")
     return load(spark, d, "documents").select("doc_id", F.concat_ws(":", "lang", "source").alias("facet"), F.sha2(joined.cast("binary"), 256).alias("digest"), F.lower(F.hex(F.col("source").cast("binary"))).alias("bytes"))
 
 
 @query("""
-WITH a AS (SELECT list_sort(list(DISTINCT event_type)) AS a FROM events WHERE user_id % 2 = 0 AND event_id < 40), b AS (SELECT list_sort(list(DISTINCT event_type)) AS b FROM events WHERE user_id % 2 = 1 AND event_id < 8)
+WITH a AS (SELECT list_sort(list(DISTINCT event_type)) AS a FROM events WHERE value > 100), b AS (SELECT list_sort(list(DISTINCT event_type)) AS b FROM events WHERE value < 0.1)
 SELECT list_sort(list_filter(a, lambda x: NOT list_contains(b, x))) AS missing, list_sort(list_filter(b, lambda x: NOT list_contains(a, x))) AS unexpected FROM a, b""")
 def field_difference(spark, d):
     rows = load(spark, d, "events")
-    odd = F.col("user_id") % 2 == 1
-    sets = rows.agg(F.collect_set(F.when(~odd & (F.col("event_id") < 40), F.col("event_type"))).alias("a"), F.collect_set(F.when(odd & (F.col("event_id") < 8), F.col("event_type"))).alias("b"))
+    sets = rows.agg(F.collect_set(F.when(F.col("value") > 100, F.col("event_type"))).alias("a"), F.collect_set(F.when(F.col("value") < 0.1, F.col("event_type"))).alias("b"))
     return sets.select(F.array_sort(F.array_except("a", "b")).alias("missing"), F.array_sort(F.array_except("b", "a")).alias("unexpected"))
 
 
 @query()
 def snapshot_diff_items(spark, d):
-    lines = passages(load(spark, d, "documents").where("lang = 'fr'")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("r"))
+    lines = passages(load(spark, d, "documents")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("r"))
     old = lines.select("doc_id", F.transform("r", lambda x: x["line"]).alias("items"))
     new = lines.select("doc_id", F.transform(F.filter("r", lambda x: x["pos"] % 7 != 3), lambda x: F.when(x["pos"] % 5 == 1, F.upper(x["line"])).otherwise(x["line"])).alias("items"))
     return diff.snapshot_diff(old, new, ["doc_id"], "items")
 
 
 @query("""
-WITH v AS (SELECT user_id AS k, event_id AS ver, event_type AS line FROM events WHERE user_id < 40), l AS (SELECT k, max(ver) AS last FROM v GROUP BY k), r AS (SELECT k, ver, line, dense_rank() OVER (PARTITION BY k ORDER BY ver) AS r FROM v),
-g AS (SELECT k, line, ver, r - row_number() OVER (PARTITION BY k, line ORDER BY r) AS run FROM r), s AS (SELECT k, line, run, min(ver) AS since, max(ver) AS upto FROM g GROUP BY ALL) SELECT s.k, s.line, s.since FROM s JOIN l ON s.k = l.k AND s.upto = l.last""")
+WITH v AS (SELECT conv_id AS k, turn AS ver, role AS line FROM conversations), c AS (SELECT k, ver, list(line) OVER (PARTITION BY k ORDER BY ver ROWS UNBOUNDED PRECEDING) AS lines FROM v), l AS (SELECT k, max(ver) AS last FROM v GROUP BY k)
+SELECT c.k, unnest(range(0, len(lines))) AS pos, unnest(lines) AS line, unnest((SELECT list(ver ORDER BY ver) FROM v WHERE v.k = c.k)) AS since FROM c JOIN l ON c.k = l.k AND c.ver = l.last""")
 def blame_lines(spark, d):
-    versions = load(spark, d, "events").where("user_id < 40").select(F.col("user_id").alias("k"), F.col("event_id").alias("ver"), F.array("event_type").alias("lines"))
+    """DIF-03: a conversation's roles, a line added with every turn; versions are the conversation up to each turn."""
+    w = Window.partitionBy("k").orderBy("ver").rowsBetween(Window.unboundedPreceding, 0)
+    versions = load(spark, d, "conversations").select(F.col("conv_id").alias("k"), F.col("turn").alias("ver"), "role")
+    versions = versions.select("k", "ver", F.transform(F.array_sort(F.collect_list(F.struct("ver", "role")).over(w)), lambda x: x["role"]).alias("lines"))
     return diff.blame(versions, ["k"], "ver", "lines")

@@ -140,12 +140,12 @@ def activity_rollup(spark, d):
 
 
 @query("""
-WITH local AS (SELECT doc_id, lower(regexp_replace(left(text, 60), '[^a-zA-Z0-9]', '', 'g')) AS k FROM documents WHERE source IN ('src1','src2')),
-remote AS (SELECT doc_id, lower(regexp_replace(left(text, 60), '[^a-zA-Z0-9]', '', 'g')) AS k FROM documents WHERE source IN ('src3','src4'))
+WITH local AS (SELECT doc_id, lower(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) AS k FROM documents WHERE source IN ('src1','src2')),
+remote AS (SELECT doc_id, lower(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) AS k FROM documents WHERE source IN ('src3','src4'))
 (SELECT doc_id, 'local' AS origin FROM local ORDER BY doc_id LIMIT 5)
 UNION ALL (SELECT doc_id, 'remote' AS origin FROM remote WHERE k NOT IN (SELECT k FROM local) ORDER BY doc_id LIMIT 20)""")
 def search_rows_dedup(spark, d):
-    rows = load(spark, d, "documents").select("doc_id", "source", T.fingerprint(F.left("text", F.lit(60))).alias("k"))
+    rows = load(spark, d, "documents").select("doc_id", "source", T.fingerprint(F.col("text")).alias("k"))
     local, remote = rows.where(F.col("source").isin("src1", "src2")), rows.where(F.col("source").isin("src3", "src4"))
     fresh = remote.join(local.select("k"), "k", "left_anti")
     top = local.orderBy("doc_id").limit(5).select("doc_id", F.lit("local").alias("origin"))

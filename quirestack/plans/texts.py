@@ -41,10 +41,12 @@ def fingerprint_dupes(spark, d):
 
 @query("""
 WITH f AS (SELECT doc_id, left(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 30) AS k FROM documents)
-SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS same_as FROM f""")
+SELECT doc_id, CASE WHEN k = '' THEN doc_id ELSE min(doc_id) OVER (PARTITION BY k) END AS same_as FROM f""")
 def title_key_dupes(spark, d):
     docs = load(spark, d, "documents").select("doc_id", T.title_key(F.col("text")).alias("k"))
-    return docs.select("doc_id", F.min("doc_id").over(Window.partitionBy("k")).alias("same_as"))
+    # A text without ASCII letters and digits has no key and equals none; a very common key is an aggregate, not a sort.
+    first = docs.where("k <> ''").groupBy("k").agg(F.min("doc_id").alias("first"))
+    return docs.join(first, "k", "left").select("doc_id", F.coalesce("first", "doc_id").alias("same_as"))
 
 
 @query("""SELECT conv_id, turn, ceil(length(text) / CASE WHEN role = 'assistant' THEN 2.5 ELSE 3.5 END)::BIGINT AS tokens,
@@ -189,15 +191,21 @@ def citation_quality(spark, d):
 SELECT event_type, count(*) AS n, round(median(value), 2) AS median_value, list_sort(list(value))[least(count(*) - 1, floor(0.9 * count(*)))::INT + 1] AS p90,
   count(*) FILTER (CAST(json_extract_string(props, '$.k') AS INT) < 10) AS cache_hits, round(avg(value), 4) AS mean_value FROM events GROUP BY event_type""")
 def run_stats_by_phase(spark, d):
-    """Index p90: the value at position min(n-1, floor(0.9 n)); found with a rank, so no group is collected."""
-    rows = load(spark, d, "events").select("event_type", "event_id", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    w = Window.partitionBy("event_type")
-    ranked = rows.withColumn("r", F.row_number().over(w.orderBy("value", "event_id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    at = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.9)) + 1
-    return ranked.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.median("value"), 2).alias("median_value"), F.max(F.when(F.col("r") == at, F.col("value"))).alias("p90"),
-        F.count_if(F.col("k") < 10).alias("cache_hits"), F.round(F.avg("value"), 4).alias("mean_value"),
+    """Median, and index p90: the value at position min(n-1, floor(0.9 n)).
+
+    Equal values are counted before anything is sorted, so five groups of any size are ranked by their
+    distinct values alone; sums come from an aggregation of their own.
+    """
+    rows = load(spark, d, "events").select("event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    sums = rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("m"), F.count_if(F.col("k") < 10).alias("cache_hits"), F.round(F.avg("value"), 4).alias("mean_value"))
+    counted = rows.where("value IS NOT NULL").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("c"))
+    upto = W.running_sum(counted, "event_type", "value", "c", "upto").join(sums.select("event_type", "n", "m"), "event_type")
+    holds = lambda at: (F.col("upto") >= at) & (F.col("upto") - F.col("c") < at)
+    low, high = F.floor((F.col("m") + 1) / 2), F.floor(F.col("m") / 2) + 1
+    picked = upto.groupBy("event_type").agg(
+        F.max(F.when(holds(low), F.col("value"))).alias("a"), F.max(F.when(holds(high), F.col("value"))).alias("b"), F.max(F.when(holds(F.least(F.col("n") - 1, F.floor(F.col("n") * 0.9)) + 1), F.col("value"))).alias("p90")
     )
+    return sums.join(picked, "event_type", "left").select("event_type", "n", F.round((F.col("a") + F.col("b")) / 2, 2).alias("median_value"), "p90", "cache_hits", "mean_value")
 
 
 @query("""
@@ -239,8 +247,8 @@ def invariants_flags(spark, d):
 
 
 @query(r"""
-WITH f AS (SELECT doc_id, left(trim(regexp_replace(regexp_replace(regexp_replace(string_split(text, chr(10))[1], '''[^'']*''', 'LABEL', 'g'), '[\w./-]+\.(tex|bib|png|pdf)', 'FILE', 'g'), '[0-9]+', 'N', 'g')), 12) AS sig FROM documents)
+WITH f AS (SELECT doc_id, left(trim(regexp_replace(regexp_replace(regexp_replace(string_split(text, chr(10))[1], '[\w.-]+:[\w:.-]+', 'LABEL', 'g'), '"[^"]*"|\S+\.(?:tex|sty|cls|bib)\b|\S*/runs/[0-9a-f]{12}/\S*', 'FILE', 'g'), '[0-9]+', 'N', 'g')), 120) AS sig FROM documents)
 SELECT sig, count(*) AS n, min(doc_id) AS example FROM f GROUP BY sig HAVING count(*) > 1""")
 def failure_signature_groups(spark, d):
-    sig = F.left(T.signature(F.col("text")), F.lit(12))
+    sig = F.left(T.signature(F.col("text")), F.lit(120))
     return load(spark, d, "documents").groupBy(sig.alias("sig")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("example")).where("n > 1")

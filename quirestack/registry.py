@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import corpus, extras, library, texts
+from .plans import checks, corpus, extras, inputs, library, outline, texts
 
 FLAGSHIP = "corpus_report"
-MODULES = [library, texts, corpus, extras]
+MODULES = [library, texts, corpus, extras, checks, inputs, outline]
 
 
 def queries() -> dict:

@@ -1,4 +1,4 @@
-"""Archive readers: one row a member, limits checked before anything is read."""
+"""Archive readers: one row a member, limits checked before members are read; unpacking stops at a limit."""
 
 from __future__ import annotations
 
@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Members of an archive, and bytes of one member, at most; an archive beyond them gives one row with an error.
-MEMBERS, MEMBER_BYTES = 10_000, 50_000_000
+#: Members of an archive, bytes of one member, and bytes that a compressed archive unpacks to, at most; an
+#: archive beyond them gives one row with an error.
+MEMBERS, MEMBER_BYTES, ARCHIVE_BYTES = 10_000, 50_000_000, 400_000_000
 
 
 def _safe(name: str) -> bool:
@@ -27,7 +28,12 @@ def _members(raw: bytes) -> list[tuple[str, bytes]]:
         with zipfile.ZipFile(io.BytesIO(raw)) as z:
             found = [(i.filename, i.file_size, lambda i=i: z.read(i)) for i in z.infolist() if not i.is_dir()]
             return _checked(found)
-    plain = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+    plain = raw
+    if raw[:2] == b"\x1f\x8b":
+        with gzip.GzipFile(fileobj=io.BytesIO(raw)) as z:
+            plain = z.read(ARCHIVE_BYTES + 1)
+        if len(plain) > ARCHIVE_BYTES:
+            raise ValueError("the archive unpacks to too much")
     try:
         with tarfile.open(fileobj=io.BytesIO(plain)) as t:
             every = t.getmembers()
@@ -67,13 +73,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def epub_spine(members: DataFrame) -> DataFrame:
-    """(path, pos, member) of an e-book's chapters in reading order, without cover and navigation."""
+    """(path, pos, member) of an e-book's chapters in reading order, without cover and navigation; a malformed package has none."""
     local = "{http://www.idpf.org/2007/opf}"
 
     def run(frames):
         for frame in frames:
             for p, name, raw in zip(frame["path"], frame["member"], frame["content"]):
-                root = ElementTree.fromstring(raw)
+                try:
+                    root = ElementTree.fromstring(raw)
+                except ElementTree.ParseError:
+                    continue
                 items = {i.get("id"): i for i in root.iter(f"{local}item")}
                 order = [items[r.get("idref")] for r in root.iter(f"{local}itemref") if r.get("idref") in items]
                 kept = [i.get("href") for i in order if "nav" not in (i.get("properties") or "") and "cover" not in i.get("id").lower()]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,8 +18,14 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def replace_json(df: DataFrame, path: str) -> None:
-    """Replaces a folder of records; readers see it once the job has committed."""
-    df.write.mode("overwrite").json(path)
+    """Replaces a folder of records: written beside it first, then renamed, so a failed job leaves the old one."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    df.write.json(f"{path}.new")
+    old, new, gone = (jvm.org.apache.hadoop.fs.Path(f"{path}{x}") for x in ("", ".new", ".old"))
+    fs = old.getFileSystem(conf)
+    if fs.exists(old) and not fs.rename(old, gone) or not fs.rename(new, old):
+        raise OSError(f"{path} can't be replaced")
+    fs.delete(gone, True)
 
 
 def read_sources(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".tex", ".bib", ".bbl")) -> DataFrame:
@@ -42,9 +48,8 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stale_snapshots(names: DataFrame, name: str = "name", keep: int = 7) -> DataFrame:
-    """Snapshots beyond the newest `keep` by name."""
-    w = Window.orderBy(F.desc(name))
-    return names.withColumn("_r", F.row_number().over(w)).where(F.col("_r") > keep).drop("_r")
+    """Snapshots beyond the newest `keep` by name; names are distinct."""
+    return names.join(names.orderBy(F.desc(name)).limit(keep).select(name), name, "left_anti")
 
 
 def root_documents(files: DataFrame, group: str = "doc") -> DataFrame:

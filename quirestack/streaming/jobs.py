@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: States that end a job.  The first of them counts; later ones change nothing.
@@ -50,3 +51,47 @@ def submissions(log: DataFrame, payload: list[str], order: str) -> DataFrame:
 def newly_finished(before: DataFrame, now: DataFrame, key: str, state: str) -> DataFrame:
     """Jobs that are ready now and weren't at the last look."""
     return now.where(F.col(state) == "ready").join(before.where(F.col(state) == "ready").select(key), key, "left_anti")
+
+
+def event_line(line: Column) -> Column:
+    """struct<data, done> of a line of a server's event stream, null for comments and other fields."""
+    data = F.when(F.startswith(line, F.lit("data:")), F.ltrim(F.substring(line, 6, 1 << 30)))
+    return F.when(data.isNotNull(), F.struct(F.when(data != "[DONE]", data).alias("data"), (data == "[DONE]").alias("done")))
+
+
+def _released(parts: list[str], secret: str) -> list[str]:
+    out, held = [], ""
+    for part in parts:
+        held = (held + part).replace(secret, "[REDACTED]")
+        cut = max(0, len(held) - len(secret) + 1)
+        out.append(held[:cut])
+        held = held[cut:]
+    return [*out[:-1], out[-1] + held] if out else []
+
+
+def held_back(parts: DataFrame, key: str, order: str, part: str, secret: str) -> DataFrame:
+    """(key, order, part): what may leave after each part of a stream, with a secret masked even where parts cut it.
+
+    As many characters as the secret has, less one, wait for the next part; the last part lets all out.  A
+    stream's parts are one answer, so they fit in one row.
+    """
+    rows = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(part).alias("p")))).alias("r"))
+    run = F.pandas_udf(lambda x: pd.Series([_released(list(p), secret) for p in x], dtype=object), "array<string>")
+    rows = rows.select(key, "r", run(F.transform("r", lambda x: x["p"])).alias("out"))
+    return rows.select(key, F.explode(F.arrays_zip("r", "out")).alias("z")).select(key, F.col("z.r.o").alias(order), F.col("z.out").alias(part))
+
+
+def cache_hits(calls: DataFrame, key: list[str], order: str, at: str, ttl: float) -> DataFrame:
+    """calls with hit: whether an entry of the key, filled by an earlier call, was younger than ttl; a call that misses fills it.
+
+    A sequential fold over each key's times.  Only times and order are collected, and a key's are first
+    cut where a gap of ttl makes the cache start afresh, so an array holds one run of frequent calls.
+    """
+    w = Window.partitionBy(*key).orderBy(at, order)
+    fresh = F.coalesce(F.col(at) - F.lag(at).over(w) >= ttl, F.lit(True))
+    runs = calls.withColumn("_run", F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = runs.groupBy(*key, "_run").agg(F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("t"), F.col(order).alias("o")))).alias("r"))
+    start = F.struct(F.lit(float("-inf")).alias("filled"), F.array().cast("array<boolean>").alias("hits"))
+    step = lambda a, x: F.struct(F.when(x["t"] < a["filled"] + ttl, a["filled"]).otherwise(x["t"]).alias("filled"), F.concat(a["hits"], F.array(x["t"] < a["filled"] + ttl)).alias("hits"))
+    rows = rows.select(*key, "r", F.aggregate("r", start, step, lambda a: a["hits"]).alias("hits"))
+    return rows.select(*key, F.explode(F.arrays_zip("r", "hits")).alias("z")).select(*key, F.col("z.r.o").alias(order), F.col("z.r.t").alias(at), F.col("z.hits").alias("hit"))

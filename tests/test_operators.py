@@ -30,7 +30,7 @@ def one(spark, value, make):
         (T.short_title, "Attention: all you need", "Attention"),
         (T.short_title, "A: b", "A: b"),
         (T.slug, " Hello, World! ", "hello-world"),
-        (T.signature, "no 'x' in a/b.tex line 42\nmore", "no LABEL in FILE line N"),
+        (T.signature, 'no fig:x1 "q" in a/b.tex line 42\nmore', "no LABEL FILE in FILE line N"),
         (T.tex_escaped, "a_b $x_y$ 5%", "a\\_b $x_y$ 5\\%"),
         (T.prose, "Hi \\textbf{bold} \\cite{a} % gone\nend", "Hi bold end"),
         (T.reference_title, 'A. B. "On the words of texts," J. 2001', "On the words of texts"),
@@ -100,6 +100,15 @@ def test_matching(spark):
     p = spark.createDataFrame([(10, f"before {words} after"), (11, "other words entirely"), (12, None)], "p int, text string")
     got = {r["q"]: (r["found"], r["p"]) for r in matching.relocate(q, p, "q", "p").collect()}
     assert got == {1: ("found", 10), 2: ("moved", 10), 3: ("not-found", None), 4: ("not-found", None)}
+    frozen = spark.createDataFrame([(1, "of Ice-Land and"), (2, "ICELAND, and WINTER nights"), (3, "ab"), (4, "the sea was quite calm that mornin"), (5, "你好世界"), (6, "zz zz")], "q int, text string")
+    texts = spark.createDataFrame([(1, "tales of Ice-Land and ab"), (2, "tales of iceland and winter-nights, old"), (3, "so the sea was qiute calm that morning, they said, and far away the hills stood"), (4, "say 你好世界 now")], "p int, text string")
+    got = {r["q"]: (r["found"], r["p"], r["words"]) for r in matching.relocate(frozen, texts, "q", "p").collect()}
+    assert got == {
+        1: ("found", 1, "of Ice-Land and"), 2: ("moved", 2, "iceland and winter-nights,"), 3: ("found", 1, "ab"), 4: ("moved", 3, "the sea was qiute calm that morning,"), 5: ("found", 4, "你好世界"), 6: ("not-found", None, None),
+    }
+    many = spark.createDataFrame([(i, "the same line of words stands here") for i in range(30)], "p int, text string").withColumn("section", F.when(F.col("p") == 21, "own").otherwise("other"))
+    own = spark.createDataFrame([(1, "same line of words", "own"), (2, "same line of words", None)], "q int, text string, section string")
+    assert {r["q"]: r["p"] for r in matching.relocate(own, many, "q", "p").collect()} == {1: 21, 2: 0}
     ten = spark.createDataFrame([(1, " ".join(["word"] * 10)), (2, " ".join(["word"] * 11))], "k int, text string")
     assert [(r["k"], r["spot"]) for r in matching.anchors(ten, "k", "text").collect()] == [(2, 0)]
     two = spark.createDataFrame([("xx quote yy quote zz", "quote", "yy ", " zz")], "t string, q string, b string, a string")
@@ -161,6 +170,12 @@ def test_diff_and_blame(spark):
     assert got == [(1, 1, "b", "B"), (1, 3, None, "d"), (2, 0, "x", None), (4, 0, None, "y\nz")]
     versions = spark.createDataFrame([(1, 1, ["a", "b"]), (1, 2, ["b"]), (1, 3, ["a", "b"])], "k int, v int, lines array<string>")
     assert {(r["line"], r["since"]) for r in diff.blame(versions, ["k"], "v", "lines").collect()} == {("a", 3), ("b", 1)}
+    moved = spark.createDataFrame([(1, 1, ["x", "y", "z"]), (1, 2, ["x", "new", "y", "z"]), (1, 3, ["x", "new", "y", "z"]), (1, 4, ["x", "new", "y", "z", "x"])], "k int, v int, lines array<string>")
+    assert [(r["line"], r["since"]) for r in diff.blame(moved, ["k"], "v", "lines").orderBy("pos").collect()] == [("x", 1), ("new", 2), ("y", 1), ("z", 1), ("x", 4)]
+    words = spark.createDataFrame([("a b c d e f g", "a b c d X f g")], "a string, b string").select(diff.word_changes(F.col("a"), F.col("b")).alias("x")).first()["x"]
+    assert words == "...b c d [e -> X] f g..."
+    edges = spark.createDataFrame([("m", "a"), ("a", "b"), ("b", "a"), ("m", "b")], "a string, b string")
+    assert diff.include_depth(edges, spark.createDataFrame([("m",), ("z",)], "a string")).orderBy("root").collect() == [("m", 2), ("z", 0)]
     assert diff.presence(versions, ["k"], "v", F.array_contains("lines", "a")).first()[1:] == (2, 2)
 
 

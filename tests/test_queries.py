@@ -20,7 +20,7 @@ def test_oracle(spark, con, sf_dir, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
 def test_rows(spark, sf_dir, name):
-    assert registry.queries()[name](spark, sf_dir).columns
+    assert registry.queries()[name](spark, sf_dir).count() > 0
 
 
 def test_flagship(spark, sf_dir):
