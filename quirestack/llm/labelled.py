@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,26 +23,32 @@ def read_labels(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min("y").alias("y"))
 
 
-def about(rows: DataFrame, key: str, bound: int, salt: int) -> DataFrame:
+def _made(rows: DataFrame, of: Callable[[Column], Column] | None) -> DataFrame:
+    return rows.withColumn("text", of(F.col("text"))) if of else rows
+
+
+def about(rows: DataFrame, key: str, bound: int, salt: int, of: Callable[[Column], Column] | None = None) -> DataFrame:
     """rows if there are at most bound, else one row for each key in a share of hash space that holds about bound rows.
 
     The sample stays distributed.  Of rows that share a key the smallest is taken, so one key never
-    fills it, and the sample doesn't depend on the layout of the input.
+    fills it, and the sample doesn't depend on the layout of the input.  of: what is made of the column text
+    where the rows are, so that texts needn't be shuffled.
     """
     n = rows.count()
     if n <= bound:
-        return rows
+        return _made(rows, of)
     slot = F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(_SLOTS))
     others = [c for c in rows.columns if c != key]
-    chosen = rows.where(slot < int(_SLOTS * bound / n))
+    chosen = _made(rows.where(slot < int(_SLOTS * bound / n)), of)
     return chosen.groupBy(key).agg(F.min(F.struct(*others)).alias("_r")).select(key, "_r.*") if others else chosen.distinct()
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, bound: int, salt: int = 1) -> DataFrame:
+def labelled_texts(docs: DataFrame, labels: DataFrame, bound: int, salt: int = 1, of: Callable[[Column], Column] | None = None) -> DataFrame:
     """(text, y) of at most about bound labelled rows; the ids that are sent to all tasks are bounded by it.
 
-    Rows that share an id count once: labels speak of ids, and the smallest of the texts stands for it.
+    Rows that share an id count once: labels speak of ids, and the smallest of the texts, or of what `of` makes
+    of them where they are, stands for it.
     """
     chosen = about(labels, "doc_id", bound, salt)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = _made(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), of)
     return rows.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("_r")).select("_r.*")

@@ -74,14 +74,14 @@ def fit(shares: np.ndarray, domain: np.ndarray, domains: list[str], steps: int =
 def train(docs: DataFrame, labels: DataFrame, domain: str = "lang") -> Classifier | None:
     """A classifier of the domain column, learned from the labelled rows among docs; None where these have no domain."""
     named = docs.select("doc_id", F.struct("text", F.col(domain).alias("domain")).alias("text"))
-    sample = labelled_texts(named, labels, LABELLED, salt=4).select("text.*").where("domain is not null")
 
     @F.pandas_udf("binary")
     def shares(texts: pd.Series) -> pd.Series:
         rows = [byte_shares(part)[0].astype(np.float32) for _, _, part in blocks(texts)]
         return pd.Series([r.tobytes() for block in rows for r in block], dtype=object)
 
-    rows = sample.select("domain", shares("text").alias("x")).toPandas()
+    of = lambda c: F.struct(c["domain"].alias("domain"), shares(c["text"]).alias("x"))
+    rows = labelled_texts(named, labels, LABELLED, salt=4, of=of).select("text.*").where("domain is not null").toPandas()
     domains = sorted(rows["domain"].unique())
     if not domains:
         return None

@@ -111,8 +111,8 @@ def statistics(text: Column) -> Column:
     return run(text)
 
 
-def _collected(texts: DataFrame) -> np.ndarray:
-    rows = texts.select(statistics(F.col("text")).alias("v")).toPandas()["v"]
+def _collected(values: DataFrame) -> np.ndarray:
+    rows = values.select("text").toPandas()["text"]
     return np.array(rows.tolist()) if len(rows) else np.zeros((0, STATS))
 
 
@@ -121,8 +121,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     Only about POSITIVES + UNLABELLED rows of statistics reach the driver.
     """
-    positive = _collected(labelled_texts(docs, labels.where("y = 1"), POSITIVES))
-    unlabelled = _collected(about(docs.select("doc_id", "text"), "doc_id", UNLABELLED, salt=2))
+    positive = _collected(labelled_texts(docs, labels.where("y = 1"), POSITIVES, of=statistics))
+    unlabelled = _collected(about(docs.select("doc_id", "text"), "doc_id", UNLABELLED, salt=2, of=statistics))
     return fit(positive, unlabelled, estimated_prior(positive, unlabelled))
 
 
