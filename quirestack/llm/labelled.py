@@ -27,6 +27,16 @@ def _made(rows: DataFrame, of: Callable[[Column], Column] | None) -> DataFrame:
     return rows.withColumn("text", of(F.col("text"))) if of else rows
 
 
+def _one_each(rows: DataFrame, key: str, of: Callable[[Column], Column] | None) -> DataFrame:
+    """One row for each key, the smallest; rows whose keys are all different, as most tables' are, stay where they are."""
+    others = [c for c in rows.columns if c != key]
+    if not others:
+        return rows.distinct()
+    if rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        return _made(rows, of)
+    return _made(rows, of).groupBy(key).agg(F.min(F.struct(*others)).alias("_r")).select(key, "_r.*")
+
+
 def about(rows: DataFrame, key: str, bound: int, salt: int, of: Callable[[Column], Column] | None = None) -> DataFrame:
     """rows if there are at most bound, else one row for each key in a share of hash space that holds about bound rows.
 
@@ -38,9 +48,7 @@ def about(rows: DataFrame, key: str, bound: int, salt: int, of: Callable[[Column
     if n <= bound:
         return _made(rows, of)
     slot = F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(_SLOTS))
-    others = [c for c in rows.columns if c != key]
-    chosen = _made(rows.where(slot < int(_SLOTS * bound / n)), of)
-    return chosen.groupBy(key).agg(F.min(F.struct(*others)).alias("_r")).select(key, "_r.*") if others else chosen.distinct()
+    return _one_each(rows.where(slot < int(_SLOTS * bound / n)), key, of)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, bound: int, salt: int = 1, of: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -50,5 +58,5 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, bound: int, salt: int = 1
     of them where they are, stands for it.
     """
     chosen = about(labels, "doc_id", bound, salt)
-    rows = _made(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), of)
-    return rows.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("_r")).select("_r.*")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return _one_each(rows, "doc_id", of).select("text", "y")
