@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of pieces and ids that a worker keeps, about.  Beyond it the cache starts afresh; results don't depend on it.
@@ -273,7 +273,7 @@ def token_table(docs: DataFrame, path: str, text: str = "text", key: str = "doc_
     decode to no bytes.  Other columns of docs, whatever their names, are left aside.  path: a rank
     file that is at this place on every executor.
     """
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = small_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("t"))
 
     def run(batches):
         encoder = _encoder(path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+#: Bytes of a batch of rows that is handed to Python, about; a longer row stands alone.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; batches handed to Python are bounded by BATCH_BYTES unless the session sets a bound of its own.
+
+    The JVM's vectors, the arrays and the strings of a batch are held by each task at once, several times its bytes.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: a short lineage that outlives lost executors."""
     spark = df.sparkSession

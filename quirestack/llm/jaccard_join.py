@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Prefix, blocks, components, documents, mix, stored, words_of
+from .common import Prefix, blocks, components, documents, mix, small_batches, stored, words_of
 from .features import WHITE
 
 #: Natural logarithm of the ratio of the largest to the smallest set size of a band.
@@ -385,7 +385,7 @@ def join(docs: DataFrame, percent: int, width: int, text: str = "text", key: str
     3. Inside a class sets are compared by their intersections until all that is linked is connected.
     """
     plan = Plan(percent)
-    rows = stored(sketched(docs, plan, width, text, key), "sketched")
+    rows = stored(sketched(small_batches(docs), plan, width, text, key), "sketched")
     sets = rows.where("id is not null and n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     sets = stored(sets, "sets")
     classes = components(_candidates(docs, sets, plan, width, text, key))

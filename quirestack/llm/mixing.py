@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, stored
+from .common import blocks, documents, small_batches, stored
 from .features import WHITE
 from .labelled import labelled_texts, read_labels
 
@@ -223,7 +223,7 @@ def mix_documents(docs: DataFrame, labels: DataFrame, temperature: float = TEMPE
     error: the largest relative error of a domain's expected tokens, the same in every row.  Without a labelled row that has a domain there are no targets: domain and posterior are null and
     every rate is one.
     """
-    model = train(docs, labels)
+    model = train(small_batches(docs), labels)
     if model is None:
         empty = docs.select("doc_id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t-\r]+"), lambda w: w != "")).cast("long").alias("n_tokens"))
         return empty.select("doc_id", "n_tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(0.0).alias("error"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents
+from .common import blocks, documents, small_batches
 from .features import STATS, stats
 from .labelled import about, held_out, labelled_texts, read_labels
 
@@ -121,6 +121,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     Only about POSITIVES + UNLABELLED rows of statistics reach the driver.
     """
+    docs = small_batches(docs)
     positive = _collected(labelled_texts(docs, labels.where("y = 1"), POSITIVES, of=statistics))
     unlabelled = _collected(about(docs.select("doc_id", "text"), "doc_id", UNLABELLED, salt=2, of=statistics))
     return fit(positive, unlabelled, estimated_prior(positive, unlabelled))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, documents
+from .common import blocks, documents, small_batches
 from .features import ASTERISKS, CAPITALS, EXCLAMATIONS, REPEATED_LINES, REPEATED_WORDS, levels, stats, terms
 from .labelled import held_out, labelled_texts, read_labels
 
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     Without labels, or without toxic ones, no term counts and every score is small.
     """
-    sample = labelled_texts(docs, labels, LABELLED, salt=3).persist()
+    sample = labelled_texts(small_batches(docs), labels, LABELLED, salt=3).persist()
     prior = min(0.9, max(0.005, sample.agg(F.avg("y").alias("p")).first()["p"] or 0.0))
     # Every level of a term is judged by the texts of its first, which holds all of them.
     least = F.greatest(F.lit(float(LEAST_CONTEXTS)), CONTEXTS_A_TEXT * F.max("toxic").over(Window.partitionBy("term")))
