@@ -1,5 +1,7 @@
 """Operators on small hand-made rows: edge cases that the tables don't hold."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,3 +206,15 @@ def test_archives(spark, tmp_path):
     got = {r["path"].rsplit("/", 1)[-1]: (r["member"], r["error"] is None) for r in rows.collect()}
     assert got == {"good.tgz": ("x/a.tex", True), "bad.tgz": (None, False), "plain.tex": ("", True), "book.epub": ("OEBPS/book.opf", True)}
     assert [r["member"] for r in archives.epub_spine(rows).orderBy("pos").collect()] == ["OEBPS/b.xhtml", "OEBPS/a.xhtml"]
+
+
+def test_contained_against_brute_force(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([0, 2, 3, 9, 60]))) for _ in range(80)] + [None, "w1 w2 w3 W4"]
+    wanted = sorted({" ".join(rng.choices(words, k=3)) for _ in range(60)})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame([(w,) for w in wanted], "anchor string")
+    got = {tuple(r) for r in matching.contained(asked, docs, "anchor", "doc_id", "text", size=3).select("anchor", "doc_id").collect()}
+    assert got == {(w, i) for w in wanted for i, t in enumerate(texts) if f" {w} " in f" {(t or '').lower()} "}
+    assert matching.contained(asked.limit(0), docs, "anchor", "doc_id", "text", size=3).count() == 0
