@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, embedding_dedup, jaccard_join, media, mixing, pii, quality, sharding, token_counts, toxicity
+from . import byte_bpe, embedding_dedup, jaccard_join, media, merkle, mixing, pii, quality, sharding, token_counts, toxicity
 
 #: Query name -> the module of this package that defines it; a module may define <name>_SQL for DuckDB.
 MODULES = {
@@ -16,6 +16,7 @@ MODULES = {
     "op8_soft_mixing": mixing,
     "op9_extendible_sharding": sharding,
     "op10_toxicity": toxicity,
+    "op11_merkle_manifest": merkle,
     "media_page_parts": media,
 }
 
