@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, embedding_dedup, jaccard_join, media, merkle, mixing, pii, prefix_trie, quality, sharding, token_counts, toxicity
+from . import byte_bpe, embedding_dedup, jaccard_join, media, merkle, mixing, pii, prefix_trie, quality, sharding, site_style, token_counts, toxicity
 
 #: Query name -> the module of this package that defines it; a module may define <name>_SQL for DuckDB.
 MODULES = {
@@ -17,6 +17,7 @@ MODULES = {
     "op9_extendible_sharding": sharding,
     "op10_toxicity": toxicity,
     "op11_merkle_manifest": merkle,
+    "op12_site_style": site_style,
     "op13_prefix_trie": prefix_trie,
     "media_page_parts": media,
 }
