@@ -44,14 +44,16 @@ def width(size: int, level: int) -> int:
     return -(-size // ARITY**level)
 
 
-def climbed(rows: DataFrame, keep: int) -> DataFrame:
+def climbed(rows: DataFrame) -> DataFrame:
     """(NODE, open) that one pass over rows of NODE makes.
 
-    Nodes of level keep and above and all roots are returned with open false; children whose parent lacks others, with
+    Nodes of level HEIGHT and above and all roots are returned with open false; children whose parent lacks others, with
     open true.  Partial parents are held only until their run is whole, so
     in rows sorted by tree and place a task holds a few a level.
     """
 
+    keep = HEIGHT
+
     def run(batches):
         partial: dict[tuple, dict] = {}
         for batch in batches:
@@ -83,13 +85,13 @@ def _nodes(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds))
 
 
-def nodes_of(leaves: DataFrame, keep: int = HEIGHT) -> DataFrame:
-    """NODE of level keep and above, and all roots, of trees whose leaves are (tree, idx, size, digest); stored."""
+def nodes_of(leaves: DataFrame) -> DataFrame:
+    """NODE of level HEIGHT and above, and all roots, of trees whose leaves are (tree, idx, size, digest); stored."""
     events = leaves.select("tree", F.lit(0).alias("level"), "idx", "size", "digest")
-    done = events.where("size = 1" if keep > 0 else "true")
+    done = events.where("size = 1")
     place = F.col("idx") * F.element_at(F.array(*map(F.lit, _POWERS)), F.col("level") + 1)
     while True:
-        made = stored(climbed(events, keep), "nodes")
+        made = stored(climbed(events), "nodes")
         done = done.unionByName(made.where("NOT open").drop("open"))
         frontier = made.where("open").drop("open")
         rows = frontier.count()
