@@ -70,20 +70,40 @@ def sentences(x: Column) -> Column:
     return F.filter(F.split(x, r"(?<=[.!?])\s+|\n\s*\n"), lambda s: F.trim(s) != "")
 
 
+#: What a word is made of, in any script; a word ends where none of it stands.
+_WORD = r"[\p{L}\p{M}\p{N}_]"
+
+
 def term_pattern(term: str) -> str:
-    """A term as a whole word, singular or plural."""
-    return r"(?i)\b" + " ".join(term.split()) + r"(?:e?s)?\b"
+    """A term as a whole word, singular or plural, in any case; signs in it stand for themselves."""
+    quoted = " ".join(term.split()).replace("\\E", "\\E\\\\E\\Q")
+    return rf"(?iu)(?<!{_WORD})\Q{quoted}\E(?:e?s)?(?!{_WORD})"
+
+
+def uses_term(x: Column, term: Column) -> Column:
+    """Whether x holds the term of a column as a whole word, see term_pattern."""
+    quoted = F.replace(F.regexp_replace(F.trim(term), r"\s+", " "), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    return F.rlike(x, F.concat(F.lit(rf"(?iu)(?<!{_WORD})\Q"), quoted, F.lit(rf"\E(?:e?s)?(?!{_WORD})")))
 
 
 def explains(x: Column, term: str) -> Column:
     """Whether a sentence explains a term: it opens with the term and a verb that defines, or names it."""
-    word = term_pattern(term)[4:]
-    return x.rlike(r"(?i)\b(?:called|named|known as)\s+[\"“]?" + word) | x.rlike(r"(?i)^(?:(?:a|an|the)\s+)?" + word + r"[\"”]?(?:\s*\[[^\]]*\])*\s+(?:is|are|means|refers to)\b")
+    word = term_pattern(term)[5:]
+    return x.rlike(r"(?iu)\b(?:called|named|known as)\s+[\"“]?" + word) | x.rlike(r"(?iu)^(?:(?:a|an|the)\s+)?" + word + r"[\"”]?(?:\s*\[[^\]]*\])*\s+(?:is|are|means|refers to)\b")
 
 
 def dashes(x: Column) -> Column:
-    """Each em dash, and en dash beside a letter or between spaces, with up to 30 characters on both sides that hold no further dash."""
-    return F.regexp_extract_all(x, F.lit(r"[^—–]{0,30}(?:—|\s–\s|[A-Za-z]–|–[A-Za-z])[^—–]{0,30}"), F.lit(0))
+    """Each em dash, and en dash beside a letter of any script or between spaces, with up to 30 characters on both sides, other dashes among them.
+
+    Places are found first, then cut: a dash begins where the pieces and dashes before it end, in one pass over the pieces.
+    """
+    mark = r"—|\s–\s|(?<=\p{L})–|–(?=\p{L})"
+    found = F.regexp_extract_all(x, F.lit(rf"({mark})"), F.lit(1))
+    pieces = F.split(x, mark, -1)
+    step = lambda t, p: F.struct((t["at"] + F.length(p["p"]) + F.coalesce(F.length(p["m"]), F.lit(0))).alias("at"), F.array_append(t["starts"], t["at"] + F.length(p["p"])).alias("starts"))
+    pairs = F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    starts = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), step)["starts"]
+    return F.zip_with(found, starts, lambda m, at: F.substring(x, F.greatest(at - 29, F.lit(1)), F.least(at, F.lit(30)) + F.length(m) + 30))
 
 
 def table_cells(x: Column) -> Column:

@@ -78,12 +78,15 @@ def sentence_terms(spark, d):
 
 
 @query("""
-WITH r AS (SELECT item_id, substr(text, 1, 45) || '—' || substr(text, 46, 12) || ' – ' || substr(text, 60, 40) || ' 770–778' AS x FROM benchmark)
-SELECT item_id, unnest(regexp_extract_all(x, '[^—–]{0,30}(?:—|\\s–\\s|[A-Za-z]–|–[A-Za-z])[^—–]{0,30}')) AS near FROM r""")
+WITH r AS (SELECT doc_id, replace(replace(replace(text, ' the ', ' – '), ' in ', '—'), 'ndo', '–o') || ' 770–778' AS x FROM documents),
+c AS (SELECT doc_id, x, unnest(range(1, length(x)::BIGINT + 1)) AS i FROM r),
+m AS (SELECT doc_id, x, i, substr(x, i, 1) AS c, substr(x, i - 1, 1) AS l, substr(x, i + 1, 1) AS n FROM c WHERE substr(x, i, 1) IN ('—', '–')),
+k AS (SELECT *, c = '–' AND regexp_matches(l, '^\\s$') AND regexp_matches(n, '^\\s$') AS spaced FROM m WHERE c = '—' OR (regexp_matches(l, '^\\s$') AND regexp_matches(n, '^\\s$')) OR (i > 1 AND regexp_matches(l, '^\\p{L}$')) OR regexp_matches(n, '^\\p{L}$'))
+SELECT doc_id, substr(x, greatest(1, i - 30 - spaced::INT), least(30, i - 1 - spaced::INT) + 31 + 2 * spaced::INT) AS near FROM k""")
 def dash_contexts(spark, d):
-    """STR-17: dashes that are punctuation, in their context."""
-    x = F.concat(F.substring("text", 1, 45), F.lit("—"), F.substring("text", 46, 12), F.lit(" – "), F.substring("text", 60, 40), F.lit(" 770–778"))
-    return load(spark, d, "benchmark").select("item_id", F.explode(I.dashes(x)).alias("near"))
+    """STR-17: dashes that are punctuation, in their context, over whole documents."""
+    dashed = F.replace(F.replace(F.replace(F.col("text"), F.lit(" the "), F.lit(" – ")), F.lit(" in "), F.lit("—")), F.lit("ndo"), F.lit("–o"))
+    return load(spark, d, "documents").select("doc_id", F.explode(I.dashes(F.concat(dashed, F.lit(" 770–778")))).alias("near"))
 
 
 @query("""

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import checks, corpus, extras, inputs, library, outline, texts
+from .plans import checks, corpus, extras, inputs, library, nested, outline, texts
 
 FLAGSHIP = "corpus_report"
-MODULES = [library, texts, corpus, extras, checks, inputs, outline]
+MODULES = [library, texts, corpus, extras, checks, inputs, outline, nested]
 
 
 def queries() -> dict:
