@@ -103,7 +103,7 @@ def dashes(x: Column) -> Column:
     step = lambda t, p: F.struct((t["at"] + F.length(p["p"]) + F.coalesce(F.length(p["m"]), F.lit(0))).alias("at"), F.array_append(t["starts"], t["at"] + F.length(p["p"])).alias("starts"))
     pairs = F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
     starts = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), step)["starts"]
-    return F.zip_with(found, starts, lambda m, at: F.substring(x, F.greatest(at - 29, F.lit(1)), F.least(at, F.lit(30)) + F.length(m) + 30))
+    return F.zip_with(found, F.slice(starts, F.lit(1), F.size(found)), lambda m, at: F.substring(x, F.greatest(at - 29, F.lit(1)), F.least(at, F.lit(30)) + F.length(m) + 30))
 
 
 def table_cells(x: Column) -> Column:

@@ -79,8 +79,10 @@ def sentence_terms(spark, d):
 
 @query("""
 WITH r AS (SELECT doc_id, replace(replace(replace(text, ' the ', ' – '), ' in ', '—'), 'ndo', '–o') || ' 770–778' AS x FROM documents),
-c AS (SELECT doc_id, x, unnest(range(1, length(x)::BIGINT + 1)) AS i FROM r),
-m AS (SELECT doc_id, x, i, substr(x, i, 1) AS c, substr(x, i - 1, 1) AS l, substr(x, i + 1, 1) AS n FROM c WHERE substr(x, i, 1) IN ('—', '–')),
+p AS (SELECT doc_id, x, string_split_regex(x, '[—–]') AS p FROM r),
+s AS (SELECT doc_id, x, p, list_transform(p, lambda y: length(y)::BIGINT) AS n FROM p),
+u AS (SELECT doc_id, x, p, unnest(range(1, len(p))) AS k, unnest(list_transform(range(1, len(p)), lambda k: list_sum(n[1:k]) + k)) AS i FROM s),
+m AS (SELECT doc_id, x, i::BIGINT AS i, substr(x, i::BIGINT, 1) AS c, right(CASE WHEN p[k] = '' AND k > 1 THEN '–' ELSE p[k] END, 1) AS l, left(p[k + 1], 1) AS n FROM u),
 k AS (SELECT *, c = '–' AND regexp_matches(l, '^\\s$') AND regexp_matches(n, '^\\s$') AS spaced FROM m WHERE c = '—' OR (regexp_matches(l, '^\\s$') AND regexp_matches(n, '^\\s$')) OR (i > 1 AND regexp_matches(l, '^\\p{L}$')) OR regexp_matches(n, '^\\p{L}$'))
 SELECT doc_id, substr(x, greatest(1, i - 30 - spaced::INT), least(30, i - 1 - spaced::INT) + 31 + 2 * spaced::INT) AS near FROM k""")
 def dash_contexts(spark, d):
