@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming.keyed import Machine, over_batch
+
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
     """Rows of new replace those of equal key; of several new rows the last by order counts."""
@@ -47,3 +51,54 @@ def restored(before: DataFrame, now: DataFrame, key: str, turns: str) -> DataFra
     b, n = before.select(key, F.col(turns).alias("_b")), now.select(key, F.col(turns).alias("_n"))
     empty = F.array().cast(before.schema[turns].dataType)
     return b.join(n, key, "full_outer").select(key, F.concat(F.coalesce("_b", empty), F.coalesce("_n", empty)).alias(turns))
+
+
+# ---- conditional writes ------------------------------------------------------------------------------
+
+
+@dataclass
+class _CompareAndSet(Machine):
+    """The digest of one record through its writes: [whether it is there, digest]."""
+
+    columns = ("seq", "kind", "was", "expected", "made")
+    out = "seq long, applied boolean, digest string"
+
+    def start(self):
+        return [None, None]
+
+    def step(self, state, row):
+        seq, kind, was, expected, made = row
+        there, digest = state if state[0] is not None else [was is not None, was]
+        applied = kind == "edit" or there and (kind == "delete" or digest == expected and made is not None)
+        if applied:
+            there, digest = (False, None) if kind == "delete" else (True, made)
+        return [there, digest], [(seq, applied, digest)]
+
+
+def conditional_merge(old: DataFrame, writes: DataFrame, key: str, digest: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """(table, log): the table after all writes, and every write with applied and the digest it left.
+
+    writes: (key, order, kind, expected, made) and the columns of old but digest.  An 'edit' always counts, also for a record that
+    isn't there; a 'search' is a compare-and-set: it counts only if the record still has the digest that was searched, so an
+    edit or a delete since then wins, and one without a result (made null) changes nothing; a 'delete' removes the record.
+    Writes of a key count in order; keys are independent, and each is replayed without holding its writes.
+    """
+    log = writes.join(old.select(key, F.col(digest).alias("was")), key, "left")
+    columns = log.select(key, F.col(order).alias("seq"), "kind", "was", "expected", "made")
+    played = over_batch(columns, key, "seq", _CompareAndSet())
+    log = writes.join(played.withColumnRenamed("seq", order), [key, order])
+    last = log.where("applied").groupBy(key).agg(F.max_by(F.struct("kind", *[F.col("digest" if c == digest else c).alias(c) for c in old.columns if c != key]), order).alias("_w"))
+    untouched = old.join(last.select(key), key, "left_anti")
+    written = last.where("_w.kind <> 'delete'").select(*[key if c == key else F.col(f"_w.{c}").alias(c) for c in old.columns])
+    return untouched.unionByName(written), log
+
+
+def saved(old: DataFrame, new: DataFrame, dependents: DataFrame, key: str, digest: str, of: str) -> tuple[DataFrame, DataFrame]:
+    """(table, dependents) after rows are saved: one comparison, two outputs.
+
+    A saved row replaces that of its key; where its digest differs from the one before, the dependents of the key are
+    deleted. A first save deletes none, and equal content keeps them.
+    """
+    both = old.select(key, F.col(digest).alias("_was")).join(new.select(key, F.col(digest).alias("_now")), key)
+    changed = both.where(~F.col("_was").eqNullSafe(F.col("_now"))).select(F.col(key).alias(of))
+    return upsert(old, new, [key], digest), dependents.join(changed, of, "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dml, matching, rules
+from ..operators import graph, dml, matching, rules
 from ..sources import html
 from ..streaming import jobs
 from ..tables import load
@@ -183,14 +183,11 @@ def group_outcome_pivot(spark, d):
 WITH RECURSIVE tree AS (SELECT 'r' || r_regionkey AS id, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
 down AS (SELECT id, 0 AS depth FROM tree WHERE id = 'r1' UNION ALL SELECT t.id, d.depth + 1 FROM tree t JOIN down d ON t.parent = d.id) SELECT id, depth FROM down""")
 def descendants_recursive(spark, d):
-    load(spark, d, "region").createOrReplaceTempView("t_region")
-    load(spark, d, "nation").createOrReplaceTempView("t_nation")
-    load(spark, d, "customer").createOrReplaceTempView("t_customer")
-    return spark.sql("""
-      WITH RECURSIVE tree AS (SELECT concat('r', r_regionkey) AS id, CAST(NULL AS STRING) AS parent FROM t_region UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM t_nation
-        UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM t_customer),
-      down AS (SELECT id, 0 AS depth FROM tree WHERE id = 'r1' UNION ALL SELECT t.id, d.depth + 1 FROM tree t JOIN down d ON t.parent = d.id)
-      SELECT id, depth FROM down""")
+    """All nodes below one, with their depths, by pointer jumping."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    tree = load(spark, d, "region").select(name("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"))
+    tree = tree.union(load(spark, d, "nation").select(name("n", "n_nationkey"), name("r", "n_regionkey"))).union(load(spark, d, "customer").select(name("c", "c_custkey"), name("n", "c_nationkey")))
+    return graph.depths_below(tree, tree.where("id = 'r1'").select("id")).select("id", "depth")
 
 
 @query(f"""WITH {_PASSAGES} SELECT doc_id, pos, length(text) AS chars FROM ps WHERE pos = 0 OR doc_id IN (SELECT doc_id FROM documents WHERE source = 'src3')""")

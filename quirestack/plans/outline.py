@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import diff
+from ..operators import diff, graph
 from ..streaming import jobs
 from ..tables import load
 from .texts import passages
@@ -274,13 +274,14 @@ WITH RECURSIVE edges AS (SELECT 'r' || r_regionkey AS a, 'n' || n_nationkey AS b
 w AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS spot, ['r' || r_regionkey] AS path, 0 AS depth FROM region UNION ALL SELECT w.root, e.b, list_append(w.path, e.b), w.depth + 1 FROM w JOIN edges e ON e.a = w.spot WHERE NOT list_contains(w.path, e.b))
 SELECT root, max(depth) AS depth FROM w GROUP BY root""")
 def include_depths(spark, d):
-    """DIF-12: the longest chain of includes that meets no file twice."""
+    """DIF-12: the longest chain of includes that meets no file twice, by project."""
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     nation, region = load(spark, d, "nation"), load(spark, d, "region")
-    down = nation.select(name("r", "n_regionkey").alias("a"), name("n", "n_nationkey").alias("b"))
-    leaves = load(spark, d, "supplier").select(name("n", "s_nationkey").alias("a"), name("s", "s_suppkey").alias("b"))
-    up = nation.where("n_nationkey % 5 = 0").select(name("n", "n_nationkey").alias("a"), name("r", "n_regionkey").alias("b"))
-    return diff.include_depth(down.union(leaves).union(up), region.select(name("r", "r_regionkey").alias("a")))
+    key = F.col("n_regionkey").alias("k")
+    down = nation.select(key, name("r", "n_regionkey").alias("a"), name("n", "n_nationkey").alias("b"))
+    leaves = load(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(key, name("n", "s_nationkey").alias("a"), name("s", "s_suppkey").alias("b"))
+    up = nation.where("n_nationkey % 5 = 0").select(key, name("n", "n_nationkey").alias("a"), name("r", "n_regionkey").alias("b"))
+    return graph.include_depth(down.union(leaves).union(up), region.select(F.col("r_regionkey").alias("k"), name("r", "r_regionkey").alias("a")), ["k"]).drop("k")
 
 
 # ---- states ----------------------------------------------------------------------------------

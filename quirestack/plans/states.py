@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import dml
 from ..streaming import keyed
 from ..tables import load
 
@@ -98,3 +100,45 @@ def held_streams(spark, d):
     left = keyed.over_batch(parts, "conv_id", "seq", keyed.HoldBack("secret-key"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part"))), lambda x: x["part"]), "")
     return left.groupBy("conv_id").agg(F.sha2(text.cast("binary"), 256).alias("left_sha256"))
+
+
+@query("""
+WITH RECURSIVE r AS (SELECT c_custkey AS user_id, md5(c_name) AS digest FROM customer WHERE c_custkey % 3 <> 0),
+e AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'edit' WHEN 'error' THEN 'delete' ELSE 'search' END AS kind, CASE WHEN value > 0.1 THEN md5(event_id::VARCHAR) END AS made, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events),
+w AS (SELECT e.user_id, event_id, n, kind, r.digest AS was, CASE WHEN prev IS NULL THEN r.digest WHEN event_id % 3 = 0 THEN 'stale' ELSE md5(prev::VARCHAR) END AS expected, CASE WHEN kind = 'edit' THEN md5(event_id::VARCHAR) ELSE made END AS made FROM e LEFT JOIN r ON r.user_id = e.user_id),
+p AS (SELECT user_id, n - 1 AS n, was AS digest, NULL::BIGINT AS event_id, false AS applied FROM w WHERE n = 1
+  UNION ALL SELECT user_id, n, CASE WHEN NOT ok THEN cur WHEN kind = 'delete' THEN NULL ELSE made END, event_id, ok
+  FROM (SELECT w.*, p.digest AS cur, coalesce(w.kind = 'edit' OR (p.digest IS NOT NULL AND (w.kind = 'delete' OR (p.digest = w.expected AND w.made IS NOT NULL))), false) AS ok FROM p JOIN w ON w.user_id = p.user_id AND w.n = p.n + 1)),
+t AS (SELECT user_id, arg_max(digest, n) AS digest, max(event_id) FILTER (applied) AS event_id, max(n) AS n FROM (SELECT user_id, n, event_id, applied, coalesce(digest, '-') AS digest FROM p) GROUP BY user_id)
+SELECT 'log' AS part, user_id, event_id, applied, digest FROM p WHERE event_id IS NOT NULL
+UNION ALL SELECT 'table', user_id, event_id, true, digest FROM t WHERE digest <> '-'
+UNION ALL SELECT 'table', user_id, NULL, true, digest FROM r WHERE user_id NOT IN (SELECT user_id FROM e WHERE user_id IS NOT NULL)""")
+def conditional_merges(spark, d):
+    """ANC-08: records searched again are written only if their digest is still the one that was searched; edits and deletes win."""
+    events = load(spark, d, "events")
+    old = load(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("user_id"), F.md5(F.col("c_name").cast("binary")).alias("digest"), F.lit(None).cast("long").alias("event_id"))
+    md5 = lambda c: F.md5(F.col(c).cast("string").cast("binary"))
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    kind = F.when(F.col("event_type") == "purchase", "edit").when(F.col("event_type") == "error", "delete").otherwise("search")
+    log = events.select("user_id", "event_id", kind.alias("kind"), "value", before.alias("prev")).join(old.select("user_id", F.col("digest").alias("first")), "user_id", "left")
+    expected = F.when(F.col("prev").isNull(), F.col("first")).when(F.col("event_id") % 3 == 0, "stale").otherwise(md5("prev"))
+    made = F.when((F.col("kind") == "edit") | (F.col("value") > 0.1), md5("event_id"))
+    writes = log.select("user_id", F.col("event_id").alias("seq"), "event_id", "kind", expected.alias("expected"), made.alias("made"))
+    table, done = dml.conditional_merge(old, writes, "user_id", "digest", "seq")
+    rows = done.select(F.lit("log").alias("part"), "user_id", "event_id", "applied", "digest")
+    return rows.unionByName(table.select(F.lit("table").alias("part"), "user_id", "event_id", F.lit(True).alias("applied"), "digest"))
+
+
+@query("""
+WITH o AS (SELECT doc_id, md5(text) AS digest FROM documents WHERE doc_id % 4 <> 1), n AS (SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS digest FROM documents WHERE doc_id % 3 <> 0),
+c AS (SELECT o.doc_id FROM o JOIN n USING (doc_id) WHERE o.digest IS DISTINCT FROM n.digest)
+SELECT 'paper' AS part, doc_id, digest AS value FROM n UNION ALL SELECT 'paper', doc_id, digest FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n)
+UNION ALL SELECT 'generation', doc_id, quality::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM c)""")
+def saved_papers(spark, d):
+    """DML-02: papers are saved, and the generations of those whose content changed are deleted: both tables afterwards."""
+    docs, md5 = load(spark, d, "documents"), lambda x: F.md5(x.cast("binary"))
+    old = docs.where("doc_id % 4 <> 1").select("doc_id", md5(F.col("text")).alias("digest"))
+    new = docs.where("doc_id % 3 <> 0").select("doc_id", md5(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("digest"))
+    papers, generations = dml.saved(old, new, load(spark, d, "labels").select(F.col("doc_id").alias("paper"), "quality"), "doc_id", "digest", "paper")
+    rows = papers.select(F.lit("paper").alias("part"), "doc_id", F.col("digest").alias("value"))
+    return rows.unionByName(generations.select(F.lit("generation").alias("part"), F.col("paper").alias("doc_id"), F.col("quality").cast("string").alias("value")))

@@ -176,8 +176,6 @@ def test_diff_and_blame(spark):
     assert [(r["line"], r["since"]) for r in diff.blame(moved, ["k"], "v", "lines").orderBy("pos").collect()] == [("x", 1), ("new", 2), ("y", 1), ("z", 1), ("x", 4)]
     words = spark.createDataFrame([("a b c d e f g", "a b c d X f g")], "a string, b string").select(diff.word_changes(F.col("a"), F.col("b")).alias("x")).first()["x"]
     assert words == "...b c d [e -> X] f g..."
-    edges = spark.createDataFrame([("m", "a"), ("a", "b"), ("b", "a"), ("m", "b")], "a string, b string")
-    assert diff.include_depth(edges, spark.createDataFrame([("m",), ("z",)], "a string")).orderBy("root").collect() == [("m", 2), ("z", 0)]
     assert diff.presence(versions, ["k"], "v", F.array_contains("lines", "a")).first()[1:] == (2, 2)
 
 

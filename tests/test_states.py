@@ -90,3 +90,28 @@ def test_hold_back_of_stopped_and_empty():
     state, more = machine.step(state, (1, "ret is", "stopped"))
     assert (out[0][1] + more[0][1], state[0]) == ("my [REDACTED] is"[:-5], "")
     assert keyed.HoldBack("").step(["", None], (0, "all", None)) == (["", 0], [(0, "all")])
+
+
+def test_conditional_merge(spark):
+    from quirestack.operators import dml
+
+    old = spark.createDataFrame([(1, "a", "one"), (2, "b", "two"), (3, "c", "three"), (5, None, "no digest")], "k int, digest string, place string")
+    writes = spark.createDataFrame(
+        [(1, 1, "search", "a", "a2", "found"), (1, 2, "search", "a", "a3", "late"), (2, 1, "edit", None, "b2", "edited"), (2, 2, "search", "b", "b3", "lost"), (3, 1, "delete", None, None, None),
+         (3, 2, "search", "c", "c2", "gone"), (4, 1, "search", None, "d", "unknown"), (4, 2, "edit", None, "d2", "new"), (4, 3, "search", "d2", None, "failed")],
+        "k int, n int, kind string, expected string, made string, place string",
+    )
+    table, log = dml.conditional_merge(old, writes, "k", "digest", "n")
+    assert sorted(map(tuple, table.collect()), key=str) == [(1, "a2", "found"), (2, "b2", "edited"), (4, "d2", "new"), (5, None, "no digest")]
+    assert [r["applied"] for r in log.orderBy("k", "n").collect()] == [True, False, True, False, True, False, False, True, False]
+
+
+def test_saved_deletes_dependents_of_changed_rows(spark):
+    from quirestack.operators import dml
+
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, digest string")
+    new = spark.createDataFrame([(1, "a"), (2, "B"), (3, None), (4, "d")], "k int, digest string")
+    kids = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (3, "u"), (4, "v"), (None, "w")], "of int, name string")
+    papers, left = dml.saved(old, new, kids, "k", "digest", "of")
+    assert sorted(map(tuple, papers.collect())) == [(1, "a"), (2, "B"), (3, None), (4, "d")]
+    assert sorted(r["name"] for r in left.collect()) == ["u", "v", "w", "x"]
