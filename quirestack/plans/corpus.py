@@ -85,7 +85,10 @@ def _passages(spark, d):
     return passages(load(spark, d, "documents")).select(F.struct("doc_id", F.col("pos").cast("long").alias("pos")).alias("pid"), F.col("line").alias("text"))
 
 
-@query(f"""WITH {_PASSAGES}, v AS (SELECT DISTINCT doc_id, pos, unnest({_W}) AS word FROM ps), q AS (SELECT DISTINCT item_id, unnest({_W}) AS word FROM benchmark),
+_ANY = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]{3,}')"
+
+
+@query(f"""WITH {_PASSAGES}, v AS (SELECT DISTINCT doc_id, pos, unnest({_ANY}) AS word FROM ps), q AS (SELECT DISTINCT item_id, unnest({_ANY}) AS word FROM benchmark),
 df AS (SELECT word, count(*) AS df FROM v GROUP BY word), i AS (SELECT word, df, ln(1 + (SELECT count(*) FROM ps) / df) AS idf FROM df),
 qi AS (SELECT item_id, word, df, idf FROM q JOIN i USING (word)),
 rare AS (SELECT item_id, word FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY df, word) AS r FROM qi) WHERE r <= 3),
@@ -118,6 +121,32 @@ def relocate_exact_context(spark, d):
     return best.select("item_id", "b.pid.*", "b.agrees")
 
 
+@query(f"""WITH {_PASSAGES}, e AS (SELECT doc_id, arg_min(text, pos) AS first, arg_max(text, pos) AS last FROM ps GROUP BY doc_id), q AS (SELECT doc_id, right(first, 30) AS head, substr(last, 1, 30) AS tail FROM e),
+h AS (SELECT q.doc_id, min(pos) AS pos FROM q JOIN ps ON ps.doc_id = q.doc_id AND contains(ps.text, q.head) GROUP BY q.doc_id), t AS (SELECT q.doc_id, min(pos) AS stop FROM q JOIN ps ON ps.doc_id = q.doc_id AND contains(ps.text, q.tail) GROUP BY q.doc_id)
+SELECT q.doc_id, CASE WHEN stop > pos THEN pos END AS pos, CASE WHEN stop > pos THEN stop END AS stop, CASE WHEN stop > pos THEN 'found' ELSE 'not-found' END AS found FROM q JOIN h ON h.doc_id = q.doc_id JOIN t ON t.doc_id = q.doc_id""")
+def relocate_pairs(spark, d):
+    """ANC-01: selections from each document's first passage into its last, found again part by part within the document."""
+    ps = _passages(spark, d).select("pid", "text", F.col("pid.doc_id").alias("doc"), F.col("pid.pos").alias("spot"))
+    ends = ps.groupBy("doc").agg(F.min_by("text", "spot").alias("first"), F.max_by("text", "spot").alias("last"))
+    asked = ends.select(F.col("doc").alias("doc_id"), "doc", F.right("first", F.lit(30)).alias("head"), F.substring("last", 1, 30).alias("tail"), F.lit(0.0).alias("near"))
+    found = matching.relocate_across(asked, ps, "doc_id", "pid", "doc", "spot")
+    return found.select("doc_id", "pid.pos", F.col("end_pid.pos").alias("stop"), "found")
+
+
+@query(r"""
+WITH s AS (SELECT doc_id, text, (doc_id * 37) % length(text) AS a, least(length(text), (doc_id * 37) % length(text) + doc_id % 60) AS b FROM documents WHERE text <> ''),
+c AS (SELECT *, substr(text, a + 1, b - a) AS chosen FROM s),
+g AS (SELECT *, CASE WHEN NOT regexp_matches(chosen, '\S') THEN a WHEN regexp_matches(chosen, '\A\S') THEN a - length(regexp_extract(substr(text, 1, a), '\S*\z')) ELSE a + length(regexp_extract(chosen, '\A\s*')) END AS x,
+  CASE WHEN NOT regexp_matches(chosen, '\S') THEN a WHEN regexp_matches(chosen, '\S\z') THEN b + length(regexp_extract(substr(text, b + 1), '\A\S*')) ELSE b - length(regexp_extract(chosen, '\s*\z')) END AS y FROM c)
+SELECT doc_id, substr(text, x + 1, y - x) AS quote, substr(text, greatest(x - 32, 0) + 1, least(x, 32)) AS prefix, substr(text, y + 1, 32) AS suffix, x::INT AS start, y::INT AS stop FROM g""")
+def selection_anchors(spark, d):
+    """ANC-09: anchors of selections: whole words, and up to 32 characters of context on both sides."""
+    rows = load(spark, d, "documents").where("text <> ''").withColumn("a", F.expr("CAST((doc_id * 37) % length(text) AS INT)"))
+    rows = rows.withColumn("b", F.expr("CAST(least(length(text), a + doc_id % 60) AS INT)"))
+    made = rows.select("doc_id", matching.anchor_of(F.col("text"), F.col("a"), F.col("b")).alias("x"))
+    return made.select("doc_id", "x.quote", F.col("x.before").alias("prefix"), F.col("x.after").alias("suffix"), "x.start", "x.stop")
+
+
 @query("""
 WITH old AS (SELECT doc_id, quality AS f FROM labels WHERE doc_id % 2 = 0 OR quality = 0), new AS (SELECT doc_id, toxic AS f FROM labels WHERE doc_id % 3 = 0 OR toxic = 1)
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'fixed' ELSE 'known' END AS status FROM old o FULL JOIN new n ON o.doc_id = n.doc_id""")

@@ -216,3 +216,45 @@ def test_contained_against_brute_force(spark):
     got = {tuple(r) for r in matching.contained(asked, docs, "anchor", "doc_id", "text", size=3).select("anchor", "doc_id").collect()}
     assert got == {(w, i) for w in wanted for i, t in enumerate(texts) if f" {w} " in f" {(t or '').lower()} "}
     assert matching.contained(asked.limit(0), docs, "anchor", "doc_id", "text", size=3).count() == 0
+
+
+def test_relocate_uses_what_is_known(spark):
+    line = "the same words stand here and there"
+    p = spark.createDataFrame([(i, line if i in (2, 9, 15) else f"passage number {i} of other things", f"#a{i}", f"p{i}", float(i), "one" if i < 12 else "two") for i in range(20)], "p int, text string, href string, id string, spot double, section string")
+    q = spark.createDataFrame(
+        [(1, "same words stand", None, None, 9.0, None), (2, "same words stand", None, None, 13.0, "one"), (3, "same words stand", "#a15", None, 2.0, "one"), (4, "same words stand", None, "p9", 1.0, None), (5, "same words stand", "#a4", None, 4.0, None)],
+        "q int, text string, href string, hint string, near double, section string",
+    )
+    assert {r["q"]: r["p"] for r in matching.relocate(q, p, "q", "p").collect()} == {1: 9, 2: 9, 3: 15, 4: 9, 5: 2}
+    # A hint is a candidate even if it shares no rare word; another script is compared by its own words.
+    texts = spark.createDataFrame([(1, "быстрая лиса прыгает через ленивую собаку у реки", "#x"), (2, "совсем другие слова о погоде и море", "#y"), (3, "aaaa bbbb cccc dddd eeee ffff", "#z")], "p int, text string, href string")
+    asked = spark.createDataFrame([(1, "быстрая лиса прыгала через ленивую собаку", None), (2, "aaba bbab ccac ddbd eeae ffbf", "#z"), (3, "aaaab bbbbc ccccd dddde eeeef fffff", "#z")], "q int, text string, href string")
+    got = {r["q"]: (r["found"], r["p"]) for r in matching.relocate(asked, texts, "q", "p").collect()}
+    assert got[1] == ("moved", 1) and got[3][0] == "moved" and got[3][1] == 3
+
+
+def test_relocate_across_passages(spark):
+    rows = [(k, d, s, t) for k, (d, s, t) in enumerate([("a", 0, "it began on a cold and windy morning"), ("a", 1, "nothing of note was said in between"), ("a", 2, "and it ended when the rain had stopped"), ("b", 0, "and it ended when the rain had stopped"), ("b", 1, "it began on a cold and windy morning")])]
+    p = spark.createDataFrame(rows, "p int, doc string, spot int, text string")
+    q = spark.createDataFrame([(1, "a cold and windy morning", "and it ended when", 0.0, "a"), (2, "a cold and windy mornin", "ended when the rain hed stopped", 0.0, "a"), (3, "and it ended when", "nothing of note", 0.0, "a"), (4, "not there at all", "and it ended", 0.0, "a"), (5, "and it ended when", "a cold and windy", 0.0, "b")], "q int, head string, tail string, near double, doc string")
+    got = {r["q"]: (r["p"], r["end_p"], r["found"], r["match"]) for r in matching.relocate_across(q, p, "q", "p", "doc", "spot").collect()}
+    assert got[1] == (0, 2, "found", None) and got[3] == got[4] == (None, None, "not-found", None)
+    assert got[5] == (3, 4, "found", None)
+    assert {r["q"]: r["p"] for r in matching.relocate_across(q.drop("doc").where("q = 1"), p.where("doc = 'a'"), "q", "p", "doc", "spot").collect()} == {1: 0}
+    assert got[2][:3] == (0, 2, "moved") and got[2][3].endswith("ended when the rain had stopped")
+
+
+def test_anchor_of_selections(spark):
+    text = "Alpha beta, gamma delta.\nNext line of the text"
+    cases = [(8, 14, ("beta, gamma", "Alpha ", " delta.\nNext line of the text")), (5, 6, ("", "Alpha", " beta, gamma delta.\nNext line of")), (0, 5, ("Alpha", "", " beta, gamma delta.\nNext line of")), (5, 10, ("beta,", "Alpha ", " gamma delta.\nNext line of the t")), (43, 47, ("text", "lta.\nNext line of the ", ""))]
+    df = spark.createDataFrame([(text, a, b) for a, b, _ in cases], "t string, a int, b int")
+    got = [tuple(r["x"][:3]) for r in df.select(matching.anchor_of(F.col("t"), F.col("a"), F.col("b")).alias("x")).collect()]
+    for (a, b, want), have in zip(cases, got):
+        assert have[0] == want[0] and have[1].endswith(want[1][-20:]) and have[2] == want[2], (a, b, have)
+
+
+def test_first_places_run_over_lines(spark):
+    docs = spark.createDataFrame([(2, "one two\nthree four\n\nfive six seven"), (1, "zero\none two three")], "d int, text string")
+    asked = spark.createDataFrame([(1, "two three four five six seven eight"), (2, "One, two!"), (3, "seven"), (4, "six five"), (5, ""), (6, None)], "a int, text string")
+    assert sorted(tuple(r) for r in matching.first_places(asked, docs, "a", "d", "text").collect()) == [(1, 2, 1), (2, 1, 2), (3, 2, 4)]
+    assert matching.first_places(asked.where("a > 4"), docs, "a", "d", "text").count() == 0
