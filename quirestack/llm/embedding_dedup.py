@@ -215,8 +215,14 @@ def _learned(distinct: DataFrame, count: int) -> dict[int, list[tuple[np.ndarray
     return out
 
 
-#: Keys of rows without one lie from here on, told by their vectors.
-_NO_KEY = 1 << 62
+def _named(rows: DataFrame) -> DataFrame:
+    """rows of (key, v) with id: the key, or for rows without one a hash of the vector that isn't any row's key."""
+    salt, keys = 0, rows.where("key IS NOT NULL").select(F.col("key").alias("taken")).distinct()
+    while True:
+        made = F.xxhash64(F.lit(salt), "v")
+        if rows.where("key IS NULL").select(made.alias("taken")).join(keys, "taken", "left_semi").isEmpty():
+            return rows.withColumn("id", F.coalesce("key", made))
+        salt += 1
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, embedding: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -227,7 +233,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, embedding:
     null, empty, zero, or hold null or non-finite components link with nothing.  Rows that share a key are
     one vector if equal; otherwise each has its own row and the key is one node.  Rows without a key link
     like others, equal ones as one vector; where no key is reachable their component is null, and they are
-    never kept.  kept: the key is its component's smallest.  Keys are integers below 2**62.  Other columns
+    never kept.  kept: the key is its component's smallest.  Keys are integers of 64 bits.  Other columns
     are left aside.
     """
     of = vectors.schema[embedding].dataType.elementType.simpleString()
@@ -235,8 +241,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, embedding:
     rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(embedding).cast(f"array<{of}>").alias("v"))
     # Equal vectors, -0.0 and 0.0 alike, are compared once.
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast(of)))
-    no_key = F.xxhash64("v").bitwiseAND(F.lit(_NO_KEY - 1)).bitwiseOR(F.lit(_NO_KEY))
-    rows = rows.withColumn("id", F.coalesce("key", no_key))
+    keyless = not rows.where("key IS NULL").isEmpty()
+    rows = _named(rows) if keyless else rows.withColumn("id", F.col("key"))
     members = rows.where(_usable("v")).select("id", "v").distinct()
     distinct = members.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
     # A vector is told by its smallest key and its hash: a key may have several vectors.
@@ -274,7 +280,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, embedding:
     linked = linked.groupBy("id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n"))
     out = rows.select("key", "id").join(linked, "id", "left").join(placed_in, "id", "left")
     component = F.coalesce("component", "id")
-    component = F.when(component < _NO_KEY, component)
+    if keyless:  # a component is told by the smallest key in it, if it has one
+        keyed = rows.where("key IS NOT NULL").select("id").distinct().join(placed_in, "id").groupBy("component").agg(F.min("id").alias("smallest"))
+        out = out.join(keyed, "component", "left")
+        component = F.coalesce("smallest", "key")
     return out.select(
         F.col("key").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept")
     )

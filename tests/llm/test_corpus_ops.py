@@ -399,3 +399,14 @@ def test_pipeline_on_edge_rows(spark):
             docs = common.stored(stage(spark, docs, SF), "edge")
             assert docs.columns == [c.split()[0] for c in DOCS.split(", ")]
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
+
+
+def test_embedding_keys_of_all_sizes(spark):
+    near, far = [1.0, 0.0, 0.0, 0.0, 0.01], [0.0, 1.0, 0.0, 0.0, 0.0]
+    rows = [(2**62 + 5, near), (2**62 + 9, near), (2**63 - 1, far), (-(2**63), far), (7, [0.0, 0.0, 1.0, 0.0, 0.0]), (-3, None)]
+    got = {tuple(r) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {(2**62 + 5, 1, 2**62 + 5, True), (2**62 + 9, 1, 2**62 + 5, False), (2**63 - 1, 1, -(2**63), False), (-(2**63), 1, -(2**63), True), (7, 0, 7, True), (-3, 0, -3, True)}
+    # Rows without a key link, and tell no component.
+    rows += [(None, near), (None, [0.0, 0.0, 0.0, 1.0, 0.0]), (None, None)]
+    got = sorted((tuple(r) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    assert {(2**62 + 5, 2, 2**62 + 5, True), (2**62 + 9, 2, 2**62 + 5, False), (None, 2, 2**62 + 5, False), (None, 0, None, False), (2**63 - 1, 1, -(2**63), False)} <= set(got) and got.count((None, 0, None, False)) == 2
