@@ -1,6 +1,6 @@
 """Validation of nested records: outlines, plans, briefs, digests and diagrams, every failure with its path.
 
-Records are made of whole documents, a section for each paragraph and a point for each of its lines, as JSON; a few rows in a
+Records are made of whole documents, a section for each line and a point for each of its sentences, as JSON; a few rows in a
 hundred are spoiled: fields renamed, values of other kinds, references to what isn't there, repeated names.
 """
 
@@ -20,7 +20,7 @@ QUERIES, SQL = {}, {}
 class _Spark:
     """The few constructors in which the two engines' SQL differ."""
 
-    paragraphs = "split(coalesce(text, ''), '\n\n')"
+    paragraphs = "split(coalesce(text, ''), '\n')"
 
     def obj(self, **fields: str) -> str:
         return f"named_struct({', '.join(f"'{k}', {v}" for k, v in fields.items())})"
@@ -31,8 +31,8 @@ class _Spark:
     def each(self, array: str, body: str) -> str:
         return f"transform({array}, (x, k) -> {body})"
 
-    def each_line(self, body: str) -> str:
-        return f"transform(split(x, '\n'), (y, j) -> {body})"
+    def each_sentence(self, body: str) -> str:
+        return f"transform(split(x, '[.] '), (y, j) -> {body})"
 
     def item(self, array: str, at: int) -> str:
         return f"coalesce(get({array}, {at}), '')"
@@ -48,7 +48,7 @@ class _Spark:
 
 
 class _Duck(_Spark):
-    paragraphs = "string_split(coalesce(text, ''), chr(10) || chr(10))"
+    paragraphs = "string_split(coalesce(text, ''), chr(10))"
 
     def obj(self, **fields: str) -> str:
         return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
@@ -59,8 +59,8 @@ class _Duck(_Spark):
     def each(self, array: str, body: str) -> str:
         return f"list_transform({array}, lambda x, i: {body.replace('(k + 1)', 'i').replace('(k)', '(i - 1)')})"
 
-    def each_line(self, body: str) -> str:
-        return f"list_transform(string_split(x, chr(10)), lambda y: {body})"
+    def each_sentence(self, body: str) -> str:
+        return f"list_transform(string_split(x, '. '), lambda y: {body})"
 
     def item(self, array: str, at: int) -> str:
         return f"coalesce(({array})[{at + 1}], '')"
@@ -148,7 +148,7 @@ def _first_use() -> Test:
     says = f"concat_ws(chr(10), json_extract_string(s, '$.heading'), json_extract_string(s, '$.answer'), array_to_string({N.each_of('points', 'text', 's')}, chr(10)))"
     own = f"list_position({N.each_of('sections', 'id')}, json_extract_string(it, '$.section'))"
     edge = r"[^\p{L}\p{N}_]"
-    pattern = f"'(?i)(^|{edge})' || regexp_escape(json_extract_string(it, '$.term')) || '(e?s)?({edge}|$)'"
+    pattern = f"'(?i)(^|{edge})' || regexp_escape(trim(regexp_replace(json_extract_string(it, '$.term'), '\s+', ' ', 'g'))) || '(e?s)?({edge}|$)'"
     array = "(json_extract(root, '$.sections')::JSON[])"
     return Test(spark, f"len(list_filter({array}[1:greatest({own} - 1, 0)], lambda s: regexp_matches({says}, {pattern}))) = 0")
 
@@ -214,14 +214,14 @@ def _brief(q: _Spark, p: str) -> str:
     return q.obj(
         id="concat('fig', (k + 1))", title=f"substr({p}, 1, 90)", paper_connection="source", caption=f"substr({p}, 1, 1300)", illustrative="length(x) % 2 = 0", passages=q.arr("'p1'", "concat('p', length(x) % 4)"),
         purpose="lang", entry_context=q.arr(f"substr({p}, 1, 30)"), exit_state=f"substr({p}, 10, 40)",
-        content=q.each_line(q.obj(text="y", kind="CASE WHEN length(y) % 9 = 0 THEN 'picture' ELSE 'statement' END")), illustrative_values=q.arr(f"substr({p}, 1, 4)", f"substr({p}, 5, 4)"),
+        content=q.each_sentence(q.obj(text="y", kind="CASE WHEN length(y) % 9 = 0 THEN 'picture' ELSE 'statement' END")), illustrative_values=q.arr(f"substr({p}, 1, 4)", f"substr({p}, 5, 4)"),
     )
 
 
 def _outline(q: _Spark) -> str:
     section = q.obj(
         id="concat('s', (k + 1))", heading="substr(x, 1, 60)", answer="substr(x, 1, 300)", leaves_with="substr(x, 1, 20)",
-        points=q.each_line(q.obj(text="y", passages=q.arr("concat('p', 1 + length(y) % 4)"))), words="length(x)", figure="CASE WHEN (k + 1) < 3 THEN concat('fig', (k + 1)) ELSE '' END",
+        points=q.each_sentence(q.obj(text="y", passages=q.arr("concat('p', 1 + length(y) % 4)"))), words="length(x)", figure="CASE WHEN (k + 1) < 3 THEN concat('fig', (k + 1)) ELSE '' END",
     )
     head = q.item(q.paragraphs, 0)
     return q.obj(
@@ -286,7 +286,7 @@ PLAN = [
 def _plan(q: _Spark) -> str:
     claim = lambda at: q.obj(text=q.item(q.paragraphs, at), passages=q.arr("concat('p', 1 + doc_id % 4)"))
     relation = q.obj(source="substr(x, 1, 20)", target="substr(x, 21, 20)", relationship="substr(x, 41, 1300)", passages=q.arr("'p2'"))
-    scores = q.each_line(q.obj(method="substr(y, 1, 12)", value="length(y)", ours="length(y) % 5 = 0"))
+    scores = q.each_sentence(q.obj(method="substr(y, 1, 12)", value="length(y)", ours="length(y) % 5 = 0"))
     measure = q.obj(dataset="substr(x, 1, 30)", metric="lang", better="CASE WHEN length(x) % 7 = 0 THEN 'more' ELSE 'higher' END", scores=scores, passages=q.arr("'p1'", "'p3'"))
     return q.obj(
         paper_type="CASE doc_id % 4 WHEN 0 THEN 'method' WHEN 1 THEN 'survey' WHEN 2 THEN 'theory' ELSE source END", visual_focus="lang", question=claim(0), contribution=claim(1), finding=claim(2), limitation=claim(3),
@@ -391,7 +391,7 @@ def _digest(q: _Spark) -> str:
     claim = lambda at: q.obj(text=f"substr({q.item(q.paragraphs, at)}, 1, 420)", passages=q.arr("concat('p', 1 + doc_id % 4)"))
     component = q.obj(
         id="concat('c', length(x) % 40)", name="substr(x, 1, 50)", role="substr(x, 1, 165)", computes="CASE WHEN length(x) % 3 = 0 THEN substr(x, 1, 105) END", contains=q.arr("concat('c', length(x) % 7)"),
-        feeds=q.each_line("concat('c', length(y) % 40)"), passages=q.arr("'p1'"),
+        feeds=q.each_sentence("concat('c', length(y) % 40)"), passages=q.arr("'p1'"),
     )
     return q.obj(
         paper_type="CASE doc_id % 4 WHEN 0 THEN 'method' WHEN 1 THEN 'architecture' WHEN 2 THEN 'theory' ELSE lang END", why=q.obj(problem="source", obstacle="lang", idea=f"substr({q.item(q.paragraphs, 0)}, 1, 170)", passages=q.arr("'p1'")),

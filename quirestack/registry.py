@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import checks, corpus, extras, inputs, library, nested, outline, states, texts
+from .plans import checks, corpus, extras, inputs, library, nested, outline, scans, states, texts
 
 FLAGSHIP = "corpus_report"
-MODULES = [library, texts, corpus, extras, checks, inputs, outline, nested, states]
+MODULES = [library, texts, corpus, extras, checks, inputs, outline, nested, states, scans]
 
 
 def queries() -> dict:
