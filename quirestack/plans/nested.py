@@ -148,7 +148,7 @@ def _first_use() -> Test:
     says = f"concat_ws(chr(10), json_extract_string(s, '$.heading'), json_extract_string(s, '$.answer'), array_to_string({N.each_of('points', 'text', 's')}, chr(10)))"
     own = f"list_position({N.each_of('sections', 'id')}, json_extract_string(it, '$.section'))"
     edge = r"[^\p{L}\p{N}_]"
-    pattern = f"'(?i)(^|{edge})' || regexp_escape(trim(regexp_replace(json_extract_string(it, '$.term'), '\s+', ' ', 'g'))) || '(e?s)?({edge}|$)'"
+    pattern = rf"'(?i)(^|{edge})' || regexp_escape(trim(regexp_replace(json_extract_string(it, '$.term'), '\s+', ' ', 'g'))) || '(e?s)?({edge}|$)'"
     array = "(json_extract(root, '$.sections')::JSON[])"
     return Test(spark, f"len(list_filter({array}[1:greatest({own} - 1, 0)], lambda s: regexp_matches({says}, {pattern}))) = 0")
 
