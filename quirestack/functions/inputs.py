@@ -26,7 +26,8 @@ def paper_link(x: Column) -> Column:
     """struct<id, reason> of an id or link: one of both is null."""
     x = F.trim(x)
     url = r"^([a-z]+)://(?:www\.)?([^/:@?#]+)(?::443)?/([^?#]*)"
-    host, path = F.lower(F.regexp_extract(x, url, 2)), F.regexp_extract(x, url, 3)
+    host, raw = F.lower(F.regexp_extract(x, url, 2)), F.regexp_extract(x, url, 3)
+    path = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
     found = F.lit("")
     for name, routes in ROUTES.items():
         found = F.when(host == name, F.regexp_extract(path, rf"^(?:{routes})/({PAPER_ID})(?:\.pdf)?/?$", 1)).otherwise(found)

@@ -28,7 +28,7 @@ def query(sql: str = ""):
 
 #: An id of a paper for each order, written the same in both engines.
 _ID = "lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0') || '.' || lpad(CAST(o_custkey % 100000 AS STRING), 5, '0') || 'v' || CAST(o_orderkey % 3 + 1 AS STRING)"
-_LINK = f"""CASE o_orderkey % 9 WHEN 0 THEN 'https://arxiv.org/abs/' || {_ID} WHEN 1 THEN 'http://arxiv.org/abs/' || {_ID} WHEN 2 THEN ' ' || {_ID} WHEN 3 THEN 'https://www.alphaxiv.org/overview/' || {_ID}
+_LINK = f"""CASE o_orderkey % 9 WHEN 0 THEN 'https://arxiv.org/abs/' || {_ID} WHEN 1 THEN 'http://arxiv.org/abs/' || {_ID} WHEN 2 THEN ' ' || {_ID} WHEN 3 THEN 'https://www.alphaxiv.org/overview%2F' || replace({_ID}, '.', '%2E')
   WHEN 4 THEN 'https://example.org/abs/' || {_ID} WHEN 5 THEN 'https://arxiv.org/pdf/' || {_ID} || '.pdf' WHEN 6 THEN 'https://paperswithcode.com/paper/x' WHEN 7 THEN 'https://huggingface.co/papers/' || {_ID} || '/' ELSE 'https://arxiv.org/list/' || {_ID} END"""
 
 

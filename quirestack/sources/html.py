@@ -12,7 +12,9 @@ BLOCKS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "pre", "table", "figure
 AREAS = {"nav", "header", "footer", "article", "aside", "main"}
 HIDDEN = {"script", "style", "title"}
 # Marks of bibliographies, elements without content, hosts of venues, identifiers and licences.
-BIBLIOGRAPHY = {"ltx_bibliography", "bibliography", "doc-bibliography", "doc-biblioentry", "references", "csl-entry"}
+BIBLIOGRAPHY = {"ltx_bibliography", "ltx_biblist", "ltx_bibitem", "bibliography", "references", "csl-bib-body", "csl-entry", "doc-bibliography", "doc-biblioentry", "biblioentry"}
+#: Marks of the cell that holds a page's own comments.
+COMMENTS = {"tablecell", "comments"}
 EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 NEVER_OWN = ["arxiv.org", "doi.org", "dx.doi.org", "openreview.net", "aclanthology.org", "neurips.cc", "proceedings.neurips.cc", "creativecommons.org", "scholar.google.com", "w3.org"]
 
@@ -91,7 +93,7 @@ def hrefs(html: Column) -> Column:
 
 
 class _Links(HTMLParser):
-    """Links in order with the text before them and whether they stand in a bibliography; unclosed elements end with the one around them."""
+    """Links in order with the text before them and whether they stand in a bibliography or in the comments' cell; unclosed elements end with the one around them."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -100,14 +102,15 @@ class _Links(HTMLParser):
     def handle_starttag(self, tag, attrs):
         given = dict(attrs)
         inside = " ".join(filter(None, (given.get(n) for n in ("class", "role", "epub:type"))))
-        self.open.append((tag, bool(self.open and self.open[-1][1]) or bool(BIBLIOGRAPHY & set(inside.split()))))
+        marks, around = set(inside.split()), self.open[-1] if self.open else (None, False, False)
+        self.open.append((tag, around[1] or bool(BIBLIOGRAPHY & marks), around[2] or marks >= COMMENTS))
         if tag == "a" and given.get("href"):
-            self.found.append({"pos": len(self.found), "href": given["href"], "before": self.before[-80:].lower(), "in_bibliography": self.open[-1][1]})
+            self.found.append({"pos": len(self.found), "href": given["href"], "before": self.before[-80:].lower(), "in_bibliography": self.open[-1][1], "in_comments": self.open[-1][2]})
         if tag in EMPTY:
             self.open.pop()
 
     def handle_endtag(self, tag):
-        at = max((k for k, (t, _) in enumerate(self.open) if t == tag), default=None)
+        at = max((k for k, (t, _, _) in enumerate(self.open) if t == tag), default=None)
         if at is not None:
             del self.open[at:]
 
@@ -134,8 +137,8 @@ def _all_links(html: pd.Series) -> pd.Series:
 
 
 def links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, pos, href, before, in_bibliography) of every link: before holds the 80 characters of text before it, in lower case."""
-    found = F.pandas_udf(_all_links, "array<struct<pos:int,href:string,before:string,in_bibliography:boolean>>")(F.col(html))
+    """(key, pos, href, before, in_bibliography, in_comments) of every link: before holds the 80 characters of text before it, in lower case."""
+    found = F.pandas_udf(_all_links, "array<struct<pos:int,href:string,before:string,in_bibliography:boolean,in_comments:boolean>>")(F.col(html))
     return pages.select(key, F.explode(found).alias("l")).select(key, "l.*")
 
 

@@ -258,3 +258,17 @@ def test_first_places_run_over_lines(spark):
     asked = spark.createDataFrame([(1, "two three four five six seven eight"), (2, "One, two!"), (3, "seven"), (4, "six five"), (5, ""), (6, None)], "a int, text string")
     assert sorted(tuple(r) for r in matching.first_places(asked, docs, "a", "d", "text").collect()) == [(1, 2, 1), (2, 1, 2), (3, 2, 4)]
     assert matching.first_places(asked.where("a > 4"), docs, "a", "d", "text").count() == 0
+
+
+def test_links_in_bibliographies_and_comments(spark):
+    page = '<p>own <a href="a">x</a></p><ol class="csl-bib-body"><li><a href="b">x</a></ol><table><tr><td class="tablecell comments">see <a href="c">x</a></td></tr></table><i class="comments"><a href="d">x</a></i>'
+    rows = html.links(spark.createDataFrame([(1, page)], "k int, html string"), "k").orderBy("pos").collect()
+    assert [(r["href"], r["in_bibliography"], r["in_comments"]) for r in rows] == [("a", False, False), ("b", True, False), ("c", False, True), ("d", False, False)]
+
+
+def test_terms_are_quoted_and_know_letters(spark):
+    from quirestack.functions import inputs
+
+    df = spark.createDataFrame([("aa — bb – cc then x", "C++"), ("we use C++ here", "c++"), ("élan vital", "lan"), ("two Élans", "élan"), ("a.b", "a\\E.b")], "x string, t string")
+    assert [r["u"] for r in df.select(inputs.uses_term(F.col("x"), F.col("t")).alias("u")).collect()] == [False, True, False, True, False]
+    assert df.limit(1).select(inputs.dashes(F.col("x")).alias("d")).first()["d"] == ["aa — bb – cc then x"] * 2
