@@ -266,13 +266,14 @@ def resolve(sequences: DataFrame, media: DataFrame, key: str, parts: str = "part
     """One row for each part: key, the part's fields, and media's columns where its reference is a digest in media.
 
     media has one row a digest.  Text parts and references that media lacks keep their place with
-    null media columns.  A digest that very many parts share is split by adaptive skew handling; the
-    media side holds each payload once, however often it is referred to.
+    null media columns, and aren't shuffled: only parts that name a digest are joined.  A digest that very many
+    parts share is split by adaptive skew handling; the media side holds each payload once, however often it is referred to.
     """
     rows = sequences.select(F.col(key), F.explode_outer(parts).alias("_p")).select(key, "_p.*")
-    rows = rows.withColumn("_digest", F.regexp_extract("ref", "^sha256:([0-9a-f]{64})$", 1))
+    rows = rows.withColumn("_digest", F.nullif(F.regexp_extract("ref", "^sha256:([0-9a-f]{64})$", 1), F.lit("")))
     found = media.withColumnRenamed(digest, "_digest")
-    return rows.join(found, "_digest", "left").drop("_digest")
+    named = rows.where("_digest IS NOT NULL").join(found, "_digest", "left").drop("_digest")
+    return named.unionByName(rows.where("_digest IS NULL").drop("_digest"), allowMissingColumns=True)
 
 
 def text_payloads(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
