@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import checks, corpus, extras, inputs, library, nested, outline, packages, scans, states, texts
+from .plans import causes, checks, corpus, extras, inputs, library, nested, outline, packages, scans, states, texts
 
 FLAGSHIP = "corpus_report"
-MODULES = [library, texts, corpus, extras, checks, inputs, outline, nested, states, scans, packages]
+MODULES = [library, texts, corpus, extras, checks, inputs, outline, nested, states, scans, packages, causes]
 
 
 def queries() -> dict:

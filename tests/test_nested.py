@@ -102,3 +102,20 @@ def test_package_without_faults_and_empty_one(spark):
     ids, heads = make([(1, "a", "s")], "k int, name string, id string"), make([(1, 0, "Abstract"), (1, 1, "1 One"), (1, 2, "References")], "k int, at int, text string")
     got = sorted((r["k"], r["rule"]) for r in packages.faults(members, manifest, spine, links, ids, packages.numbered(heads, "k", ["at"]), "k").collect())
     assert got == [(2, "abstract_missing"), (2, "covers"), (2, "member_twice"), (2, "mimetype"), (2, "reading_order_empty"), (2, "references_missing")]
+
+
+def test_digests_normalise(spark):
+    from quirestack.plans import causes
+
+    records = [{"example": {"text": "t"}, "components": [{"id": "a", "contains": ["a", "b", 5], "feeds": "a"}, 7]}, {"example": {"words": 1}, "components": "x"}, [1], {"example": "e", "components": [{"feeds": [None, "x"]}]}]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "k int, j string")
+    got = [json.loads(r["x"]) for r in df.select("k", F.to_json(causes.normalized_digest(F.try_parse_json("j"))).alias("x")).orderBy("k").collect()]
+    assert got == [{"example": "t", "components": [{"id": "a", "contains": ["b", 5], "feeds": "a"}, 7]}, records[1], [1], records[3]]
+
+
+def test_templates(spark):
+    from quirestack.plans import causes
+
+    rows = [("article", [], ["amsmath", "NeurIPS_2024"], "neurips"), ("x/IEEEtran", ["10pt"], [], "IEEEtran-journal"), ("IEEEtran", ["compsoc", "conference"], [], "IEEEtran-conference"), ("acmart", ["x", "manuscript", "sigconf"], [], "acmart-manuscript"), ("MyThesis", [], ["neurips_2024x"], "thesis"), ("plain", [], [], "plain")]
+    df = spark.createDataFrame(rows, "c string, o array<string>, p array<string>, want string")
+    assert all(r["got"] == r["want"] for r in df.select(causes.template(F.col("c"), F.col("o"), F.col("p")).alias("got"), "want").collect())
