@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import inputs as I
+from ..functions import tex as X
 from ..operators import nested as N
 from ..tables import load
 from . import nested as records
@@ -169,3 +170,22 @@ def failure_causes(spark, d):
     v = k % 4
     made = cause(F.when(v == 0, math).when(v == 3, F.lit(None)).otherwise(text), F.when(v == 2, "native/host.py:9 find_root_tex").otherwise("x"), F.when(v < 2, "prepare_x"), F.when(v < 2, text))
     return load(spark, d, "events").select("event_id", made.alias("c")).select("event_id", "c.*")
+
+
+@query(r"""
+WITH r AS (SELECT p_partkey, p_partkey % 5 AS v, trim(regexp_replace(p_name, '\s+', ' ', 'g')) AS n, p_brand AS b FROM part)
+SELECT p_partkey, CASE v WHEN 0 THEN n || ' is 5% élan' WHEN 1 THEN n || ' of ' || b WHEN 2 THEN 'arXiv ' || p_partkey WHEN 3 THEN n ELSE n || ' x_1' END AS title,
+  CASE v WHEN 0 THEN b || ', Second' WHEN 1 THEN 'Unknown authors' WHEN 2 THEN 'Unknown authors' WHEN 3 THEN b || ', Two' ELSE 'Łu ß' END AS authors FROM r""")
+def tex_metadata(spark, d):
+    """DOC-17, STR-04: titles and authors from sources: nested commands, notes, accents, aliases, comments."""
+    k, n, b = F.col("p_partkey"), F.col("p_name"), F.col("p_brand")
+    v = k % 5
+    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    tex = (
+        F.when(v == 0, join("% \\title{old}\n\\title[short]{\\textbf{", n, "\\thanks{to {all}}} \\emph{is 5\\% \\'elan}}\\author{", b, "\\footnote{x} \\and Second}"))
+        .when(v == 1, join("\\newcommand{\\mytitle}{", n, " \\textit{of ", b, "}}\\title{\\mytitle}"))
+        .when(v == 2, join("\\title{open ", n))
+        .when(v == 3, join("\\icmltitle{", n, "}\\begin{icmlauthorlist}\\icmlauthor{", b, "}{a}\\icmlauthor{Two}{b}\\end{icmlauthorlist}"))
+        .otherwise(join("\\title{", n, " $x\\_1$}\\author{\\L u~\\ss}"))
+    )
+    return load(spark, d, "part").select("p_partkey", X.metadata(tex, k.cast("string")).alias("m")).select("p_partkey", "m.*")

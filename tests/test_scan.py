@@ -132,3 +132,18 @@ def test_lost_quotes(spark):
     quotes = sampling.sampled_quotes(frame(old), "d", "p").withColumn("near", F.col("p").cast("double"))
     got = sampling.lost_quotes(quotes, frame(new).withColumn("spot", F.col("p")), "d", "p", "spot").collect()
     assert [(r["d"], r["p"]) for r in got] == [("d", 3)] and got[0]["key"].startswith("not-found:3:")
+
+
+def test_tex_values():
+    from quirestack.functions import tex
+
+    cases = {
+        r"\textbf{A \emph{nested \textit{one}}} two": "A nested one two", r"G\"odel and Erd\H{o}s, \'{e}t\'e, \c{c}a, na\"{\i}ve": "Gödel and Erdős, été, ça, naïve", "a % comment\nb": "a b",
+        r"x\thanks{y {z}} \footnotemark[1] w": "x w", r"A\\B~C \& D \% \_": "A B C & D % _", r"{\bf $x^2$}": "x^2", r"\o re \ss": "øre ß", "": "",
+    }
+    for value, want in cases.items():
+        assert tex.strip_tex(value) == want, (value, tex.strip_tex(value))
+    assert tex.strip_tex(r"Ada \and Bob\\ Cleo, , \and", authors=True) == "Ada, Bob, Cleo"
+    source = r"\newcommand\T{First} \renewcommand{\T}[0]{Second} \providecommand{\T}{Third} \title{} \title{\T}"
+    assert tex.metadata_of(source, "1") == {"title": "Second", "authors": "Unknown authors"}
+    assert tex.metadata_of("", "7") == {"title": "arXiv 7", "authors": "Unknown authors"}
