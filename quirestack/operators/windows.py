@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+from ..streaming.keyed import Machine, over_batch
+
 
 def ordinal(df: DataFrame, group: list[str], order: list, into: str, prefix: str = "p", digits: int = 5) -> DataFrame:
     """Numbers rows in order: p00001, p00002, ..."""
@@ -37,24 +40,46 @@ def budget_prefix(df: DataFrame, group: list[str], order: list, cost: Column, ro
     return df.withColumn("running", F.sum(cost).over(w)).where(F.col("running") <= room)
 
 
+class _SkipFill(Machine):
+    """Room that is left, taken up by the rows that still fit."""
+
+    columns = ("o", "c")
+
+    def __init__(self, room: float, kind: str):
+        self.room, self.out = room, f"o {kind}"
+
+    def start(self):
+        return self.room
+
+    def step(self, state, row):
+        order, cost = row
+        return (state - cost, [(order,)]) if cost is not None and cost <= state else (state, [])
+
+
 def skip_fill(df: DataFrame, group: list[str], order: str, cost: str, room: float) -> DataFrame:
     """Rows taken in order while they still fit; a row that doesn't is skipped and the next is tried.
 
-    A sequential fold inside a group, done over the group's array of (order, cost): groups are
-    conversations or notes of one document, so arrays are small and hold no text.
+    What fits depends on all rows before, so a group is one task's; that task holds the room left, not the rows.
+    """
+    rows = df.select(F.struct(*group).alias("g"), F.col(order).alias("o"), F.col(cost).cast("double").alias("c"))
+    taken = over_batch(rows, "g", "o", _SkipFill(float(room), df.schema[order].dataType.simpleString()))
+    return df.join(taken.select("g.*", F.col("o").alias(order)), [*group, order], "left_semi")
+
+
+def ranked(df: DataFrame, group: list[str], order: list[Column], into: str) -> DataFrame:
+    """df with each row's place from 1 in its group, without a sort of a whole group in one task.
+
+    Rows are dealt by ranges of group and order; a place is that in the task's part of the group plus the sizes of the parts
+    before. order should leave no ties; equal rows are placed by the layout of the input.
     """
-    rows = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("double").alias("c")))).alias("rows"))
-    start = F.struct(F.lit(float(room)).alias("left"), F.array().cast(f"array<{df.schema[order].dataType.simpleString()}>").alias("took"))
-    fold = F.aggregate(
-        "rows",
-        start,
-        lambda a, x: F.when(
-            x["c"] <= a["left"], F.struct((a["left"] - x["c"]).alias("left"), F.concat(a["took"], F.array(x["o"])).alias("took"))
-        ).otherwise(a),
-        lambda a: a["took"],
-    )
-    taken = rows.select(*group, F.explode(fold).alias(order))
-    return df.join(taken, [*group, order], "left_semi")
+    by = [*[F.col(c) for c in group], *order]
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    rows = stored(rows.withColumn("_part", F.shiftright("_at", 33)), "ordered")
+    parts = rows.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(F.col("_part").alias("_of"), *[F.col(c).alias(f"_of_{c}") for c in group], (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_from"))
+    joined = rows.join(parts, [F.col("_part") == F.col("_of"), *[F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group]])
+    return joined.select(*df.columns, (F.col("_at") + F.col("_from")).alias(into))
 
 
 #: Slices that the values of one group are dealt to before they are ranked.

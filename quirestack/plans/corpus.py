@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, dml, matching, rules
+from ..operators import graph, dml, matching, rules, windows
 from ..sources import html
 from ..streaming import jobs
 from ..tables import load
@@ -339,7 +339,7 @@ SELECT page_id, lower(split_part(x, '/', 1)) AS host, lower(split_part(x, '/', 1
 def links_own_code_rank(spark, d):
     link = T.normal_url(F.col("url"))
     rows = load(spark, d, "pages").select("page_id", F.split_part(link, F.lit("/"), F.lit(1)).alias("host"), link.alias("link"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy(F.length("link"), "page_id")))
+    return windows.ranked(rows, ["host"], [F.length("link"), F.col("page_id")], "place")
 
 
 @query(r"""SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag""")

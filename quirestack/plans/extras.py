@@ -51,7 +51,7 @@ def seeded_sample(spark, d):
 WITH c AS (SELECT source, doc_id, sum(n_chars + 20) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS size FROM documents) SELECT source, doc_id, size::BIGINT AS size FROM c WHERE size <= 20000""")
 def page_within_bytes(spark, d):
     docs = load(spark, d, "documents").select("source", "doc_id", (F.col("n_chars") + 20).alias("cost"))
-    return windows.budget_prefix(docs, ["source"], ["doc_id"], F.col("cost"), F.lit(20000)).select("source", "doc_id", F.col("running").alias("size"))
+    return windows.running_sum(docs, "source", "doc_id", "cost", "size").where("size <= 20000").select("source", "doc_id", "size")
 
 
 @query("""

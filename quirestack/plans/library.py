@@ -203,8 +203,8 @@ SELECT conv_id, turn, dense_rank() OVER (ORDER BY CASE role WHEN 'user' THEN 1 W
   row_number() OVER (PARTITION BY role ORDER BY turn DESC, conv_id) AS place FROM conversations""")
 def notes_arranged_groups(spark, d):
     group = F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(3)
-    w = Window.partitionBy("role").orderBy(F.desc("turn"), "conv_id")
-    return load(spark, d, "conversations").select("conv_id", "turn", group.alias("grp"), F.row_number().over(w).alias("place"))
+    rows = load(spark, d, "conversations").select("conv_id", "turn", "role", group.alias("grp"))
+    return W.ranked(rows, ["role"], [F.desc("turn"), F.col("conv_id")], "place").drop("role")
 
 
 @query("""

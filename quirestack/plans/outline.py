@@ -311,12 +311,12 @@ def streamed_answers(spark, d):
 
 
 @query("""
-WITH c AS (SELECT conv_id, string_agg(substr(text, 1, 40) || CASE WHEN turn % 2 = 0 THEN 'sec' ELSE 'ret-key' END, '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+WITH c AS (SELECT conv_id, string_agg(text || CASE WHEN turn % 2 = 0 THEN 'sec' ELSE 'ret-key' END, '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
 SELECT conv_id, replace(t, 'secret-key', '[REDACTED]') AS text FROM c WHERE NOT contains(replace(t, 'secret-key', '[REDACTED]'), 'secret-key')""")
 def redacted_streams(spark, d):
     """STM-08: a secret that is cut across parts of a stream never leaves; what has left is joined again."""
     tail = F.when(F.col("turn") % 2 == 0, "sec").otherwise("ret-key")
-    parts = load(spark, d, "conversations").select("conv_id", "turn", F.concat(F.substring("text", 1, 40), tail).alias("part"))
+    parts = load(spark, d, "conversations").select("conv_id", "turn", F.concat("text", tail).alias("part"))
     left = jobs.held_back(parts, "conv_id", "turn", "part", "secret-key")
     return left.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "part"))).alias("r")).select("conv_id", F.array_join(F.transform("r", lambda x: x["part"]), "").alias("text"))
 

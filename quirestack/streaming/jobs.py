@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import keyed
+
 #: States that end a job.  The first of them counts; later ones change nothing.
 TERMINAL = ("ready", "failed", "cancelled", "interrupted")
 
@@ -81,17 +83,12 @@ def held_back(parts: DataFrame, key: str, order: str, part: str, secret: str) ->
     return rows.select(key, F.explode(F.arrays_zip("r", "out")).alias("z")).select(key, F.col("z.r.o").alias(order), F.col("z.out").alias(part))
 
 
-def cache_hits(calls: DataFrame, key: list[str], order: str, at: str, ttl: float) -> DataFrame:
-    """calls with hit: whether an entry of the key, filled by an earlier call, was younger than ttl; a call that misses fills it.
+def cache_hits(calls: DataFrame, key: list[str], order: str, at: str, ttl: float, most: int = 100) -> DataFrame:
+    """(key, order, at, hit): whether an entry of the key, filled by an earlier call, was younger than ttl; a call that misses fills it.
 
-    A sequential fold over each key's times.  Only times and order are collected, and a key's are first
-    cut where a gap of ttl makes the cache start afresh, so an array holds one run of frequent calls.
+    Calls of a key stand by at and then order; each key is one entry of a cache of its own, whose state is all a task holds.
     """
-    w = Window.partitionBy(*key).orderBy(at, order)
-    fresh = F.coalesce(F.col(at) - F.lag(at).over(w) >= ttl, F.lit(True))
-    runs = calls.withColumn("_run", F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = runs.groupBy(*key, "_run").agg(F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("t"), F.col(order).alias("o")))).alias("r"))
-    start = F.struct(F.lit(float("-inf")).alias("filled"), F.array().cast("array<boolean>").alias("hits"))
-    step = lambda a, x: F.struct(F.when(x["t"] < a["filled"] + ttl, a["filled"]).otherwise(x["t"]).alias("filled"), F.concat(a["hits"], F.array(x["t"] < a["filled"] + ttl)).alias("hits"))
-    rows = rows.select(*key, "r", F.aggregate("r", start, step, lambda a: a["hits"]).alias("hits"))
-    return rows.select(*key, F.explode(F.arrays_zip("r", "hits")).alias("z")).select(*key, F.col("z.r.o").alias(order), F.col("z.r.t").alias(at), F.col("z.hits").alias("hit"))
+    rows = calls.select(F.struct(*key).alias("g"), F.struct(F.col(at).cast("double").alias("t"), F.col(order).alias("o")).alias("call"), F.lit("").alias("entry"), F.col(at).cast("double").alias("at"), F.lit(True).alias("ok"))
+    cache = keyed.Cache(ttl, most)
+    cache.out = cache.out.replace("call long", f"call struct<t:double,o:{calls.schema[order].dataType.simpleString()}>")
+    return keyed.over_batch(rows, "g", "call", cache).select("g.*", F.col("call.o").alias(order), F.col("call.t").alias(at), "hit")
