@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import inputs as I
 from ..functions import tex as X
 from ..operators import nested as N
+from ..operators import prose as P
 from ..tables import load
 from . import nested as records
 
@@ -189,3 +190,33 @@ def tex_metadata(spark, d):
         .otherwise(join("\\title{", n, " $x\\_1$}\\author{\\L u~\\ss}"))
     )
     return load(spark, d, "part").select("p_partkey", X.metadata(tex, k.cast("string")).alias("m")).select("p_partkey", "m.*")
+
+
+# ---- sections of articles ------------------------------------------------------------------------------
+def _edge(pattern: str) -> str:
+    return rf"(?i)(^|[^\p{{L}}\p{{N}}_])({pattern})($|[^\p{{L}}\p{{N}}_])".replace("'", "''")
+
+
+_BODY = """concat({x}, CASE {k} % 4 WHEN 0 THEN ' It delves deep. You "leverage we".' WHEN 1 THEN ' We don’t ask, do we? Why?' WHEN 2 THEN ' “you” [we] `our` $you$ seamless' ELSE '' END)"""
+_PROSE = P.NOT_PROSE.replace("'", "''")
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k FROM documents),
+s AS (SELECT doc_id, k, {_BODY.format(x='x', k='k')} AS body, string_split(x || CASE WHEN k % 3 = 0 THEN ' [p1]' ELSE '' END, '. ') AS points, CASE doc_id % 3 WHEN 0 THEN 'casual' WHEN 1 THEN 'semi-formal' ELSE 'formal' END AS tone FROM l),
+p AS (SELECT *, regexp_replace(body, '{_PROSE}', ' ', 'g') AS plain FROM s),
+t AS (SELECT doc_id, k AS owner, split_part(x, ' ', 1) AS term FROM l WHERE k IN (1, 2, 5) AND split_part(x, ' ', 1) <> ''),
+q AS (SELECT doc_id, k, unnest(points) AS point, generate_subscripts(points, 1) - 1 AS i FROM s)
+SELECT doc_id, k::INT AS pos, 'marker_words' AS rule, 'body' AS path FROM p WHERE regexp_matches(plain, '{_edge(P.MARKER_WORDS)}')
+UNION ALL SELECT doc_id, k::INT, 'tone', 'body' FROM p WHERE (tone = 'semi-formal' AND regexp_matches(plain, '{_edge(P.YOU + "|" + P.CONTRACTION)}')) OR (tone = 'formal' AND regexp_matches(plain, '{_edge(P.YOU + "|" + P.WE + "|" + P.CONTRACTION)}'))
+UNION ALL SELECT doc_id, k::INT, 'questions', 'body' FROM p WHERE len(regexp_extract_all(plain, '[?]')) > CASE tone WHEN 'casual' THEN 1 ELSE 0 END
+UNION ALL SELECT doc_id, k::INT, 'citation', 'points[' || i || ']' FROM q WHERE NOT regexp_matches(point, '\[[^\]]+\]')
+UNION ALL SELECT p.doc_id, p.k::INT, 'later_term', t.term FROM p JOIN t ON t.doc_id = p.doc_id AND p.k < t.owner WHERE regexp_matches(p.body, '(?i)(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(t.term) || '(e?s)?($|[^\p{{L}}\p{{N}}_])')""")
+def section_faults(spark, d):
+    """VAL-12: terms used before their section, register, marker words, questions, points without a citation; a section is a line of a document."""
+    lines = load(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "x"))
+    tone = F.when(F.col("doc_id") % 3 == 0, "casual").when(F.col("doc_id") % 3 == 1, "semi-formal").otherwise("formal")
+    cited = F.concat("x", F.when(F.col("pos") % 3 == 0, " [p1]").otherwise(""))
+    sections = lines.select("doc_id", "pos", F.expr(_BODY.format(x="x", k="pos")).alias("body"), F.split(cited, "[.] ").alias("points"), tone.alias("tone"))
+    terms = lines.where(F.col("pos").isin(1, 2, 5)).select("doc_id", F.split_part("x", F.lit(" "), F.lit(1)).alias("term"), F.col("pos").alias("owner")).where("term <> ''")
+    return P.section_faults(sections, terms, ["doc_id"], "pos", "body", "points", "tone")

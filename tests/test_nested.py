@@ -119,3 +119,43 @@ def test_templates(spark):
     rows = [("article", [], ["amsmath", "NeurIPS_2024"], "neurips"), ("x/IEEEtran", ["10pt"], [], "IEEEtran-journal"), ("IEEEtran", ["compsoc", "conference"], [], "IEEEtran-conference"), ("acmart", ["x", "manuscript", "sigconf"], [], "acmart-manuscript"), ("MyThesis", [], ["neurips_2024x"], "thesis"), ("plain", [], [], "plain")]
     df = spark.createDataFrame(rows, "c string, o array<string>, p array<string>, want string")
     assert all(r["got"] == r["want"] for r in df.select(causes.template(F.col("c"), F.col("o"), F.col("p")).alias("got"), "want").collect())
+
+
+def test_sections_of_articles(spark):
+    from quirestack.operators import prose
+
+    rows = [
+        (1, 0, "Plain words. They work.", ["a [p1]", "b"], "formal"), (1, 1, 'We say "you can\'t".', ["c [p2]"], "formal"), (1, 2, "It's C++ here?", [], "semi-formal"), (1, 3, "Why? You, we and it's fine.", ["[x]"], "casual"),
+        (2, 0, "Über Seamlessness and owe, yours", None, "casual"), (2, 1, "They delve?? into", ["[]"], "casual"),
+    ]
+    sections = spark.createDataFrame(rows, "k int, pos int, body string, points array<string>, tone string")
+    terms = spark.createDataFrame([(1, "word", 1), (1, "C++", 3), (1, "they", 0), (2, "über", 1)], "k int, term string, owner int")
+    got = sorted(tuple(r) for r in prose.section_faults(sections, terms, ["k"], "pos", "body", "points", "tone").collect())
+    assert got == sorted([
+        (1, 0, "citation", "points[1]"), (1, 0, "later_term", "word"), (1, 1, "tone", "body"), (1, 2, "tone", "body"), (1, 2, "questions", "body"), (1, 2, "later_term", "C++"), (2, 0, "later_term", "über"),
+        (2, 1, "marker_words", "body"), (2, 1, "questions", "body"), (2, 1, "citation", "points[0]"),
+    ])
+
+
+def test_neighbours_within_room(spark):
+    from quirestack.plans import outline
+
+    def plain(sizes, start, room):
+        low = high = start
+        room -= sizes[start]
+        going = True
+        while going:
+            going = False
+            if low > 0 and sizes[low - 1] <= room:
+                low, room, going = low - 1, room - sizes[low - 1], True
+            if high + 1 < len(sizes) and sizes[high + 1] <= room:
+                high, room, going = high + 1, room - sizes[high + 1], True
+        return low, high
+
+    import random
+
+    rng = random.Random(6)
+    cases = [(i, [rng.randrange(1, 40) for _ in range(n)], n // 2) for i, n in enumerate(rng.randrange(1, 30) for _ in range(200))]
+    df = spark.createDataFrame(cases, "i int, n array<int>, s int")
+    got = {r["i"]: tuple(r["r"]) for r in df.select("i", outline.expanded(F.col("n"), F.col("s"), 120).alias("r")).collect()}
+    assert got == {i: plain(n, s, 120) for i, n, s in cases}
