@@ -132,7 +132,7 @@ e AS (SELECT doc_id, 0 AS pre, 'article' AS tag, 's1' AS id, 's1' AS new_id FROM
 SELECT doc_id, pre::INT AS pre, tag, id, new_id, false AS conflict FROM e""")
 def resolved_ids(spark, d):
     """DOC-04: ids that several elements share: the outer one keeps it, then the last; earlier ones get a suffix, inner ones none."""
-    rows = markup.resolved_ids(markup.elements(_article(spark, d), "doc_id"), "doc_id")
+    rows = markup.resolved_ids(markup.elements(_article(spark, d), "doc_id", texts={"span"}), "doc_id")
     return rows.where("id IS NOT NULL").select("doc_id", "pre", "tag", "id", "new_id", "conflict")
 
 
@@ -140,13 +140,13 @@ def resolved_ids(spark, d):
 UNION ALL SELECT DISTINCT doc_id, 0, NULL, NULL, 1, 5 FROM t""")
 def outlined_sections(spark, d):
     """DOC-06: sections of nested documents with their structural parents, titles, passages and characters."""
-    return markup.sections(markup.elements(_article(spark, d), "doc_id"), "doc_id", ["p", "h2"])
+    return markup.sections(markup.elements(_article(spark, d), "doc_id", texts={"p", "h2"}), "doc_id", ["p", "h2"])
 
 
 @query(f"""WITH {_PARTS} SELECT doc_id, 'identified' AS status, [x] AS texts FROM t WHERE k = 0""")
 def abstract_states(spark, d):
     """DOC-01, DOC-02, DOC-06: the passages inside what is marked as the abstract, formulas as their source."""
-    return markup.abstracts(markup.elements(_article(spark, d), "doc_id"), "doc_id", ["p", "h2"])
+    return markup.abstracts(markup.elements(_article(spark, d), "doc_id", texts={"p", "h2"}), "doc_id", ["p", "h2"])
 
 
 @query("""

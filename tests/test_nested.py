@@ -59,6 +59,18 @@ def test_sections_and_abstracts(spark):
     assert [tuple(r) for r in markup.abstracts(rows, "k", ["p"]).orderBy("k").collect()] == [(0, "identified", ["Short"]), (1, "unavailable", [])]
 
 
+def test_nested_sections_are_not_paired_with_those_around(spark):
+    """300 sections inside each other give as many rows as elements, not one for each pair; two parents by hand."""
+    rows = page(spark, "<section><p>a</p>" * 300 + "</section>" * 300, "<section><p>a</p><div><section></section><section><p>b</p></section></div></section>")
+    marked = rows.withColumn("s", F.col("tag") == "section")
+    near = markup.inside(marked, "k", F.lit(True), F.col("s"), ["pre"]).where("k = 0")
+    assert near.where("in_pre <> pre AND s OR in_pre <> pre - 1 AND NOT s OR in_pre IS NULL").isEmpty() and near.count() == 600
+    got = {tuple(r)[:3] for r in markup.sections(rows, "k", ["p"]).collect()}
+    assert got == {(0, 2 * i, 2 * i - 2 if i else None) for i in range(300)} | {(1, 0, None), (1, 4, 0)}
+    assert "Join" not in markup.sections(rows, "k", ["p"])._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["text"] for r in markup.elements(spark.createDataFrame([(1, "<p>a<b>c</b></p>")], "k int, html string"), "k", texts={"b"}).collect()} == {None, "c"}
+
+
 def test_safe_markup():
     cases = {
         '<p onclick="x()">a<script>alert(1)</script>b</p>': "<p>ab</p>", "<a href='JaVa\nScript:x'>t</a>": "<span>t</span>", '<a href="doi:10.1/x">t</a>': '<a href="https://doi.org/10.1/x">t</a>',
