@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,18 +96,31 @@ def explains(x: Column, term: str) -> Column:
     return x.rlike(r"(?iu)\b(?:called|named|known as)\s+[\"“]?" + word) | x.rlike(r"(?iu)^(?:(?:a|an|the)\s+)?" + word + r"[\"”]?(?:\s*\[[^\]]*\])*\s+(?:is|are|means|refers to)\b")
 
 
+def _dashes_of(text: str) -> list[str]:
+    space, out, end = " \t\n\v\f\r", [], 0
+    for m in _DASH.finditer(text):
+        at = m.start()
+        left, right = text[at - 1 : at], text[at + 1 : at + 2]
+        if m[0] == "\u2013" and left and right and left in space and right in space and at - 1 >= end:
+            begin, stop = at - 1, at + 2
+        elif m[0] == "\u2014" or left.isalpha() or right.isalpha():
+            begin, stop = at, at + 1
+        else:
+            continue
+        out.append(text[max(0, begin - 30) : stop + 30])
+        end = stop
+    return out
+
+
+_DASH = re.compile("[\u2013\u2014]")
+
+
 def dashes(x: Column) -> Column:
     """Each em dash, and en dash beside a letter of any script or between spaces, with up to 30 characters on both sides, other dashes among them.
 
-    Places are found first, then cut: a dash begins where the pieces and dashes before it end, in one pass over the pieces.
+    One pass over the text; spaces beside a dash belong to it, so that dashes share none.  Null stays null.
     """
-    mark = r"—|\s–\s|(?<=\p{L})–|–(?=\p{L})"
-    found = F.regexp_extract_all(x, F.lit(rf"({mark})"), F.lit(1))
-    pieces = F.split(x, mark, -1)
-    step = lambda t, p: F.struct((t["at"] + F.length(p["p"]) + F.coalesce(F.length(p["m"]), F.lit(0))).alias("at"), F.array_append(t["starts"], t["at"] + F.length(p["p"])).alias("starts"))
-    pairs = F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    starts = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), step)["starts"]
-    return F.zip_with(found, F.slice(starts, F.lit(1), F.size(found)), lambda m, at: F.substring(x, F.greatest(at - 29, F.lit(1)), F.least(at, F.lit(30)) + F.length(m) + 30))
+    return F.pandas_udf(lambda t: pd.Series([_dashes_of(v) if isinstance(v, str) else None for v in t], dtype=object), "array<string>")(x)
 
 
 def table_cells(x: Column) -> Column:
@@ -118,12 +134,18 @@ def is_number(x: Column) -> Column:
     return x.rlike(r"^[−+-]?[0-9][0-9.,]*(?:\s*[–-]\s*[0-9][0-9.,]*)?\s*%?$")
 
 
+def _spots(text: str, query: str) -> list[int]:
+    out, at = [], text.find(query)
+    while at >= 0:
+        out.append(at + 1)
+        at = text.find(query, at + len(query))
+    return out
+
+
 def occurrences(x: Column, query: str) -> Column:
-    """Positions, from 1, at which query stands in x without case, apart from each other."""
+    """Positions, from 1, at which query stands in x without case, apart from each other; one pass over the text.  Null stays null."""
     q = query.lower()
-    parts = F.transform(F.split(F.lower(x), F.lit("\\Q" + q + "\\E"), -1), lambda p: F.length(p))
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, n: a + n) + (i - 1) * len(q) + 1)
-    return F.slice(ends, 1, F.size(parts) - 1)
+    return F.pandas_udf(lambda t: pd.Series([_spots(v, q) if isinstance(v, str) else None for v in t], dtype=object), "array<int>")(F.lower(x))
 
 
 def stage_of(x: Column) -> Column:
