@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_batches
 
 PART = "struct<pos:int,kind:string,text:string,ref:string,caption:string>"
 #: Samples in a row of a stored image; payloads are padded to a multiple of it.
@@ -317,7 +317,7 @@ def illustrated(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def media_page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5 on web pages: text and media of every page in order, with captions and what the stored payloads hold."""
-    shown, payloads = illustrated(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    shown, payloads = illustrated(small_batches(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     return page_sequences(shown, catalogue(payloads)).select("page_id", "pos", "kind", "text", "ref", "caption", "payload_bytes", "payload_sha256")
 
 
