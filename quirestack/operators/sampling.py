@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .matching import bound, relocate
+from ..storage import stored
+from .matching import relocate
 
 # A unit is a formula or a word; passages of fewer characters or units give no quote; context on both sides.
-UNIT, CHARACTERS, UNITS, AROUND = r"\$[^$]*\$|[^\s$]+", 40, 6, 32
+CHARACTERS, UNITS, AROUND = 40, 6, 32
 
 
-def spans(x: Column, pattern: str) -> Column:
-    """array<struct<text, start>> of a pattern's matches, start counted from 0; for passages, whose matches are few."""
-    found, gaps = F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1)), F.split(x, pattern, -1)
-    step = lambda t, p: F.struct((t["at"] + F.length(p["g"]) + F.coalesce(F.length(p["m"]), F.lit(0))).alias("at"), F.array_append(t["starts"], t["at"] + F.length(p["g"])).alias("starts"))
-    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    starts = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), step)["starts"]
-    return bound(F.struct(found.alias("f"), starts.alias("s")), lambda b: F.zip_with(b["f"], F.slice(b["s"], F.lit(1), F.size(b["f"])), lambda m, at: F.struct(m.alias("text"), at.alias("start"))))
+_UNIT = re.compile(r"\$[^$]*\$|[^ \t\n\x0b\f\r$]+")
 
 
-def remainder(digest: Column, n: Column) -> Column:
-    """A hexadecimal number of any length modulo n, below 2**31: exact, two digits at a time."""
-    bytes_ = F.transform(F.sequence(F.lit(1), F.length(digest) - 1, F.lit(2)), lambda i: F.conv(F.substring(digest, i, F.lit(2)), 16, 10).cast("long"))
-    return F.aggregate(bytes_, F.lit(0).cast("long"), lambda a, b: (a * 256 + b) % n).cast("int")
+def _drawn(text: str, digest: str) -> list[dict]:
+    """The quotes of one passage; digest: its 40 hexadecimal digits, of which fewer are shorter numbers."""
+    units = [(m.start(), m.end()) for m in _UNIT.finditer(text)]
+    n = len(units)
+    if n < UNITS:
+        return []
+    number = int(digest, 16)
+    drawn = lambda bits, size: (number >> bits) % size
+    count = min(6 + drawn(0, 10), n)
+    spans = [(min(n, max(0, n // 2 - count // 2) + count) - count, count)]
+    formulas = [i for i, (at, _) in enumerate(units) if text[at] == "$"]
+    if formulas:
+        second = min(6 + drawn(16, 10), n)
+        two = max(0, min(formulas[drawn(8, len(formulas))] - drawn(24, second), n - second)), second
+        spans += [two] if two != spans[0] else []
+    ends = [(units[a][0], units[a + k - 1][1]) for a, k in spans]
+    return [{"n": i, "quote": text[a:b], "before": text[max(0, a - AROUND) : a], "after": text[b : b + AROUND]} for i, (a, b) in enumerate(ends)]
 
 
 def sampled_quotes(passages: DataFrame, document: str, passage: str, text: str = "text") -> DataFrame:
@@ -32,25 +43,9 @@ def sampled_quotes(passages: DataFrame, document: str, passage: str, text: str =
     A formula is one unit.  Everything is drawn from the SHA-1 of document and passage, taken as a number of 160 bits, so a
     passage gives the same quotes wherever it lies.  Short passages give none, and a second quote equal to the first is left out.
     """
-    rows = passages.where(F.length(text) >= CHARACTERS).select(document, passage, F.col(text).alias("_t"), F.sha1(F.concat_ws(":", document, passage).cast("binary")).alias("_d"), spans(F.col(text), UNIT).alias("_u"))
-    rows = rows.where(F.size("_u") >= UNITS).withColumn("_n", F.size("_u"))
-    count = F.least(6 + remainder(F.col("_d"), F.lit(10)), F.col("_n"))
-    rows = rows.withColumn("_count", count).withColumn("_stop", F.least(F.col("_n"), F.greatest(F.lit(0), F.expr("_n div 2 - _count div 2").cast("int")) + F.col("_count")))
-    formulas = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.startswith(F.get("_u", i)["text"], F.lit("$")))
-    rows = rows.withColumn("_f", formulas)
-    at = F.get("_f", remainder(F.substring("_d", 1, 38), F.size("_f")))
-    second = F.least(6 + remainder(F.substring("_d", 1, 36), F.lit(10)), F.col("_n"))
-    rows = rows.withColumn("_at", F.when(F.size("_f") > 0, at)).withColumn("_second", second)
-    first = F.greatest(F.lit(0), F.least(F.col("_at") - remainder(F.substring("_d", 1, 34), F.col("_second")), F.col("_n") - F.col("_second")))
-    span = lambda a, n: F.struct(a.cast("int").alias("a"), n.cast("int").alias("n"))
-    rows = rows.withColumn("_one", span(F.col("_stop") - F.col("_count"), F.col("_count"))).withColumn("_two", F.when(F.size("_f") > 0, span(first, F.col("_second"))))
-    both = F.array_distinct(F.array_compact(F.array("_one", "_two")))
-    each = rows.select(document, passage, "_t", "_u", F.posexplode(both).alias("n", "_s"))
-    last = F.get("_u", F.col("_s.a") + F.col("_s.n") - 1)
-    each = each.select(document, passage, "n", "_t", F.get("_u", F.col("_s.a"))["start"].alias("_a"), (last["start"] + F.length(last["text"])).alias("_b"))
-    return each.select(
-        document, passage, "n", F.expr("substring(_t, _a + 1, _b - _a)").alias("quote"), F.expr(f"substring(_t, greatest(_a - {AROUND}, 0) + 1, least(_a, {AROUND}))").alias("before"), F.expr(f"substring(_t, _b + 1, {AROUND})").alias("after")
-    )
+    draw = F.pandas_udf(lambda t, d: pd.Series([_drawn(x, y) for x, y in zip(t, d)], dtype=object), "array<struct<n:int,quote:string,before:string,after:string>>")
+    rows = passages.where(F.length(text) >= CHARACTERS).select(document, passage, F.col(text).alias("_t"), F.sha1(F.concat_ws(":", document, passage).cast("binary")).alias("_d"))
+    return rows.select(document, passage, F.explode(draw("_t", "_d")).alias("_q")).select(document, passage, "_q.*")
 
 
 def lost_quotes(quotes: DataFrame, passages: DataFrame, document: str, passage: str, spot: str) -> DataFrame:
@@ -59,8 +54,12 @@ def lost_quotes(quotes: DataFrame, passages: DataFrame, document: str, passage:
     quotes: as sampled_quotes gives them, with near, the old passage's spot.  passages: (key, document, passage, text, spot) of
     the new version.  key: what an allow-list names a loss by: the passage and eight digits of the quote's SHA-256.
     """
-    asked = quotes.withColumn("_q", F.struct(document, passage, "n")).withColumnRenamed("quote", "text")
+    asked = stored(quotes.withColumn("_q", F.struct(document, passage, "n")).withColumnRenamed("quote", "text"), "asked")
     texts = passages.withColumn("_p", F.struct(document, passage)).withColumn("spot", F.col(spot).cast("double"))
-    found = relocate(asked, texts, "_q", "_p", within=document).where("found = 'not-found'").select("_q")
-    lost = asked.join(found, "_q", "left_semi").select(document, passage, "n", F.col("text").alias("quote"))
+    # What still stands word for word in the passage of its own number is found; only the others are sought, in their documents.
+    same = texts.select(document, passage, F.col("text").alias("_now"))
+    gone = asked.join(same, [document, passage], "left").where("NOT coalesce(contains(_now, text), false)")
+    gone = stored(gone.drop("_now"), "gone")
+    found = relocate(gone, texts, "_q", "_p", within=document).where("found = 'not-found'").select("_q")
+    lost = gone.join(found, "_q", "left_semi").select(document, passage, "n", F.col("text").alias("quote"))
     return lost.withColumn("key", F.concat_ws(":", F.lit("not-found"), F.col(passage).cast("string"), F.substring(F.sha2(F.col("quote").cast("binary"), 256), 1, 8)))
