@@ -3,7 +3,9 @@
 A record is a VARIANT.  A rule names where it applies by a selector such as `sections[*].points[*]`; each element
 that the selector reaches is tested, and failures carry its path, `outline.sections[2].points[0].text`.  All rules of a
 table compile to one nested expression over arrays of variants, so records of any shape are checked where they
-are: nothing is exploded, joined or parsed twice.  Values of the wrong kind fail like missing ones.
+are: nothing is exploded, joined or parsed twice.  What tests read of an element (its kind, its members, the strings of an
+array, the ids of the whole record) is worked out once for that element, see Value, however many rules and elements below
+ask for it.  Values of the wrong kind fail like missing ones.
 """
 
 from __future__ import annotations
@@ -16,15 +18,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+class Value:
+    """An element's VARIANT, and what tests have asked of it: `made` holds the answers by what was asked; without it questions are only noted."""
+
+    def __init__(self, column: Column, made: dict | None = None):
+        self.column, self.made, self.asked = column, made, {}
+
+    def once(self, what: tuple, use: Callable[[Column], Column]) -> Column:
+        if self.made is None:
+            self.asked.setdefault(what, use)
+            return use(self.column)
+        return self.made[what]
+
+
+def once(v: Value | Column, what: tuple, use: Callable[[Column], Column]) -> Column:
+    """use(v), worked out once for an element; what: a name of use and its arguments.  Of other columns it is just use(v)."""
+    return v.once(what, use) if isinstance(v, Value) else use(v)
+
+
+def with_values(array: Column, asked: dict, use: Callable[[Value, Column], Column]) -> Column:
+    """The array of use(element, place) over an array of variants; what is asked of an element is worked out once for it."""
+    names = {what: f"a{n}" for n, what in enumerate(asked)}
+    rows = F.transform(array, lambda v: F.struct(v.alias("v"), *[asked[what](v).alias(name) for what, name in names.items()]))
+    return F.transform(rows, lambda s, i: use(Value(s["v"], {what: s[name] for what, name in names.items()}), i))
+
+
 @dataclass(frozen=True)
 class At:
     """An element: its value, path and place in its array, the element above it, the whole record, and what is known beside it."""
 
-    value: Column
+    value: Value
     path: Column
     place: Column
-    up: Column
-    root: Column
+    up: Value
+    root: Value
     known: Column
 
 
@@ -61,32 +88,37 @@ def _way(name: str) -> str:
     return f"$.{name}" if name else "$"
 
 
-def member(v: Column, name: str) -> Column:
-    return F.try_variant_get(v, _way(name), "variant")
+def get(v: Value | Column, name: str, type_: str) -> Column:
+    """A member as a type, null where it can't be one."""
+    return once(v, ("get", name, type_), lambda c: F.try_variant_get(c, _way(name), type_))
+
 
+def member(v: Value | Column, name: str) -> Column:
+    return get(v, name, "variant")
 
-def kind(v: Column) -> Column:
-    """OBJECT, ARRAY, STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN or VOID; null where there is nothing."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
+def kind(v: Value | Column, name: str = "") -> Column:
+    """OBJECT, ARRAY, STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN or VOID, of a member if named; null where there is nothing."""
+    return once(v, ("kind", name), lambda c: F.regexp_extract(F.schema_of_variant(member(c, name) if name else c), "^[A-Z]+", 0))
 
-def string(v: Column, name: str = "") -> Column:
+
+def string(v: Value | Column, name: str = "") -> Column:
     """A member that is a string, else null."""
-    return F.when(kind(member(v, name)) == "STRING", F.try_variant_get(v, _way(name), "string"))
+    return once(v, ("string", name), lambda c: F.when(kind(c, name) == "STRING", get(c, name, "string")))
 
 
-def items(v: Column, name: str = "") -> Column:
+def items(v: Value | Column, name: str = "") -> Column:
     """The elements of a member that is an array; others have none."""
-    return F.coalesce(F.try_variant_get(v, _way(name), "array<variant>"), F.array().cast("array<variant>"))
+    return once(v, ("items", name), lambda c: F.coalesce(get(c, name, "array<variant>"), F.array().cast("array<variant>")))
 
 
-def keys(v: Column) -> Column:
-    return F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+def keys(v: Value | Column) -> Column:
+    return once(v, ("keys",), lambda c: F.map_keys(get(c, "", "map<string,variant>")))
 
 
-def strings(v: Column, name: str = "") -> Column:
+def strings(v: Value | Column, name: str = "") -> Column:
     """The strings among the elements of a member."""
-    return F.filter(F.transform(items(v, name), lambda x: string(x)), lambda s: s.isNotNull())
+    return once(v, ("strings", name), lambda c: F.filter(F.transform(items(c, name), lambda x: string(x)), lambda s: s.isNotNull()))
 
 
 # ---- tests ---------------------------------------------------------------------------------------
@@ -109,7 +141,7 @@ def _quoted(values: Iterable[str]) -> str:
 
 def is_kind(name: str, *kinds: str) -> Test:
     names = {"OBJECT": "OBJECT", "ARRAY": "ARRAY", "STRING": "VARCHAR", "BOOLEAN": "BOOLEAN", "VOID": "NULL"}
-    return Test(lambda a: kind(member(a.value, name)).isin(*kinds), f"json_type(it, '{_way(name)}') IN ({_quoted(names[k] for k in kinds)})")
+    return Test(lambda a: kind(a.value, name).isin(*kinds), f"json_type(it, '{_way(name)}') IN ({_quoted(names[k] for k in kinds)})")
 
 
 def text(name: str, most: int | None = None) -> Test:
@@ -143,16 +175,16 @@ def exactly(*names: str) -> Test:
 def count(name: str, least: int, most: int) -> Test:
     """An array of least to most elements."""
     size = F.size
-    return Test(lambda a: (kind(member(a.value, name)) == "ARRAY") & size(items(a.value, name)).between(least, most), f"json_type(it, '{_way(name)}') = 'ARRAY' AND json_array_length(it, '{_way(name)}') BETWEEN {least} AND {most}")
+    return Test(lambda a: (kind(a.value, name) == "ARRAY") & size(items(a.value, name)).between(least, most), f"json_type(it, '{_way(name)}') = 'ARRAY' AND json_array_length(it, '{_way(name)}') BETWEEN {least} AND {most}")
 
 
 def number(name: str) -> Test:
-    return Test(lambda a: kind(member(a.value, name)).isin("BIGINT", "DECIMAL", "DOUBLE"), f"json_type(it, '{_way(name)}') IN ('BIGINT', 'UBIGINT', 'DOUBLE')")
+    return Test(lambda a: kind(a.value, name).isin("BIGINT", "DECIMAL", "DOUBLE"), f"json_type(it, '{_way(name)}') IN ('BIGINT', 'UBIGINT', 'DOUBLE')")
 
 
 def whole(name: str, least: int) -> Test:
-    value = lambda a: F.try_variant_get(a.value, _way(name), "long")
-    return Test(lambda a: (kind(member(a.value, name)) == "BIGINT") & (value(a) >= least), f"json_type(it, '{_way(name)}') IN ('BIGINT', 'UBIGINT') AND json_extract(it, '{_way(name)}')::BIGINT >= {least}")
+    value = lambda a: get(a.value, name, "long")
+    return Test(lambda a: (kind(a.value, name) == "BIGINT") & (value(a) >= least), f"json_type(it, '{_way(name)}') IN ('BIGINT', 'UBIGINT') AND json_extract(it, '{_way(name)}')::BIGINT >= {least}")
 
 
 def references(name: str) -> Test:
@@ -172,9 +204,28 @@ def each_of(array: str, name: str, duck: str = "root") -> str:
     return f"list_transform(list_filter(CASE WHEN json_type({duck}, '{_way(array)}') = 'ARRAY' THEN json_extract({duck}, '{_way(array)}')::JSON[] ELSE []::JSON[] END, lambda x: json_type(x, '{_way(name)}') = 'VARCHAR'), lambda x: json_extract_string(x, '{_way(name)}'))"
 
 
-def members(v: Column, array: str, name: str) -> Column:
+def members(v: Value | Column, array: str, name: str) -> Column:
     """The strings that the members `name` of an array's elements hold, null where one holds none."""
-    return F.transform(items(v, array), lambda x: string(x, name))
+    return once(v, ("members", array, name), lambda c: F.transform(items(c, array), lambda x: string(x, name)))
+
+
+def named(v: Value | Column, array: str, name: str) -> Column:
+    """The different strings among members, without nulls."""
+    return once(v, ("named", array, name), lambda c: F.array_distinct(F.array_compact(members(c, array, name))))
+
+
+def again(v: Value | Column, array: str, name: str) -> Column:
+    """array<boolean>, by place: whether an element before has the same string under name; elements are sorted by it, not compared in pairs."""
+
+    def flags(pairs: Column) -> Column:
+        same = lambda p, i: F.coalesce((i > 0) & (F.get(pairs, i - 1)["x"] == p["x"]), F.lit(False))
+        return F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["at"], same(p, i).alias("again"))))
+
+    def by_place(c: Column) -> Column:
+        pairs = F.array_sort(F.transform(members(c, array, name), lambda x, i: F.struct(x.alias("x"), i.alias("at"))))
+        return F.transform(F.flatten(F.transform(F.array(pairs), flags)), lambda f: f["again"])
+
+    return once(v, ("again", array, name), by_place)
 
 
 # ---- evaluation ------------------------------------------------------------------------------------
@@ -198,17 +249,30 @@ def issues(df: DataFrame, key: list[str], record: Column, rules: list[Rule], nam
             at = at.setdefault(step, {})
         at.setdefault(None, []).append(rule)
 
-    def inside(below: dict, path: Column, up: At):
-        return lambda v, i: found(below, At(v, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), i, up.value, up.root, up.known))
+    none, asked = F.lit(None), {}
+
+    def note(at: dict, steps: tuple, value: Value, up: Value, root: Value) -> None:
+        """Notes in asked what the tests at an element and below ask of it and of the record."""
+        for r in at.get(None, []):
+            for test in (r.test, r.given):
+                test is None or test.spark(At(value, none, none, up, root, none))
+        for step in at:
+            if step is not None:
+                items(value, step[0]) if step[1] else (kind(value, step[0]), member(value, step[0]))
+                note(at[step], (*steps, step), Value(none), value, root)
+        asked[steps] = value.asked
+
+    whole = Value(none)
+    note(tree, (), whole, whole, whole)
 
-    def found(at: dict, el: At) -> Column:
+    def found(at: dict, steps: tuple, el: At) -> Column:
         parts = []
         if at.get(None):
             tests = []
             for r in at[None]:
                 fails = ~F.coalesce(r.test.spark(el), F.lit(False))
                 if r.given is not None:
-                    fails = fails & F.coalesce(r.given.spark(el), F.lit(False))
+                    fails = F.coalesce(r.given.spark(el), F.lit(False)) & fails
                 tests.append(F.when(fails, F.struct(F.lit(r.name).alias("rule"), F.concat(el.path, F.lit(f".{r.field}" if r.field else "")).alias("path"))))
             parts.append(F.array_compact(F.array(*tests)))
         for step, below in at.items():
@@ -217,16 +281,19 @@ def issues(df: DataFrame, key: list[str], record: Column, rules: list[Rule], nam
             field, star = step
             path = F.concat(el.path, F.lit(f".{field}"))
             if star:
-                parts.append(F.flatten(F.transform(items(el.value, field), inside(below, path, el))))
+                there = items(el.value, field)
             else:
-                there = kind(member(el.value, field)).isNotNull()
-                one = found(below, At(member(el.value, field), path, F.lit(0), el.value, el.root, el.known))
-                parts.append(F.when(there, one).otherwise(F.array().cast("array<struct<rule:string,path:string>>")))
+                there = F.when(kind(el.value, field).isNotNull(), F.array(member(el.value, field))).otherwise(F.array().cast("array<variant>"))
+
+            def under(v: Value, i: Column, below=below, way=(*steps, step), path=path, star=star) -> Column:
+                here = F.concat(path, F.lit("["), i.cast("string"), F.lit("]")) if star else path
+                return found(below, way, At(v, here, i if star else F.lit(0), el.value, el.root, el.known))
+
+            parts.append(F.flatten(with_values(there, asked[(*steps, step)], under)))
         return parts[0] if len(parts) == 1 else F.concat(*parts)
 
     rows = df.select(*key, record.alias("_record"), (F.array().cast("array<string>") if known is None else known).alias("_known"))
-    root = F.col("_record")
-    all_ = found(tree, At(root, F.lit(name), F.lit(0), root, root, F.col("_known")))
+    all_ = F.flatten(with_values(F.array("_record"), asked[()], lambda v, _: found(tree, (), At(v, F.lit(name), F.lit(0), v, v, F.col("_known")))))
     return rows.select(*key, F.explode(all_).alias("_i")).select(*key, "_i.*")
 
 

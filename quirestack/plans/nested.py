@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import inputs
 from ..operators import nested as N
 from ..operators.nested import Rule, Test
-from ..tables import load
+from ..tables import load, spread
 
 QUERIES, SQL = {}, {}
 
@@ -82,7 +82,7 @@ def checked(name: str, root: str, record, spoil: list[tuple[int, int, str, str]]
     """Registers the issues of a nested rule table over records made of documents, and its SQL."""
 
     def run(spark, d) -> DataFrame:
-        made = load(spark, d, "documents").selectExpr("doc_id", f"{_Spark().json(record(_Spark()))} AS made")
+        made = spread(load(spark, d, "documents"), "doc_id").selectExpr("doc_id", f"{_Spark().json(record(_Spark()))} AS made")
         rows = made.selectExpr("doc_id", f"{_spoiled('made', spoil)} AS record")
         return N.issues(rows, ["doc_id"], F.try_parse_json("record"), rules, root, F.array(*map(F.lit, known)))
 
@@ -110,7 +110,7 @@ def _numbered(prefix: str) -> Test:
 
 def _among(field: str, array: str, name: str) -> Test:
     """A string that some element of the record's array has under name."""
-    return Test(lambda a: F.array_contains(F.array_compact(N.members(a.root, array, name)), N.string(a.value, field)), f"list_contains({N.each_of(array, name)}, json_extract_string(it, '$.{field}'))")
+    return Test(lambda a: F.array_contains(N.named(a.root, array, name), N.string(a.value, field)), f"list_contains({N.each_of(array, name)}, json_extract_string(it, '$.{field}'))")
 
 
 def _named_once(array: str, name: str) -> Test:
@@ -130,7 +130,7 @@ def _no_dash(field: str) -> Test:
 def _markup_free() -> Test:
     """No string below the element holds a tag that the application owns."""
     return Test(
-        lambda a: ~F.exists(F.array(*map(F.lit, MARKUP)), lambda t: F.contains(F.lower(F.to_json(a.value)), t)),
+        lambda a: ~F.exists(F.array(*map(F.lit, MARKUP)), lambda t: F.contains(N.once(a.value, ("lower",), lambda c: F.lower(F.to_json(c))), t)),
         " AND ".join(f"NOT contains(lower(it::VARCHAR), '{t}')" for t in MARKUP),
     )
 
@@ -245,7 +245,7 @@ _ROOT_PROPOSES = Test(lambda a: N.string(a.root, "paper_type").isin("architectur
 
 
 def _ours(least: int, most: int) -> Test:
-    flags = lambda a: F.filter(N.items(a.value, "scores"), lambda s: F.try_variant_get(s, "$.ours", "boolean") & (N.kind(N.member(s, "ours")) == "BOOLEAN"))
+    flags = lambda a: F.filter(N.items(a.value, "scores"), lambda s: F.try_variant_get(s, "$.ours", "boolean") & (N.kind(s, "ours") == "BOOLEAN"))
     return Test(
         lambda a: F.size(flags(a)).between(least, most),
         f"len(list_filter(CASE WHEN json_type(it, '$.scores') = 'ARRAY' THEN json_extract(it, '$.scores')::JSON[] ELSE []::JSON[] END, lambda s: json_type(s, '$.ours') = 'BOOLEAN' AND json_extract_string(s, '$.ours') = 'true')) BETWEEN {least} AND {most}",
@@ -334,19 +334,18 @@ def _no_self(field: str) -> Test:
 
 def _all_known(field: str) -> Test:
     """An array of nothing but ids of the record's components; a missing member is one without any."""
-    ids = lambda a: F.array_compact(N.members(a.root, "components", "id"))
+    ids = lambda a: N.named(a.root, "components", "id")
     there = ~N.has(field)
     given = Test(
-        lambda a: (N.kind(N.member(a.value, field)) == "ARRAY") & (F.size(N.strings(a.value, field)) == F.size(N.items(a.value, field))) & (F.size(F.array_except(N.strings(a.value, field), ids(a))) == 0),
+        lambda a: (N.kind(a.value, field) == "ARRAY") & (F.size(N.strings(a.value, field)) == F.size(N.items(a.value, field))) & (F.size(F.array_except(N.strings(a.value, field), ids(a))) == 0),
         f"json_type(it, '$.{field}') = 'ARRAY' AND len({N._texts('it', field)}) = json_array_length(it, '$.{field}') AND list_has_all({N.each_of('components', 'id')}, {N._texts('it', field)})",
     )
     return there | given
 
 
 def _first_with_id() -> Test:
-    ids = lambda a: F.slice(N.members(a.root, "components", "id"), F.lit(1), a.place)
     every = "list_transform(json_extract(root, '$.components')::JSON[], lambda x: CASE WHEN json_type(x, '$.id') = 'VARCHAR' THEN json_extract_string(x, '$.id') END)"
-    return Test(lambda a: ~F.coalesce(F.array_contains(F.array_compact(ids(a)), N.string(a.value, "id")), F.lit(False)), f"NOT coalesce(list_contains(({every})[1:place], CASE WHEN json_type(it, '$.id') = 'VARCHAR' THEN json_extract_string(it, '$.id') END), false)")
+    return Test(lambda a: ~F.get(N.again(a.root, "components", "id"), a.place), f"NOT coalesce(list_contains(({every})[1:place], CASE WHEN json_type(it, '$.id') = 'VARCHAR' THEN json_extract_string(it, '$.id') END), false)")
 
 
 def _some(field: str) -> Test:
@@ -416,7 +415,7 @@ _DUCK_FLAT = "lower(trim(regexp_replace(replace(replace({0}, '`', ''), '$$', '')
 def _shown() -> Test:
     """The wanted item stands in some label, whatever its case and spacing."""
     labels = _DUCK_FLAT.format("array_to_string(" + N._texts("root", "labels") + ", ' ')")
-    return Test(lambda a: F.contains(_flat(F.array_join(N.strings(a.root, "labels"), " ")), _flat(N.string(a.value))), f"contains({labels}, {_DUCK_FLAT.format(N._text(''))})")
+    return Test(lambda a: F.contains(N.once(a.root, ("labels",), lambda c: _flat(F.array_join(N.strings(c, "labels"), " "))), _flat(N.string(a.value))), f"contains({labels}, {_DUCK_FLAT.format(N._text(''))})")
 
 
 def _label_words() -> Test:
@@ -424,7 +423,7 @@ def _label_words() -> Test:
     plain = F.regexp_replace
     words = lambda a: F.size(F.filter(F.split(plain(N.string(a.value, "text"), r"\$\$.*?\$\$", "TeX"), r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}_]")))
     # Whatever isn't false or empty makes a note.
-    noted = lambda a: (N.kind(N.member(a.value, "note")) == "BOOLEAN") & F.try_variant_get(a.value, "$.note", "boolean") | N.string(a.value, "note").rlike(".")
+    noted = lambda a: (N.kind(a.value, "note") == "BOOLEAN") & N.get(a.value, "note", "boolean") | N.string(a.value, "note").rlike(".")
     most = lambda a: F.when(noted(a), 16).otherwise(8)
     text = N._text("text")
     return Test(
@@ -442,7 +441,7 @@ def _no_star() -> Test:
 
 def _drawn(spark, duck: str) -> Test:
     """A rule over the numbers of a drawing: width, height and smallest text, scaled to 640 pixels."""
-    value = lambda a, name: F.try_variant_get(a.value, f"$.{name}", "double")
+    value = lambda a, name: N.get(a.value, name, "double")
     get = "json_extract(it, '$.{0}')::DOUBLE".format
     return Test(lambda a: spark(*(value(a, n) for n in ("width", "height", "min_font"))), duck.format(w=get("width"), h=get("height"), f=get("min_font")))
 
@@ -456,7 +455,7 @@ DIAGRAM = [
     Rule("font", "", _drawn(lambda w, h, f: f * F.least(F.lit(1.0), 640 / w) >= 11, "{f} * least(1.0, 640 / {w}) >= 11"), "min_font"),
     Rule("too_tall", "", _drawn(lambda w, h, f: w / h >= 0.6, "{w} / {h} >= 0.6"), "height"),
     Rule("too_wide", "", _drawn(lambda w, h, f: w / h <= 2.0, "{w} / {h} <= 2.0"), "width"),
-    Rule("chart_wanted", "", N.text("chart"), "chart", Test(lambda a: F.try_variant_get(a.value, "$.chart_wanted", "boolean"), "json_extract_string(it, '$.chart_wanted') = 'true'")),
+    Rule("chart_wanted", "", N.text("chart"), "chart", Test(lambda a: N.get(a.value, "chart_wanted", "boolean"), "json_extract_string(it, '$.chart_wanted') = 'true'")),
 ]
 
 

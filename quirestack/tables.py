@@ -14,3 +14,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if spark.conf.get(_BATCH, None) is None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt out by a key that few of them share, for work on rows that is dearer than to move them: a file may have few row groups, and each is one task."""
+    return rows.repartition(key)

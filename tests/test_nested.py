@@ -171,3 +171,22 @@ def test_neighbours_within_room(spark):
     df = spark.createDataFrame(cases, "i int, n array<int>, s int")
     got = {r["i"]: tuple(r["r"]) for r in df.select("i", outline.expanded(F.col("n"), F.col("s"), 120).alias("r")).collect()}
     assert got == {i: plain(n, s, 120) for i, n, s in cases}
+
+
+def test_what_elements_ask_is_worked_out_once(spark):
+    """1,500 components that each look at all ids of their record; what ten rules ask of an element is in the plan once."""
+    from quirestack.plans.nested import DIGEST
+
+    ids = [f"c{i % 1000}" for i in range(1500)]
+    parts = [{"id": x, "feeds": [ids[i - 1], "no"] if i == 7 else [ids[i - 1]], "contains": [x] if i == 9 else []} for i, x in enumerate(ids)]
+    rules = [r for r in DIGEST if r.name in ("component_id_once", "feeds_known", "contains_known", "contains_itself", "feeds_itself")]
+    df = spark.createDataFrame([(1, json.dumps({"components": [*parts, {"name": 5}, {"id": None}, 7]}))], "k int, j string")
+    rows = N.issues(df, ["k"], F.try_parse_json("j"), rules, "r")
+    got = sorted((r["rule"], r["path"]) for r in rows.collect())
+    assert got == sorted([("component_id_once", f"r.components[{i}].id") for i in range(1000, 1500)] + [("feeds_known", "r.components[7].feeds"), ("contains_itself", "r.components[9].contains")])
+    asked = []
+    ask = N.Test(lambda a: N.once(a.root, ("odd",), lambda c: asked.append(1) or N.kind(c, "a") == "ARRAY"), "true")
+    one = N.issues(df, ["k"], F.try_parse_json("j"), [N.Rule(f"r{i}", "components[*]", ask) for i in range(10)], "r")
+    assert one.count() == 10 * 1503 and len(asked) <= 11  # noted by each rule, built once
+    kinds = N.issues(df, ["k"], F.try_parse_json("j"), [N.Rule(f"r{i}", "components[*]", N.is_kind("id", "STRING")) for i in range(10)], "r")
+    assert kinds._jdf.queryExecution().optimizedPlan().toString().count("schemaOfVariant(") == 1
