@@ -28,41 +28,58 @@ def faults(members: DataFrame, manifest: DataFrame, spine: DataFrame, links: Dat
     The type comes first, uncompressed, and is exact; names are unique; there is one cover, a packaged PNG; the reading order isn't
     empty and names manifest items whose members are there; local links name members, and ids in them; the abstract comes before the
     first numbered section, and there is one; references are there.
+
+    Tables meet by grouping, not by joins: once by package, once by item, once by member.
     """
-    one = lambda df, rule, what: df.select(key, F.lit(rule).alias("rule"), what.alias("what"))
-    packages = members.select(key).distinct()
-    first = members.groupBy(key).agg(F.min_by(F.struct("name", "method", "content"), "pos").alias("f"))
-    found = [
-        one(first.where(~((F.col("f.name") == TYPE) & (F.col("f.method") == "stored") & F.coalesce(F.col("f.content") == HOLDS, F.lit(False)))), "mimetype", F.col("f.name")),
-        one(members.groupBy(key, "name").count().where("count > 1"), "member_twice", F.col("name")),
-    ]
-    covers = manifest.where(F.array_contains(F.split(F.coalesce("properties", F.lit("")), r"\s+"), "cover-image"))
-    number = packages.join(covers.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, "left").where("coalesce(n, 0) <> 1")
-    names = members.select(key, F.col("name").alias("_name")).distinct()
-    there = lambda df, column: df.join(names, (df[key] == names[key]) & (F.col(column) == F.col("_name")), "left_anti")
-    found += [one(number, "covers", F.coalesce("n", F.lit(0)).cast("string")), one(covers.where("media <> 'image/png'"), "cover_kind", F.col("media")), one(there(covers, "name"), "cover_missing", F.col("name"))]
-    read = spine.join(manifest.select(key, "item", "name", F.lit(True).alias("_known")), [key, "item"], "left")
-    found += [
-        one(packages.join(spine, key, "left_anti"), "reading_order_empty", F.lit("")),
-        one(read.where("_known IS NULL"), "reading_order_item", F.col("item")),
-        one(there(read.where("_known"), "name"), "reading_order_missing", F.col("name")),
-    ]
+    fault = lambda when, rule, what: F.when(when, F.struct(F.lit(rule).alias("rule"), what.cast("string").alias("what")))
+    told = lambda df, *faults_: df.select(key, F.explode(F.array_compact(F.array(*faults_))).alias("_f")).select(key, "_f.*")
+    is_cover = F.array_contains(F.split(F.coalesce("properties", F.lit("")), r"\s+"), "cover-image")
+    low, empty = F.lower(F.trim("text")), F.lit("")
+
+    # What is counted for a package.
+    seen = {"first": "struct<name:string,method:string,content:string>", "pos": "bigint", "cover": "int", "read": "int", "abstract": "int", "section": "int", "references": "boolean"}
+    row = lambda df, **given: df.select(key, *[given.get(c, F.lit(None)).cast(kind).alias(f"_{c}") for c, kind in seen.items()])
+    rows = row(members, first=F.struct("name", "method", "content"), pos=F.col("pos")).unionByName(row(manifest.where(is_cover), cover=F.lit(1))).unionByName(row(spine, read=F.lit(1)))
+    rows = rows.unionByName(row(headings, abstract=F.when(low == "abstract", F.col("spot")), section=F.when(F.col("numbered"), F.col("spot")), references=low.isin("references", "bibliography")))
+    package = rows.groupBy(key).agg(
+        F.count("_first").alias("members"), F.min_by("_first", "_pos").alias("first"), F.count("_cover").alias("covers"), F.count("_read").alias("read"),
+        F.min("_abstract").alias("abstract"), F.min("_section").alias("section"), F.max("_references").alias("references"),
+    ).where("members > 0")
+    typed = (F.col("first.name") == TYPE) & (F.col("first.method") == "stored") & F.coalesce(F.col("first.content") == HOLDS, F.lit(False))
+    out = told(
+        package, fault(~typed, "mimetype", F.col("first.name")), fault(F.col("covers") != 1, "covers", F.col("covers")), fault(F.col("read") == 0, "reading_order_empty", empty),
+        fault(F.col("abstract").isNull(), "abstract_missing", empty), fault(F.col("abstract") > F.col("section"), "abstract_late", F.col("section")),
+        fault(~F.coalesce("references", F.lit(False)), "references_missing", empty),
+    )
+    out = out.unionByName(told(manifest.where(is_cover), fault(F.col("media") != "image/png", "cover_kind", F.col("media"))))
+
+    # Items in the reading order, and what they name.
+    named = manifest.select(key, "item", F.struct("name").alias("_name"), F.lit(None).cast("int").alias("_read")).unionByName(spine.select(key, "item", F.lit(None).cast("struct<name:string>").alias("_name"), F.lit(1).alias("_read")))
+    items = named.groupBy(key, "item").agg(F.collect_list("_name").alias("names"), F.count("_read").cast("int").alias("n")).where("n > 0")
+    items = items.select(key, "item", "names", F.explode(F.array_repeat(F.lit(1), F.col("n")))).drop("col")
+    out = out.unionByName(told(items, fault((F.size("names") == 0) | F.col("item").isNull(), "reading_order_item", F.col("item"))))
+    read = items.where("item IS NOT NULL").select(key, F.explode("names").alias("_n")).select(key, F.col("_n.name").alias("name"))
+
+    # What names members, beside the members and their ids: all that concerns one member of a package stands together.
+    at = lambda df, role, name="name", piece=None, link=None, n=F.lit(0): df.select(
+        key, F.col(name).alias("name"), F.lit(role).alias("role"), (F.lit(None).cast("string") if piece is None else piece).alias("piece"), (F.lit(None).cast("string") if link is None else F.col(link)).alias("link"), n.cast("long").alias("n")
+    )
     local = links.where(~F.col("link").rlike(r"^([a-zA-Z][a-zA-Z0-9+.-]*:|//)") & (F.col("link") != "")).withColumn("target", resolved(F.col("name"), F.col("link")))
-    found.append(one(there(local, "target"), "link_missing", F.col("link")))
-    pieces = local.withColumn("piece", F.url_decode(F.split_part("link", F.lit("#"), F.lit(2)))).where("piece <> ''").join(names, (local[key] == names[key]) & (F.col("target") == F.col("_name")), "left_semi")
-    known = ids.select(key, F.col("name").alias("target"), F.col("id").alias("piece")).distinct()
-    found.append(one(pieces.join(known, [key, "target", "piece"], "left_anti"), "link_fragment", F.col("link")))
-    low = F.lower(F.trim("text"))
-    order = headings.groupBy(key).agg(F.min(F.when(low == "abstract", F.col("spot"))).alias("abstract"), F.min(F.when(F.col("numbered"), F.col("spot"))).alias("section"), F.max(low.isin("references", "bibliography")).alias("references"))
-    order = packages.join(order, key, "left")
-    found += [
-        one(order.where("abstract IS NULL"), "abstract_missing", F.lit("")), one(order.where("abstract > section"), "abstract_late", F.col("section").cast("string")),
-        one(order.where("NOT coalesce(references, false)"), "references_missing", F.lit("")),
-    ]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    each = at(members.groupBy(key, "name").agg(F.count(F.lit(1)).alias("_n")), "member", n=F.col("_n"))
+    for more in (
+        at(manifest.where(is_cover), "cover"), at(read, "read"), at(ids, "id", piece=F.col("id")),
+        at(local, "link", "target", F.url_decode(F.split_part("link", F.lit("#"), F.lit(2))), "link"),
+    ):
+        each = each.unionByName(more)
+    of_member, of_piece = Window.partitionBy(key, "name"), Window.partitionBy(key, "name", "piece")
+    each = each.withColumn("_there", F.max((F.col("role") == "member") & F.col("name").isNotNull() & F.col(key).isNotNull()).over(of_member))
+    each = each.withColumn("_known", F.max(F.col("role") == "id").over(of_piece))
+    role, away = F.col("role"), ~F.col("_there")
+    return out.unionByName(told(
+        each.where("role <> 'id'"), fault((role == "member") & (F.col("n") > 1), "member_twice", F.col("name")), fault((role == "cover") & away, "cover_missing", F.col("name")),
+        fault((role == "read") & away, "reading_order_missing", F.col("name")), fault((role == "link") & away, "link_missing", F.col("link")),
+        fault((role == "link") & ~away & (F.col("piece") != "") & ~F.col("_known"), "link_fragment", F.col("link")),
+    ))
 
 
 def numbered(headings: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -116,6 +116,23 @@ def test_package_without_faults_and_empty_one(spark):
     assert got == [(2, "abstract_missing"), (2, "covers"), (2, "member_twice"), (2, "mimetype"), (2, "reading_order_empty"), (2, "references_missing")]
 
 
+def test_package_tables_meet_without_joins(spark):
+    """Items and members given twice, items that are nowhere, links and ids of what isn't there; no table is sent to the driver to be joined."""
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    members = make([(1, 0, "mimetype", "stored", "application/epub+zip"), (1, 1, "a", "x", None), (1, 2, "a", "x", None), (1, 3, "b", "x", None)], "k int, pos long, name string, method string, content string")
+    manifest = make([(1, "i", "a", "t", None), (1, "i", "gone", "t", "x cover-image"), (1, "j", None, "t", None), (9, "c", "c", "image/png", "cover-image")], "k int, item string, name string, media string, properties string")
+    spine = make([(1, 0, "i"), (1, 1, "i"), (1, 2, "z"), (1, 3, "z"), (1, 4, None), (1, 5, "j")], "k int, pos long, item string")
+    links = make([(1, "a", "b#p"), (1, "b", "b#p"), (1, "b", "a#p"), (1, "b", "gone#p"), (1, "b", "#q")], "k int, name string, link string")
+    ids = make([(1, "b", "p"), (1, "gone", "p"), (1, "b", "p")], "k int, name string, id string")
+    heads = make([(1, 0, "1 One"), (1, 1, "Abstract"), (9, 1, "Abstract")], "k int, at int, text string")
+    rows = packages.faults(members, manifest, spine, links, ids, packages.numbered(heads, "k", ["at"]), "k")
+    got = sorted(((r["rule"], r["what"]) for r in rows.collect()), key=str)
+    want = [("abstract_late", "1"), ("cover_kind", "t"), ("cover_missing", "c"), ("cover_missing", "gone"), ("link_fragment", "#q"), ("link_fragment", "a#p"), ("link_missing", "gone#p"), ("member_twice", "a")]
+    want += [("reading_order_item", x) for x in ("z", "z", None)] + [("reading_order_missing", x) for x in ("gone", "gone", None)] + [("references_missing", "")]
+    assert got == sorted(want, key=str)
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_digests_normalise(spark):
     from quirestack.plans import causes
 
