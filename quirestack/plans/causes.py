@@ -9,7 +9,7 @@ from ..functions import inputs as I
 from ..functions import tex as X
 from ..operators import nested as N
 from ..operators import prose as P
-from ..tables import load
+from ..tables import load, spread
 from . import nested as records
 
 QUERIES, SQL = {}, {}
@@ -189,7 +189,7 @@ def tex_metadata(spark, d):
         .when(v == 3, join("\\icmltitle{", n, "}\\begin{icmlauthorlist}\\icmlauthor{", b, "}{a}\\icmlauthor{Two}{b}\\end{icmlauthorlist}"))
         .otherwise(join("\\title{", n, " $x\\_1$}\\author{\\L u~\\ss}"))
     )
-    return load(spark, d, "part").select("p_partkey", X.metadata(tex, k.cast("string")).alias("m")).select("p_partkey", "m.*")
+    return spread(load(spark, d, "part"), "p_partkey").select("p_partkey", X.metadata(tex, k.cast("string")).alias("m")).select("p_partkey", "m.*")
 
 
 # ---- sections of articles ------------------------------------------------------------------------------
