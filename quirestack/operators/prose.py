@@ -34,7 +34,8 @@ def section_faults(sections: DataFrame, terms: DataFrame, key: list[str], place:
     sections: body, points (array of strings, each of which must hold a citation in brackets) and tone; terms: (key, term, owner), the
     section at whose place a term is explained.  A term may not be used before; a tone leaves out its words and most questions.
     """
-    plain = prose(F.col(body))
+    sections = sections.withColumn("_plain", prose(F.col(body)))
+    plain = F.col("_plain")
     by_tone = lambda f: F.coalesce(*[F.when(F.col(tone) == t, f(t)) for t in EXCLUDES])
     clean = by_tone(lambda t: ~F.coalesce(plain.rlike(word("|".join(EXCLUDES[t]))), F.lit(False)) if EXCLUDES[t] else F.lit(True))
     table = [

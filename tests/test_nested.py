@@ -207,3 +207,14 @@ def test_what_elements_ask_is_worked_out_once(spark):
     assert one.count() == 10 * 1503 and len(asked) <= 11  # noted by each rule, built once
     kinds = N.issues(df, ["k"], F.try_parse_json("j"), [N.Rule(f"r{i}", "components[*]", N.is_kind("id", "STRING")) for i in range(10)], "r")
     assert kinds._jdf.queryExecution().optimizedPlan().toString().count("schemaOfVariant(") == 1
+
+
+def test_prose_of_a_section_is_made_once(spark):
+    """Quotes and mathematics leave a section's text once, not for each rule."""
+    from quirestack.operators import prose
+
+    sections = spark.createDataFrame([(1, 0, 'You delve "we delve" $you?$ ?', ["a [p1]"], "formal")], "k int, pos int, body string, points array<string>, tone string")
+    terms = spark.createDataFrame([], "k int, term string, owner int")
+    rows = prose.section_faults(sections, terms, ["k"], "pos", "body", "points", "tone")
+    assert sorted(r["rule"] for r in rows.collect()) == ["marker_words", "questions", "tone"]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(body") == 1
