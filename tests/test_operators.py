@@ -272,3 +272,19 @@ def test_terms_are_quoted_and_know_letters(spark):
     df = spark.createDataFrame([("aa — bb – cc then x", "C++"), ("we use C++ here", "c++"), ("élan vital", "lan"), ("two Élans", "élan"), ("a.b", "a\\E.b")], "x string, t string")
     assert [r["u"] for r in df.select(inputs.uses_term(F.col("x"), F.col("t")).alias("u")).collect()] == [False, True, False, True, False]
     assert df.limit(1).select(inputs.dashes(F.col("x")).alias("d")).first()["d"] == ["aa — bb – cc then x"] * 2
+
+
+def test_fingerprints_that_no_quote_has_stay_in_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from quirestack.operators import matching as M
+
+    texts = ["", None, "short", "The quick brown fox jumps over the lazy dog", "Ünïcode ﬁne 😀 letters that go on and on", "x" * 40, "0123456789" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").coalesce(1)
+    wanted = df.where("k IN (3, 6)").select(F.explode(M.fingerprints(F.col("text"))).alias("h")).distinct()
+    all_ = {r[0]: set(r[1] or []) for r in df.select("k", M.fingerprints(F.col("text"))).collect()}
+    kept = {r[0]: set(r[1] or []) for r in df.select("k", M.fingerprints_among(F.col("text"), wanted)).collect()}
+    assert all(kept[k] <= all_[k] for k in all_) and kept[3] == all_[3] and kept[6] == all_[6] and all_[3] and not (all_[0] | all_[1] | all_[2])
+    assert sum(map(len, (kept[4], kept[5]))) <= 1 < len(all_[4])
+    one = [M._fingerprints_of([M.form_of(t or "")])[0] for t in texts]
+    assert [set(x) for x in one] == [all_[k] for k in range(len(texts))]
