@@ -11,6 +11,20 @@ def squash(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))
 
 
+#: What SQL's trim takes off both ends: Unicode's space separators.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def trimmed(x: Column) -> Column:
+    """Without space separators at its ends, as SQL's trim; null stays null."""
+    return F.trim(x, F.lit(SPACES))
+
+
+def collapsed(x: Column) -> Column:
+    """White space collapsed and trimmed as SQL does it: ASCII's without the vertical tab is collapsed, space separators are trimmed; null stays null."""
+    return trimmed(F.regexp_replace(x, r"[\t\n\f\r ]+", " "))
+
+
 def fingerprint(x: Column) -> Column:
     """Lower-cased ASCII letters and digits only."""
     return F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
@@ -36,8 +50,9 @@ def all_words_in(hay: Column, query: str) -> Column:
     return F.forall(F.split(F.lower(F.trim(F.lit(query))), r"\s+"), lambda w: F.contains(low, w))
 
 
-def reading_minutes(x: Column) -> Column:
-    return F.greatest(F.lit(1), F.round(word_count(x) / 200)).cast("long")
+def reading_minutes(n_words: Column) -> Column:
+    """At 200 words a minute, 1 at least, also of an unknown number."""
+    return F.greatest(F.lit(1), F.round(n_words / 200)).cast("long")
 
 
 def token_estimate(x: Column, chars_a_token: float) -> Column:
